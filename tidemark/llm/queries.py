@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import host_reputation, line_dedup, mixing, weak_supervision
+from . import host_reputation, importance, language_id, line_dedup, mixing, weak_supervision
 
 QUERIES = {
+    "op1_importance": importance.op1_importance,
+    "op10_language_id": language_id.op10_language_id,
     "op4_mix": mixing.op4_mix,
     "op7_host_reputation": host_reputation.op7_host_reputation,
     "op8_line_dedup": line_dedup.op8_line_dedup,
