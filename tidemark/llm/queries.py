@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import host_reputation, importance, language_id, line_dedup, mixing, weak_supervision
+from . import host_reputation, importance, language_id, line_dedup, maxscore, mixing, simhash, weak_supervision
 
 QUERIES = {
     "op1_importance": importance.op1_importance,
     "op10_language_id": language_id.op10_language_id,
+    "op2_simhash": simhash.op2_simhash,
+    "op3_maxscore": maxscore.op3_maxscore,
     "op4_mix": mixing.op4_mix,
     "op7_host_reputation": host_reputation.op7_host_reputation,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_weak_supervision": weak_supervision.op9_weak_supervision,
 }
-SQL = {"op4_mix": mixing.OP4_SQL, "op7_host_reputation": host_reputation.OP7_SQL, "op8_line_dedup": line_dedup.OP8_SQL}
+SQL = {"op3_maxscore": maxscore.OP3_SQL, "op4_mix": mixing.OP4_SQL, "op7_host_reputation": host_reputation.OP7_SQL, "op8_line_dedup": line_dedup.OP8_SQL}
