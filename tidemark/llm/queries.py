@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import host_reputation, importance, language_id, line_dedup, maxscore, mixing, simhash, weak_supervision
+from . import host_reputation, importance, language_id, line_dedup, maxscore, mixing, packing, simhash, weak_supervision
 
 QUERIES = {
     "op1_importance": importance.op1_importance,
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_simhash": simhash.op2_simhash,
     "op3_maxscore": maxscore.op3_maxscore,
     "op4_mix": mixing.op4_mix,
+    "op5_packing": packing.op5_packing,
     "op7_host_reputation": host_reputation.op7_host_reputation,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_weak_supervision": weak_supervision.op9_weak_supervision,
