@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import host_reputation, importance, language_id, line_dedup, maxscore, mixing, packing, simhash, weak_supervision
+from . import context_tree, host_reputation, importance, language_id, line_dedup, maxscore, mixing, packing, simhash, weak_supervision
 
 QUERIES = {
     "op1_importance": importance.op1_importance,
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_maxscore": maxscore.op3_maxscore,
     "op4_mix": mixing.op4_mix,
     "op5_packing": packing.op5_packing,
+    "op6_context_tree": context_tree.op6_context_tree,
     "op7_host_reputation": host_reputation.op7_host_reputation,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_weak_supervision": weak_supervision.op9_weak_supervision,
