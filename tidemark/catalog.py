@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .plans import windows  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
+
 FLAGSHIP = "gap_event_ledger"
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
