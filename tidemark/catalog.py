@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import windows  # noqa: F401
+from .plans import aggregates, joins, windows  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
 
 FLAGSHIP = "gap_event_ledger"

@@ -124,6 +124,7 @@ SELECT symbol, ts, vwap, distance_bps, slope_bps, coalesce(up, FALSE) AS above,
   coalesce(abs(distance_bps) >= 150, FALSE) AS extended, CASE WHEN slope_bps IS NULL THEN 'unknown' WHEN slope_bps > 1 THEN 'up' WHEN slope_bps < -1 THEN 'down' ELSE 'flat' END AS slope,
   (n - max(CASE WHEN crossed THEN n END) OVER (PARTITION BY symbol, session ORDER BY ts))::INTEGER AS bars_since_cross FROM e""",
     ("vwap", "distance_bps", "slope_bps"),
+    8,
 )
 def vwap_session(spark, sf_dir):
     return W.vwap(intraday_bars(spark, sf_dir)).select("symbol", "ts", "vwap", "distance_bps", "slope_bps", "above", "crossed", "reclaim", "reject", "extended", "slope", "bars_since_cross")

@@ -14,17 +14,17 @@ SQL: dict[str, str] = {}
 DECIMALS = 6
 
 
-def query(name: str, sql: str | None = None, doubles: tuple[str, ...] = ()):
+def query(name: str, sql: str | None = None, doubles: tuple[str, ...] = (), decimals: int = DECIMALS):
     """Registers f(spark, sf_dir) under name; doubles: the columns that are presented rounded, here and in the SQL."""
 
     def register(f):
         @wraps(f)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(spark, sf_dir).withColumns({c: F.round(c, DECIMALS) + F.lit(0.0) for c in doubles})
+            return f(spark, sf_dir).withColumns({c: F.round(c, decimals) + F.lit(0.0) for c in doubles})
 
         QUERIES[name] = run
         if sql:
-            shown = ", ".join(f"round({c}, {DECIMALS}) + 0.0::DOUBLE AS {c}" for c in doubles)
+            shown = ", ".join(f"round({c}, {decimals}) + 0.0::DOUBLE AS {c}" for c in doubles)
             SQL[name] = f"SELECT * REPLACE ({shown}) FROM ({sql})" if doubles else sql
         return run
 
