@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .plans import windows  # noqa: F401, I001  (first: others use its SQL)
-from .plans import aggregates, joins, research  # noqa: F401
+from .plans import aggregates, joins, research, streams  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
 
 FLAGSHIP = "gap_event_ledger"

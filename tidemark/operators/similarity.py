@@ -35,20 +35,30 @@ def mahalanobis(x: Column, centre: Column, variance: Column, floor: float = 1e-6
     return F.sqrt(F.aggregate(F.zip_with(d, variance, lambda q, v: q / F.greatest(v, F.lit(floor))), F.lit(0.0), lambda s, q: s + q) / F.size(x))
 
 
-def nearest_prototypes(vectors: DataFrame, bank: DataFrame, key: str, label: str, vector: str, limit: int = 10_000) -> DataFrame:
-    """Each vector's nearest and second nearest prototype and the ratio of their distances.
+def nearest_prototypes(vectors: DataFrame, bank: DataFrame, key: str, label: str, vector: str, slice_rows: int = 10_000) -> DataFrame:
+    """Each vector's nearest and second nearest prototype and the ratio of their distances; ties to the smaller label.
 
-    The bank is broadcast while it has at most `limit` prototypes; a larger one is joined in slices of that size.
+    The bank goes to the tasks in slices of at most slice_rows prototypes, one scan of the vectors a slice.
     """
-    n = bank.count()
-    slices = max(1, -(-n // limit))
-    small = bank.select(F.col(label).alias("_l"), "centroid").withColumn("_s", F.pmod(F.hash("_l"), F.lit(slices)))
+    slices = max(1, -(-bank.count() // slice_rows))
+    kinds = dict(vectors.dtypes) | {"_l": dict(bank.dtypes)[label]}
+    schema = f"{key} {kinds[key]}, _d array<struct<d:double,l:{kinds['_l']}>>"
     best = None
     for i in range(slices):
-        part = small.filter(F.col("_s") == i).agg(F.collect_list(F.struct("_l", "centroid")).alias("_bank"))
-        ranked = vectors.join(F.broadcast(part)).withColumn("_d", F.array_sort(F.transform("_bank", lambda b: F.struct(distance(F.col(vector), b["centroid"]).alias("d"), b["_l"].alias("l")))))
-        part_best = ranked.select(key, F.slice("_d", 1, 2).alias("_d"))
-        best = part_best if best is None else best.unionByName(part_best)
+        rows = sorted(bank.filter(F.pmod(F.hash(label), F.lit(slices)) == i).select(label, "centroid").collect())
+        names, centres = [r[0] for r in rows], np.array([r[1] for r in rows], float)
+
+        def run(batches: Iterator[pa.RecordBatch], names=names, centres=centres) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = []
+                for x in b.column(1).to_pylist():
+                    d = np.sqrt(((np.array(x, float) - centres) ** 2).sum(axis=1))
+                    out.append([{"d": float(d[j]), "l": names[j]} for j in np.argsort(d, kind="stable")[:2]])
+                kind = pa.list_(pa.struct([("d", pa.float64()), ("l", pa.array(names).type if kinds["_l"] == "string" else {"int": pa.int32(), "bigint": pa.int64()}[kinds["_l"]])]))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], [key, "_d"])
+
+        part = vectors.select(key, vector).mapInArrow(run, schema)
+        best = part if best is None else best.unionByName(part)
     if slices > 1:
         best = best.groupBy(key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("_d"))), 1, 2).alias("_d"))
     first, second = F.col("_d")[0], F.get(F.col("_d"), 1)
@@ -63,20 +73,33 @@ def conformal_threshold(df: DataFrame, keys: list[str], score: str, alpha: float
     return ranked.filter(F.col("_k") == wanted).select(*keys, F.col("_n").alias("n"), F.col(score).alias("threshold"))
 
 
-def knn_distance(vectors: DataFrame, key: str, group: str, vector: str, k: int) -> DataFrame:
-    """Mean distance to the k nearest of the same group, computed a group at a time in blocks of 1024 against all."""
+def knn_distance(vectors: DataFrame, key: str, group: str, vector: str, k: int, block: int = 1024) -> DataFrame:
+    """Mean distance to the k nearest of the same group: blocks of a group's rows meet its shards, and the shards' k best merge.
 
-    def run(table):
-        ids, x = table.column(key), np.array(table.column(vector).to_pylist(), float)
-        norms, out = (x * x).sum(1), []
-        for at in range(0, len(x), 1024):
-            d = norms[at : at + 1024, None] + norms - 2 * x[at : at + 1024] @ x.T
-            d[np.arange(len(d)), at + np.arange(len(d))] = np.inf
-            near = np.sqrt(np.maximum(np.partition(d, min(k, len(x)) - 1, axis=1)[:, :k], 0)) if len(x) > k else np.full((len(d), 1), np.nan)
-            out.append(near.mean(axis=1))
-        return pa.table({key: ids, "knn": pa.array(np.concatenate(out), from_pandas=True)})
-
-    return vectors.select(key, group, vector).groupBy(group).applyInArrow(run, f"{key} {dict(vectors.dtypes)[key]}, knn double")
+    No task holds more than one block and one shard, however large a group is.
+    """
+    sizes = vectors.groupBy(group).agg(F.ceil(F.count("*") / block).alias("_n"))
+    sized = vectors.select(key, group, vector).join(sizes, group).withColumn("_own", F.pmod(F.xxhash64(key), F.col("_n")))
+    every = F.explode(F.sequence(F.lit(0), F.col("_n") - 1).cast("array<bigint>"))
+    fresh = lambda own: sized.select(*[F.col(c).alias(c) for c in (key, group, vector, "_n")], F.col("_own").alias(own))
+    asked, held = fresh("_block").withColumn("_shard", every), fresh("_shard").withColumn("_block", every)
+
+    def run(left, right):
+        ids, near = [], []
+        if left.num_rows and right.num_rows:
+            x, y = (np.array(t.column(vector).to_pylist(), float) for t in (left, right))
+            names = np.array(right.column(key).to_pylist(), object)
+            for name, row in zip(left.column(key).to_pylist(), x, strict=True):
+                d = np.sqrt(((y - row) ** 2).sum(axis=1))[names != name]
+                found = np.sort(d)[:k].tolist()
+                ids += [name] * len(found)
+                near += found
+        return pa.table({key: pa.array(ids, left.schema.field(key).type), "d": pa.array(near, pa.float64())})
+
+    keys = [group, "_block", "_shard"]
+    best = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(run, f"{key} {dict(vectors.dtypes)[key]}, d double")
+    ranked = best.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy("d"))).filter(F.col("_k") <= k)
+    return ranked.groupBy(key).agg(F.avg("d").alias("knn"))
 
 
 def dtw(a: np.ndarray, b: np.ndarray, band: int) -> float:

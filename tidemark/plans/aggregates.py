@@ -139,8 +139,8 @@ def pattern_outcomes_full_outer(spark, sf_dir):
 @query("window_expectancy", f"WITH {TRADES} SELECT pattern, avg(ret) AS mean, count(*) AS n FROM trades WHERE exit_date >= (SELECT max(exit_date) FROM trades) - 365 GROUP BY pattern", ("mean",))
 def window_expectancy(spark, sf_dir):
     t = trades(spark, sf_dir)
-    last = t.agg(F.max("exit_date").alias("_last"))
-    return t.join(F.broadcast(last), F.col("exit_date") >= F.date_sub("_last", 365)).groupBy("pattern").agg(F.avg("ret").alias("mean"), F.count("*").alias("n"))
+    last = t.agg(F.max("exit_date")).first()[0]
+    return t.filter(F.col("exit_date") >= F.date_sub(F.lit(last), 365)).groupBy("pattern").agg(F.avg("ret").alias("mean"), F.count("*").alias("n"))
 
 
 @query("cost_recalibration", f"WITH {TRADES}, b AS (SELECT CASE WHEN adv >= 50e6 THEN 'mega' WHEN adv >= 10e6 THEN 'large' WHEN adv >= 1e6 THEN 'mid' ELSE 'small' END AS bucket, abs(ret) * 10000 AS bps FROM trades) SELECT bucket, count(*) AS n, CASE WHEN count(*) >= 30 THEN greatest(quantile_cont(bps, 0.75), 8.0) END AS cost_bps FROM b GROUP BY bucket", ("cost_bps",))
