@@ -65,7 +65,7 @@ class Cuckoo:
         for kick in range(self.KICKS):
             slot = kick % self.SLOTS
             mark, self.table[at, slot] = int(self.table[at, slot]), mark
-            at = int((np.uint64(at) ^ self._spread(np.uint64(mark))) & np.uint64(self.buckets - 1))
+            at = (at ^ int(self._spread(np.array([mark], np.uint64))[0])) & (self.buckets - 1)
             free = np.flatnonzero(self.table[at] == 0)
             if len(free):
                 self.table[at, free[0]] = mark
