@@ -13,13 +13,15 @@ from ..operators import windows as W
 from ..registry import query
 from .inputs import BARS, INTRADAY, TRADES, daily_bars, intraday_bars, table, trades
 
-RET = F.col("ret")
+def _ret():
+    return F.col("ret")
+
 _GAIN, _LOSS = "coalesce(sum(ret) FILTER (WHERE ret > 0), 0)", "coalesce(sum(-ret) FILTER (WHERE ret < 0), 0)"
 
 
 @query("trade_metrics", f"WITH {TRADES} SELECT pattern, count(*) AS n, count(DISTINCT symbol) AS symbols, avg(ret) AS expectancy, CASE WHEN {_LOSS} > 0 THEN {_GAIN} / {_LOSS} END AS profit_factor, avg((ret > 0)::INTEGER) AS winrate, avg(ret) FILTER (WHERE ret > 0) AS avg_win, avg(ret) FILTER (WHERE ret < 0) AS avg_loss FROM trades GROUP BY pattern", ("expectancy", "profit_factor", "winrate", "avg_win", "avg_loss"))
 def trade_metrics(spark, sf_dir):
-    return trades(spark, sf_dir).groupBy("pattern").agg(*A.trade_metrics(RET, F.col("symbol")))
+    return trades(spark, sf_dir).groupBy("pattern").agg(*A.trade_metrics(_ret(), F.col("symbol")))
 
 
 @query(
@@ -29,7 +31,7 @@ SELECT symbol, exit_date, CASE WHEN l > 0 THEN g / l END AS pf_null, CASE WHEN l
     ("pf_null", "pf_gross", "pf_weighted"),
 )
 def profit_factor_conventions(spark, sf_dir):
-    out = trades(spark, sf_dir).groupBy("symbol", "exit_date").agg(A.profit_factor(RET).alias("pf_null"), A.profit_factor(RET, "gross").alias("pf_gross"), A.profit_factor(RET, "inf").alias("i"), A.profit_factor(RET, weight=F.col("qty")).alias("pf_weighted"))
+    out = trades(spark, sf_dir).groupBy("symbol", "exit_date").agg(A.profit_factor(_ret()).alias("pf_null"), A.profit_factor(_ret(), "gross").alias("pf_gross"), A.profit_factor(_ret(), "inf").alias("i"), A.profit_factor(_ret(), weight=F.col("qty")).alias("pf_weighted"))
     return out.withColumn("pf_infinite", F.coalesce(F.col("i") == float("inf"), F.lit(False))).drop("i")
 
 
@@ -252,7 +254,7 @@ FROM m JOIN x USING (pattern)""",
 )
 def promotion_gate(spark, sf_dir):
     t = trades(spark, sf_dir)
-    m = t.groupBy("pattern").agg(*A.trade_metrics(RET, F.col("symbol")), F.countDistinct("symbol", "entry_date").alias("n_eff"))
+    m = t.groupBy("pattern").agg(*A.trade_metrics(_ret(), F.col("symbol")), F.countDistinct("symbol", "entry_date").alias("n_eff"))
     dd = W.equity_curve(t).groupBy("pattern").agg(F.min("drawdown").alias("drawdown"))
     return m.join(dd, "pattern").select("pattern", F.array_join(G.promotion_blockers(), ",").alias("blockers"))
 
