@@ -32,8 +32,8 @@ from .language_id import fold
 from .runtime import materialize
 from .textbytes import SLICE_BYTES, Texts, mix, slices
 
-DEPTH, TOP = 6, 3
-CHUNK_BYTES = 32 << 20
+DEPTH, TOP = 5, 3
+CHUNK_BYTES = 16 << 20
 END = 255
 END_WORD = np.int64(-1)
 #: Rows that are weighted at a time within a shard (a subtree is never split).
