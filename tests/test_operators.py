@@ -265,3 +265,23 @@ def test_session_minutes_toward_zero(spark):
 def test_periods_and_timeframes(spark):
     df = spark.createDataFrame([("2y", "15m"), ("6mo", "1h"), ("3wk", "x"), ("45d", "5m"), ("max", "1m")], "p string, f string")
     assert one(df.select(S.period_months(F.col("p")).alias("p"), S.timeframe_minutes(F.col("f")).alias("f")), "p", "f") == [(24, 15), (6, 60), (1, 5), (2, 5), (None, 1)]
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.integers(0, 5), min_size=1, max_size=40), st.integers(1, 7))
+def test_tiles_equal_ntile(days, tiles):
+    from pyspark.sql import SparkSession, Window
+
+    spark = SparkSession.getActiveSession()
+    df = spark.createDataFrame([(d, i) for i, d in enumerate(days)], "d int, i int").withColumn("want", F.ntile(tiles).over(Window.orderBy("d", "i")))
+    out = R.indexed(df, [], "d", ["i"]).withColumn("got", R.tile(F.col("index"), F.col("index_of"), tiles)).collect()
+    assert all(r.got == r.want for r in out)
+
+
+def test_import_needs_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True, timeout=120)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normal_cdf
+from .ranking import indexed, tile
 from .windows import by
 
 
@@ -66,8 +67,8 @@ def kolmogorov_smirnov(df: DataFrame, keys: list[str], value: str, sample: str)
 
 
 def walk_forward(df: DataFrame, keys: list[str], order: list[str], start: str, end: str, folds: int, embargo_days: int) -> DataFrame:
-    """Purged expanding folds: (fold, n_train, n_test); training rows end before the test's first start less the embargo."""
-    parts = df.withColumn("fold", F.ntile(folds).over(by(keys, order)))
+    """Purged expanding folds by start, then order: (fold, n_train, n_test); training rows end before the test's first start less the embargo."""
+    parts = indexed(df, keys, start, order).withColumn("fold", tile(F.col("index"), F.col("index_of"), folds))
     tests = parts.groupBy(*keys, "fold").agg(F.min(start).alias("_from"), F.count("*").alias("n_test")).filter("fold > 1")
     # Days are counted before they meet the folds, so the join holds days x folds and no pairs of rows.
     days = df.groupBy(*keys, end).agg(F.count("*").alias("_c"))

@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import indexed, tile
 from .windows import by
 
 
@@ -68,7 +69,7 @@ def cpcv(df: DataFrame, order: list[str], start: str, end: str, groups: int, tes
 
     Rows are counted by group and day span first; the splits join those counts.
     """
-    parts = df.withColumns({"_all": F.lit(0)}).withColumn("grp", F.ntile(groups).over(by("_all", order)) - 1)
+    parts = indexed(df, [], start, order).withColumn("grp", tile(F.col("index"), F.col("index_of"), groups) - 1)
     spans = parts.groupBy("grp").agg(F.min(start).alias("s"), F.max(end).alias("e"), F.count("*").alias("n"))
     rows = parts.groupBy("grp", start, end).agg(F.count("*").alias("c"))
     table = df.sparkSession.createDataFrame([(i, g) for i, chosen in enumerate(combinations(range(groups), tested)) for g in chosen], "split int, grp int")
