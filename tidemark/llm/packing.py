@@ -12,6 +12,8 @@ gives an empty result. The operator's own columns start with `bp_`; columns of t
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -30,6 +32,12 @@ ROUNDS = 4
 #: Words whose ids a Python worker keeps; others are encoded each time.
 CACHE_WORDS = 400_000
 _SEPARATOR = "\x01"
+#: Words of visible ASCII and of Latin letters whose lower case is one letter; no normal form changes them.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+")
+#: The characters that byte-level vocabularies write for bytes: visible ones stand for themselves, the others count up from 256.
+_VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 
 
 @lru_cache(1)
@@ -45,11 +53,34 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.separator = self.tokenizer.encode(_SEPARATOR, add_special_tokens=False).ids[0]
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _plain_ids(self, word: str) -> bytes:
+        """A _PLAIN word's ids by the tokenizer's own model: its normaliser only lower-cases such words, and its splitter's pattern is _PARTS."""
+        out = []
+        for part in _PARTS.findall(word.lower()):
+            ids = self.parts.get(part)
+            if ids is None:
+                found = [t.id for t in self.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_CHARS))]
+                ids = struct.pack(f"<{len(found)}H", *found)
+                if len(self.parts) < CACHE_WORDS:
+                    self.parts[part] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def _encode_new(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """ids as little-endian uint16; words go to the tokenizer many at a time, with a separator word between them."""
+        """ids as little-endian uint16; other than plain words go to the tokenizer many at a time, with a separator word between them."""
         out: dict[bytes, bytes] = {}
+        rest = []
+        for w in words:
+            text = w.decode()
+            if _PLAIN(text) and "<|" not in text:
+                out[w] = self._plain_ids(text)
+            else:
+                rest.append(w)
+        words = rest
         plain = [w for w in words if _SEPARATOR.encode() not in w]
         for at in range(0, len(plain), 500):
             some = plain[at : at + 500]
