@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .plans import windows  # noqa: F401, I001  (first: others use its SQL)
 from .plans import aggregates, joins, research, streams  # noqa: F401
-from .plans import intraday  # noqa: F401, I001  (last: it uses the SQL of the others)
+from .plans import intraday, portfolio  # noqa: F401, I001  (last: it uses the SQL of the others)
 from .registry import QUERIES, SQL  # noqa: F401
 
 FLAGSHIP = "gap_event_ledger"
