@@ -278,6 +278,71 @@ def test_tiles_equal_ntile(days, tiles):
     assert all(r.got == r.want for r in out)
 
 
+def test_soft_warping_of_a_series_with_itself(spark):
+    from tidemark.operators import shapes
+
+    df = spark.createDataFrame([(1, [0.0, 1.0, 2.0]), (2, [5.0, 5.0, 5.0]), (3, None)], "id int, v array<double>")
+    got = {r.id: r.divergence for r in shapes.soft_dtw_divergence(df, "id", "v", [0.0, 1.0, 2.0]).collect()}
+    assert got[1] == pytest.approx(0) and got[2] > 1 and got[3] is None
+
+
+def test_two_new_trades_a_day(spark):
+    from tidemark.operators import portfolio
+
+    rows = [("p", s, day(a), day(b), 0.0) for s, a, b in (("A", 0, 3), ("B", 0, 1), ("C", 0, 1), ("A", 2, 4), ("B", 2, 5), ("C", 4, 5), ("A", 4, 6))]
+    df = spark.createDataFrame(rows, "portfolio string, symbol string, entry_date date, exit_date date, ret double")
+    got = sorted(one(portfolio.two_new_a_day(df), "symbol", "entry_date"))
+    assert got == [("A", day(0)), ("A", day(4)), ("B", day(0)), ("B", day(2)), ("C", day(4))]
+
+
+def test_family_check_finds_the_real_edge(spark):
+    from tidemark.operators import shapes
+
+    rng = random.Random(5)
+    df = spark.createDataFrame([(f"m{k}", day(i), rng.gauss(0.3 if k == 0 else 0.0, 1)) for k in range(6) for i in range(250)], "m string, d date, r double")
+    got = {r.m: r.p_family for r in shapes.family_max(df, "m", "d", "r").collect()}
+    assert got["m0"] < 0.05 and min(v for k, v in got.items() if k != "m0") > 0.05
+
+
+def test_streamed_monitors_equal_plain_loops(spark, data):
+    from tidemark.streaming import jobs
+
+    events = spark.read.parquet(f"{data}/events.parquet").orderBy("ts", "event_id").collect()
+    up, down, n, want = {}, {}, {}, []
+    for e in events:
+        k = e.event_type
+        n[k] = n.get(k, 0) + 1
+        up[k], down[k] = max(0.0, up.get(k, 0.0) + e.value - 55.0), max(0.0, down.get(k, 0.0) - (e.value - 50.0) - 5.0)
+        if up[k] > 200 or down[k] > 200:
+            want.append((k, n[k], "up" if up[k] > 200 else "down"))
+            up[k] = down[k] = 0.0
+    got = jobs.run_available(jobs.drift_monitor(jobs.read_events(spark, data), "event_type", "value", 50.0, 5.0, 200.0))
+    assert sorted(one(got, "event_type", "n", "side")) == sorted(want)
+    recent, admitted = {}, {}
+    for e in events:
+        now = e.ts.timestamp()
+        recent[e.user_id] = [t for t in recent.get(e.user_id, []) if t > now - 3600]
+        admitted[e.event_id] = len(recent[e.user_id]) < 2
+        if admitted[e.event_id]:
+            recent[e.user_id].append(now)
+    got = jobs.run_available(jobs.admission(jobs.read_events(spark, data), "user_id", 3600, 2))
+    assert {r.event_id: r.admitted for r in got.collect()} == admitted
+
+
+def test_sessions_close_after_the_gap(spark, data):
+    from tidemark.streaming import jobs
+
+    got = jobs.run_available(jobs.sessions(jobs.read_events(spark, data))).collect()
+    assert got and all((r.end - r.start).total_seconds() >= 1800 for r in got)
+
+
+def test_spending_reaches_alpha(spark):
+    from tidemark.operators import reports
+
+    got = [r.s for r in spark.createDataFrame([(0.1,), (0.5,), (1.0,)], "t double").select(reports.obrien_fleming(F.col("t")).alias("s")).collect()]
+    assert got[0] < 1e-6 and got[0] < got[1] < got[2] == pytest.approx(0.05)
+
+
 def test_import_needs_no_session():
     import subprocess
     import sys

@@ -108,8 +108,8 @@ def family_max(df: DataFrame, family: str, order: str, value: str, draws: int =
 
     day = F.datediff(order, F.lit("1970-01-01")).alias("d")
     parts = daily.select(family, day, F.col("s").cast("double"), F.col("c").cast("double")).mapInArrow(run, f"{family} string, draw int, s double, c double")
-    means = parts.groupBy(family, "draw").agg((F.sum("s") / F.sum("c")).alias("m"))
-    t = means.join(stats, family).withColumn("t", (F.col("m") - F.col("mean")) / (F.col("sd") / F.sqrt("n")))
+    means = parts.groupBy(family, "draw").agg((F.sum("s") / F.sum("c")).alias("_m"))
+    t = means.join(stats, family).withColumn("t", (F.col("_m") - F.col("mean")) / (F.col("sd") / F.sqrt("n")))
     worlds = t.groupBy("draw").agg(F.max("t").alias("best"))
     own = stats.withColumn("t", F.col("mean") / (F.col("sd") / F.sqrt("n")))
     # draws rows against one row a member: both are parameters' sizes.
