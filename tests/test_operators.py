@@ -302,6 +302,18 @@ def test_family_check_finds_the_real_edge(spark):
     df = spark.createDataFrame([(f"m{k}", day(i), rng.gauss(0.3 if k == 0 else 0.0, 1)) for k in range(6) for i in range(250)], "m string, d date, r double")
     got = {r.m: r.p_family for r in shapes.family_max(df, "m", "d", "r").collect()}
     assert got["m0"] < 0.05 and min(v for k, v in got.items() if k != "m0") > 0.05
+    stepped = sorted((-r.t, r.p_adjusted, r.m) for r in shapes.romano_wolf(df, "m", "d", "r").collect())
+    assert stepped[0][2] == "m0" and stepped[0][1] < 0.05
+    assert all(a[1] <= b[1] for a, b in zip(stepped, stepped[1:], strict=False)) and all(p <= got[m] + 1e-9 or p <= stepped[0][1] for _, p, m in stepped)
+
+
+def test_cups():
+    import numpy as np
+
+    from tidemark.operators.shapes import find_cup
+
+    t = np.linspace(-1, 1, 60)
+    assert find_cup(100 + 25 * t**2)[0] and not find_cup(100 - 25 * t**2)[0] and not find_cup(100 + 25 * t)[0] and not find_cup(t[:5])[0]
 
 
 def test_streamed_monitors_equal_plain_loops(spark, data):

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normal_cdf
@@ -87,13 +87,13 @@ def deflated_sharpe(stats: DataFrame, trials: int) -> DataFrame:
     return stats.withColumns({"expected_best": F.lit(float(best)), "dsr": normal_cdf(z)})
 
 
-def family_max(df: DataFrame, family: str, order: str, value: str, draws: int = 200, seed: int = 0) -> DataFrame:
-    """Reality check: studentised mean of each member, and the share of bootstrap worlds whose best member does better.
+def _family_draws(df: DataFrame, family: str, order: str, value: str, draws: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(family, n, mean, t) of each member, and (family, draw, _t): its centred t in each resampled world.
 
     Days are resampled for all members alike: sums by member and day come first, each draw weighs days by a seeded Poisson.
     """
     daily = df.groupBy(family, order).agg(F.sum(value).alias("s"), F.count("*").alias("c"))
-    stats = df.groupBy(family).agg(F.avg(value).alias("mean"), F.count("*").alias("n"), F.stddev_samp(value).alias("sd"))
+    stats = df.groupBy(family).agg(F.avg(value).alias("mean"), F.count("*").alias("n"), F.stddev_samp(value).alias("_sd"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
@@ -109,9 +109,57 @@ def family_max(df: DataFrame, family: str, order: str, value: str, draws: int =
     day = F.datediff(order, F.lit("1970-01-01")).alias("d")
     parts = daily.select(family, day, F.col("s").cast("double"), F.col("c").cast("double")).mapInArrow(run, f"{family} string, draw int, s double, c double")
     means = parts.groupBy(family, "draw").agg((F.sum("s") / F.sum("c")).alias("_m"))
-    t = means.join(stats, family).withColumn("t", (F.col("_m") - F.col("mean")) / (F.col("sd") / F.sqrt("n")))
-    worlds = t.groupBy("draw").agg(F.max("t").alias("best"))
-    own = stats.withColumn("t", F.col("mean") / (F.col("sd") / F.sqrt("n")))
-    # draws rows against one row a member: both are parameters' sizes.
-    sorted_best = worlds.agg(F.sort_array(F.collect_list("best")).alias("_b"), F.lit(1).alias("_one"))
-    return own.withColumn("_one", F.lit(1)).join(F.broadcast(sorted_best), "_one").select(family, "n", "mean", "t", ((F.size(F.filter("_b", lambda x: x >= F.col("t"))) + 1) / (draws + 1)).alias("p_family"))
+    worlds = means.join(stats, family).select(family, "draw", ((F.col("_m") - F.col("mean")) / (F.col("_sd") / F.sqrt("n"))).alias("_t"))
+    return stats.select(family, "n", "mean", (F.col("mean") / (F.col("_sd") / F.sqrt("n"))).alias("t")), worlds
+
+
+def family_max(df: DataFrame, family: str, order: str, value: str, draws: int = 200, seed: int = 0) -> DataFrame:
+    """Reality check: studentised mean of each member, and the share of resampled worlds whose best member does better."""
+    own, worlds = _family_draws(df, family, order, value, draws, seed)
+    best = worlds.groupBy("draw").agg(F.max("_t").alias("_best"))
+    # One number a draw.
+    listed = best.agg(F.collect_list("_best").alias("_b"), F.lit(1).alias("_one"))
+    return own.withColumn("_one", F.lit(1)).join(F.broadcast(listed), "_one").select(family, "n", "mean", "t", ((F.size(F.filter("_b", lambda x: x >= F.col("t"))) + 1) / (draws + 1)).alias("p_family"))
+
+
+def romano_wolf(df: DataFrame, family: str, order: str, value: str, draws: int = 200, seed: int = 0) -> DataFrame:
+    """Stepdown adjusted p: the k-th best member against the best of those not yet passed, and never below the ones before.
+
+    Windows hold one row a member (a draw's members, or the family's).
+    """
+    own, worlds = _family_draws(df, family, order, value, draws, seed)
+    ranked = own.withColumn("_k", F.row_number().over(Window.orderBy(F.col("t").desc(), family)))
+    rest = worlds.join(ranked.select(family, "_k", "t"), family).withColumn("_max", F.max("_t").over(Window.partitionBy("draw").orderBy(F.col("_k").desc())))
+    p = rest.groupBy(family, "_k").agg(((F.count_if(F.col("_max") >= F.col("t")) + 1) / (F.count("*") + 1)).alias("_p"))
+    adjusted = p.withColumn("p_adjusted", F.max("_p").over(Window.orderBy("_k"))).select(family, "p_adjusted")
+    return ranked.drop("_k").join(adjusted, family)
+
+
+def find_cup(close: np.ndarray, low_depth: float = 0.08, high_depth: float = 0.5, rim: float = 0.1) -> tuple[bool, float]:
+    """A rounded base: two rims of like height around a trough in the middle, then a close near the right rim. (found, score)."""
+    n = len(close)
+    if n < 12:
+        return False, 0.0
+    third = n // 3
+    left = int(np.argmax(close[:third]))
+    right = n - third + int(np.argmax(close[n - third :]))
+    trough = left + int(np.argmin(close[left : right + 1]))
+    top = min(close[left], close[right])
+    depth = 1 - close[trough] / top if top > 0 else 0.0
+    level = abs(close[left] - close[right]) / max(close[left], close[right])
+    centre = abs((trough - left) / max(right - left, 1) - 0.5)
+    found = low_depth <= depth <= high_depth and level <= rim and centre <= 0.25 and close[-1] >= 0.9 * close[right]
+    return bool(found), float(max(0.0, 1 - level / rim) * 0.5 + (1 - 2 * centre) * 0.5)
+
+
+def cups(bars: DataFrame, size: int) -> DataFrame:
+    """(symbol, date, found, score) at each bar that ends a full window of closes."""
+    w = Window.partitionBy("symbol").orderBy("date").rowsBetween(-(size - 1), 0)
+    full = bars.withColumn("_w", F.collect_list("close").over(w)).filter(F.size("_w") == size).select("symbol", "date", "_w")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [find_cup(np.array(x, float)) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.bool_()), pa.array([g[1] for g in got], pa.float64())], ["symbol", "date", "found", "score"])
+
+    return full.mapInArrow(run, "symbol string, date date, found boolean, score double")

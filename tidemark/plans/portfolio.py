@@ -145,3 +145,13 @@ def deflated_sharpe(spark, sf_dir):
 @query("family_reality_check")
 def family_reality_check(spark, sf_dir):
     return H.family_max(trades(spark, sf_dir), "symbol", "exit_date", "ret")
+
+
+@query("romano_wolf")
+def romano_wolf(spark, sf_dir):
+    return H.romano_wolf(trades(spark, sf_dir), "symbol", "exit_date", "ret")
+
+
+@query("cup_detector")
+def cup_detector(spark, sf_dir):
+    return H.cups(daily_bars(spark, sf_dir), 60)
