@@ -13,8 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import importance, line_dedup, mixing, packing, simhash
-from tidemark.llm.runtime import shared_dir
-from tidemark.session import ship
+from tidemark.session import shared_dir, ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 

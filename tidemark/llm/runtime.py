@@ -1,23 +1,15 @@
-"""Shared Spark helpers of the corpus operators: cutting lineage, partition counts, Arrow text access."""
+"""Cutting lineage for the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
+from ..session import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
 
-
-def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+def materialize(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again; lineage ends there.
 
     A lost executor costs at most the running tasks, since the files outlive it.
@@ -26,7 +18,3 @@ def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
