@@ -37,7 +37,7 @@ CHUNK_BYTES = 16 << 20
 END = 255
 END_WORD = np.int64(-1)
 #: Rows that are weighted at a time within a shard (a subtree is never split).
-PART = 100_000
+PART = 50_000
 NGRAM, WORD = 0, 1
 _LN2 = float(np.log(2))
 _STIRLING_FROM = 10.0
@@ -100,7 +100,7 @@ def _sum_by(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class _Tally:
     """Counts of keys, folded together whenever they have grown to LIMIT."""
 
-    LIMIT = 4_000_000
+    LIMIT = 1_500_000
 
     def __init__(self):
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -194,6 +194,7 @@ def count(chunks: DataFrame, shards: int, depth: int = DEPTH) -> DataFrame:
                     cuts = np.searchsorted(shard[order], np.arange(shards + 1))
                     parts = [order[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
                     some = [s for s, p in enumerate(parts) if len(p)]
+                    pa.default_memory_pool().release_unused()
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(some), kind, np.int8)), pa.array(np.array(some, np.int32)), pa.array(np.full(len(some), chunk)), pa.array([_packed(keys[parts[s]]) for s in some], pa.binary()), pa.array([_packed(n[parts[s]].astype(np.uint32)) for s in some], pa.binary())],
                         ["lm_kind", "lm_shard", "lm_chunk", "lm_keys", "lm_n"],
@@ -385,8 +386,9 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         if not left.num_rows:
             return pa.table({c: pa.array([], t) for c, t in zip(names, types, strict=True)})
         found = {NGRAM: [], WORD: []}
-        for k, keys, v in zip(*(right.column(c).to_pylist() for c in ("lm_kind", "lm_keys", "lm_values")), strict=True):
-            found[k].append((_unpacked(keys), _unpacked(v, _KINDS[k])))
+        for k, keys, v in zip(*(right.column(c) for c in ("lm_kind", "lm_keys", "lm_values")), strict=True):
+            found[k.as_py()].append((_unpacked(keys.as_py()), _unpacked(v.as_py(), _KINDS[k.as_py()])))
+        del right
         grams, spoken = (Lookup(np.concatenate([k for k, _ in x]), np.concatenate([v for _, v in x])) for x in found.values())
         out = []
         for t, flags in _texts(*(left.column(c)[0].as_py() for c in ("lm_train", "lm_ends", "lm_text"))):
@@ -397,6 +399,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
             known = np.bincount(word_rows, weights=value > -0.2, minlength=t.n).astype(np.int64)  # log10(1/2) is that of unseen words
             out.append([flags, np.bincount(word_rows, minlength=t.n), known, np.bincount(word_rows, weights=value, minlength=t.n), ln_p, np.diff(t.offsets)])
         ids = left.column("lm_ids").combine_chunks().flatten()
+        pa.default_memory_pool().release_unused()
         return pa.table([ids, *(pa.array(np.concatenate(x)) for x in zip(*out, strict=True))], names=names)
 
     names = [key, "lm_train", "lm_tokens", "lm_known", "lm_word_log10", "lm_ln_p", "lm_bytes"]
