@@ -245,3 +245,19 @@ def test_language_dictionaries(spark):
     known = language_id.Compressors([("en", b"the cat and the dog were in the garden of the house " * 3), ("de", "der hund und die katze waren in dem garten hinter dem haus ".encode() * 3)])
     assert known.predict("the garden of the dog")[0] == "en" and known.predict("die katze und der hund")[0] == "de"
     assert known.predict("123 !!")[0] == known.predict(None)[0] == known.predict("")[0] == "und"
+
+
+def test_maxscore_of_repeated_ids_large_numbers_and_lengths(spark, monkeypatch):
+    monkeypatch.setattr(maxscore, "SHARD_ROWS", 16)
+    monkeypatch.setattr(maxscore, "QUERY_BLOCK", 2)
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) * 2.0**17 for x in rng.normal(size=3 + i % 2)]) for i in range(80)] + [(7, [1.0, 2.0, 3.0])] * 40 + [(0, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame(rows[:6] + rows[:3], df.schema)
+    found = {}
+    for r in maxscore.top_k(df, asked).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], -r.score, r.vec_id))
+    whole = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows]
+    for q, v in whole[:6]:
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in whole if i != q and len(w) == len(v))[:10]
+        assert sorted(found[q]) == [(n + 1, *b) for n, b in enumerate(best)]

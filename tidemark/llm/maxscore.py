@@ -6,23 +6,26 @@ threshold, terms are split by falling bound: the terms whose remaining bounds co
 are essential and their postings are traversed; the other terms are probed only for vectors that stay competitive. Shards
 give their k best and merge. Results are exact, ties to the smaller id.
 
-Queries meet the shards in blocks of QUERY_BLOCK, so no task holds more than one shard and one block.
+Queries meet the shards in blocks of QUERY_BLOCK, so no task holds more than one shard and one block; rows are dealt to both by
+number, so an id that many rows share fills none. Every row is copied once for each block or shard of the other side, hence
+their sizes. Sums are taken in doubles where none can pass 2 ** 53, which is exact, else in 64-bit integers.
 
 Vectors that are null, or that hold a null or a non-finite component, take no part, as queries or as candidates; neither do
 null ids, and neither do vectors whose length differs from the queries' (their block is scored length by length). Repeated rows of an id are candidates
-of their own; a query's own id is never its result. No queries or no candidates: an empty result.
+of their own, and ask once; a query's own id is never its result. No queries or no candidates: an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import materialize
 
-SHARD_ROWS, QUERY_BLOCK, SCALE, K = 1024, 1024, 1024, 10
+SHARD_ROWS, QUERY_BLOCK, SCALE, K = 8192, 8192, 1024, 10
 PROBE = 8
 
 
@@ -34,6 +37,9 @@ def whole_numbers(vector: Column, scale: int = SCALE) -> Column:
 
 def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """(query, id, score) of each query's k best in a shard by MaxScore; ids ascend."""
+    most = float(np.abs(vectors.astype(float)).max()) * float(np.abs(queries.astype(float)).max()) * vectors.shape[1]
+    if most < 1 << 53:
+        vectors, queries = vectors.astype(float), queries.astype(float)
     postings = np.ascontiguousarray(vectors.T)
     high, low = postings.max(axis=1), postings.min(axis=1)
     out = []
@@ -66,25 +72,31 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     return out
 
 
+def _by_length(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per length but 0: the rows of a list column that have it, and their values as a matrix."""
+    sizes = pc.list_value_length(column).to_numpy()
+    return {n: (at, pc.list_flatten(column.take(pa.array(at))).to_numpy().reshape(-1, n)) for n in np.unique(sizes[sizes > 0]).tolist() for at in [np.flatnonzero(sizes == n)]}
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K, scale: int = SCALE) -> DataFrame:
     """(query_id, rank, <key>, score) of each query's k best among vectors; queries: rows of the same two columns."""
     numbers = lambda df: df.select(F.col(key).cast("long").alias("id"), whole_numbers(F.col(vector), scale).alias("v")).filter("id is not null and v is not null")
-    candidates, asked = materialize(numbers(vectors)), materialize(numbers(queries))
+    numbered = lambda df: materialize(df.withColumn("row", F.monotonically_increasing_id()))
+    candidates, asked = numbered(numbers(vectors)), numbered(numbers(queries).distinct())
     shards, blocks = max(1, -(-candidates.count() // SHARD_ROWS)), max(1, -(-asked.count() // QUERY_BLOCK))
-    dealt = candidates.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    deal = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
+    dealt = candidates.select("id", "v", deal(shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     # Every shard needs each query once; a block of queries is copied to the shards.
-    copies = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    copies = asked.select("id", "v", deal(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
 
     def run(left, right):
         found = []
-        if left.num_rows and right.num_rows:
-            ls, rs = (np.array([len(x) for x in t.column("v").to_pylist()]) for t in (left, right))
-            for n in np.intersect1d(ls, rs):
-                if not n:
-                    continue
-                ids, v, qids, q = (f(t, at) for t, at in ((left, ls == n), (right, rs == n)) for f in (lambda t, at: t.column("id").to_numpy()[at], lambda t, at: np.array([x for x, ok in zip(t.column("v").to_pylist(), at, strict=True) if ok], np.int64)))
-                order = np.argsort(ids, kind="stable")
-                found += search_shard(ids[order], v[order], qids, q, k)
+        ours, theirs = _by_length(left.column("v")), _by_length(right.column("v"))
+        for n in ours.keys() & theirs.keys():
+            (at, v), (asking, q) = ours[n], theirs[n]
+            ids = left.column("id").to_numpy()[at]
+            order = np.argsort(ids, kind="stable")
+            found += search_shard(ids[order], v[order], right.column("id").to_numpy()[asking], q, k)
         columns = list(zip(*found, strict=True)) or [[], [], []]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.int64())})
 
