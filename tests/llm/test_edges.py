@@ -261,3 +261,11 @@ def test_maxscore_of_repeated_ids_large_numbers_and_lengths(spark, monkeypatch):
     for q, v in whole[:6]:
         best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in whole if i != q and len(w) == len(v))[:10]
         assert sorted(found[q]) == [(n + 1, *b) for n, b in enumerate(best)]
+
+
+def test_context_tree_lowers_only_ascii_letters(spark):
+    df = spark.createDataFrame([(1, "Abra Cadabra É"), (2, "abra cadabra É"), (3, "abra cadabra é")], "doc_id long, text string")
+    got = {r.doc_id: r.lm_score for r in ct.score(df, F.lit(True)).collect()}
+    raw = {r.doc_id: r.lm_score for r in ct.score(df, F.lit(True), lower=False).collect()}
+    assert got[1] == pytest.approx(got[2]) and got[1] != pytest.approx(got[3]) and raw[1] != pytest.approx(raw[2])
+    assert got[1] > raw[1]

@@ -1,6 +1,6 @@
 """Language-model scoring by context-tree weighting over bytes.
 
-A text's symbols are its bytes and one end mark (255, which UTF-8 never uses); a symbol is eight binary decisions, and each
+A text's symbols are its bytes, A-Z lower-cased unless `lower` is off, and one end mark (255, which UTF-8 never uses); a symbol is eight binary decisions, and each
 decision is predicted in the contexts of the last 0 to DEPTH bytes (zeros before the text). Every context has a
 Krichevsky-Trofimov estimate of each decision, and context-tree weighting mixes the depths by how well they coded the
 training texts: P_w = 1/2 KT + 1/2 product of the children's P_w. The result is a proper probability of the whole text.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .language_id import fold
 from .runtime import materialize
-from .textbytes import SLICE_BYTES, Texts, mix, slices
+from .textbytes import LOWER, SLICE_BYTES, Texts, mix, slices
 
 DEPTH, TOP = 5, 3
 CHUNK_BYTES = 16 << 20
@@ -134,7 +134,7 @@ def _unpacked(raw: bytes, kind=np.int64) -> np.ndarray:
     return np.cumsum(a) if kind == np.int64 else a
 
 
-def chunked(docs: DataFrame, key: str, text: str, train: Column, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def chunked(docs: DataFrame, key: str, text: str, train: Column, chunk_bytes: int = CHUNK_BYTES, lower: bool = True) -> DataFrame:
     """Rows of about chunk_bytes of text: lm_chunk, lm_ids, and as bytes lm_train (a flag a row), lm_ends (int64), lm_text (compressed)."""
     kind = dict(docs.dtypes)[key]
 
@@ -153,7 +153,7 @@ def chunked(docs: DataFrame, key: str, text: str, train: Column, chunk_bytes: in
                 ids.append(b.column(0).slice(t.row, t.n))
                 flags.append(train_flags[t.row : t.row + t.n])
                 ends.append(t.offsets[1:] + size)
-                data.append(t.data.copy())
+                data.append(LOWER[t.data] if lower else t.data.copy())
                 size += len(t.data)
                 if size >= chunk_bytes:
                     yield row()
@@ -373,10 +373,10 @@ class Lookup:
         return self.values[slot]
 
 
-def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES, lower: bool = True) -> DataFrame:
     """(key, lm_train, lm_tokens, lm_known, lm_train_tokens, lm_base, lm_score, lm_bits_per_byte) of every row; scores are log10."""
     kind = dict(docs.dtypes)[key]
-    chunks = chunked(docs, key, text, train, chunk_bytes)
+    chunks = chunked(docs, key, text, train, chunk_bytes, lower)
     shards = max(32, 2 * chunks.count())
     counts = materialize(count(chunks, shards, depth))
     words, n_words, n_tokens = word_values(counts)
