@@ -32,7 +32,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: one document of each group of near copies stays."""
+    """Operator 2, linked by five-word shingles (Jaccard similarity of 0.8 or more): one document of each group of near copies stays."""
     ship(spark)
     return simhash.keep_one(docs).select(*docs.columns)
 

@@ -56,6 +56,33 @@ def test_one_of_each_group_stays(stages):
     assert {r.doc_id for r in after.collect()} == groups
 
 
+def test_no_pair_of_similar_texts_stays(spark):
+    """Against all pairs by brute force: one of each group linked by five-word Jaccard similarity of 0.8 or more."""
+    where = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    sets, parent = {}, {}
+    for r in docs.select("doc_id", "text").collect():
+        w = (r.text or "").encode().lower().split()
+        sets[r.doc_id], parent[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}, r.doc_id
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    by = sorted(sets, key=lambda i: len(sets[i]))
+    for n, a in enumerate(by):
+        for b in by[n + 1 :]:
+            if len(sets[a]) < 0.8 * len(sets[b]):
+                break
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    kept = [r.doc_id for r in cp.near_duplicates(spark, docs, where).select("doc_id").collect()]
+    assert sorted(kept) == sorted({root(i) for i in sets})
+
+
 def test_mixture_repeats_documents(stages):
     from tidemark.llm import mixing
 

@@ -11,6 +11,13 @@ fingerprint and enter the index once.
 Null text and texts without words: fingerprint zero, linked like any other. Null doc_id: kept, never a component's id unless
 all its documents have none. Repeated rows share a fingerprint. An empty table gives an empty result. Very long texts are
 hashed whole. Other columns pass through `fingerprints`; columns that start with `nd_` are replaced.
+
+That is the contract of op2 (`near_prints`). `near_duplicates` and `keep_one`, which the pipeline uses, link by similarity
+instead: all texts whose sets of five-word shingles have a Jaccard similarity of SIMILAR or more. A simhash of such a pair
+differs in 10 of 64 bits on average, too many for posting lists, so candidates come from MinHash: BANDS keys of BAND_ROWS
+least hashes each, of which a pair of similarity 0.8 shares none with a probability of 5e-6. Equal sets are one node. The
+members of a list are first linked to its smallest; pairs are then formed only between components that still meet in a list.
+Every candidate is verified by its sets of 64-bit hashes. nd_print is there the hash of the set (zero: no words).
 """
 
 from __future__ import annotations
@@ -26,9 +33,16 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .runtime import materialize
-from .textbytes import slices
+from .textbytes import mix, slices
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
+SIMILAR, SIMILAR_SHINGLE = 0.8, 5
+BANDS, BAND_ROWS = 40, 6
+#: Shingles hashed at a time by all MinHash functions.
+TILE = 256
+_RANDOM = np.random.default_rng(SEED)
+_FACTORS = _RANDOM.integers(0, 1 << 32, BANDS * BAND_ROWS, dtype=np.uint32) | np.uint32(1)
+_SHIFTS = _RANDOM.integers(0, 1 << 32, BANDS * BAND_ROWS, dtype=np.uint32)
 
 
 def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> list[int]:
@@ -88,23 +102,102 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return tally.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
-    """(key, nd_print, nd_component): the component's id is the smallest key in it."""
-    printed = materialize(fingerprints(docs, text, [key], shingle))
-    distinct = materialize(printed.groupBy("nd_print").agg(F.min(key).alias("nd_first")))
-    found = components(links(distinct, max_bits))
+def _named(printed: DataFrame, distinct: DataFrame, linked: DataFrame, key: str) -> DataFrame:
+    found = components(linked)
     rooted = distinct.join(found, distinct["nd_print"] == found["node"], "left").select("nd_print", "nd_first", F.coalesce("root", "nd_print").alias("nd_root"))
     least = rooted.groupBy("nd_root").agg(F.min("nd_first").alias("nd_component"))
     named = materialize(rooted.join(least, "nd_root").select(F.col("nd_print").alias("nd_p"), "nd_component"))
-    return printed.join(named, F.col("nd_print") == F.col("nd_p")).drop("nd_p")
+    return printed.select(key, "nd_print").join(named, F.col("nd_print") == F.col("nd_p")).drop("nd_p")
+
+
+def near_prints(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
+    """(key, nd_print, nd_component) by fingerprints at most max_bits apart: the component's id is the smallest key in it."""
+    printed = materialize(fingerprints(docs, text, [key], shingle))
+    distinct = materialize(printed.groupBy("nd_print").agg(F.min(key).alias("nd_first")))
+    return _named(printed, distinct, links(distinct, max_bits), key)
+
+
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """The BANDS keys of a set of 64-bit hashes, as signed longs."""
+    low, least = found.astype(np.uint32), np.full(BANDS * BAND_ROWS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(low), TILE):
+        np.minimum(least, (low[at : at + TILE, None] * _FACTORS + _SHIFTS).min(axis=0), out=least)
+    keys = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+    for row in least.reshape(BANDS, BAND_ROWS).T:
+        keys = mix(keys + row)
+    return keys.view(np.int64)
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in parts])]), pa.int32()), pa.array(np.concatenate(parts)))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+def _set(text: bytes, shingle: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, shingle), np.uint64).view(np.int64))
+
+
+def shingle_prints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """(key, nd_text, nd_print, nd_bands): the hash of each text's set of shingles and the set's band keys."""
+    kind = dict(docs.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in slices(b.column(1)):
+                sets = [_set(t.text(i), shingle) for i in range(t.n)]
+                prints = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
+                bands = [band_keys(x.view(np.uint64)) if len(x) else x for x in sets]
+                yield pa.RecordBatch.from_arrays([*(c.slice(t.row, t.n) for c in b.columns), pa.array(prints), _lists(bands)], [key, "nd_text", "nd_print", "nd_bands"])
+
+    return docs.select(key, F.col(text).alias("nd_text")).mapInArrow(run, f"`{key}` {kind}, nd_text string, nd_print long, nd_bands array<long>")
+
+
+def similar_links(printed: DataFrame, distinct: DataFrame, similar: float = SIMILAR, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """Links (u, v) of prints that join all sets of at least this Jaccard similarity.
+
+    printed: nd_row, nd_print, nd_text, nd_bands; distinct: each nd_print with one of its rows.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in slices(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(t.row, t.n), _lists([_set(t.text(i), shingle) for i in range(t.n)])], ["nd_print", "nd_set"])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs.distinct())
+        asked = pairs.select(F.col("u").alias("nd_print")).union(pairs.select(F.col("v").alias("nd_print"))).distinct()
+        rows = distinct.join(asked, "nd_print", "left_semi").select("nd_row")
+        held = materialize(printed.join(rows, "nd_row", "left_semi").select("nd_print", "nd_text").mapInArrow(sets, "nd_print long, nd_set array<long>"))
+        one, two = held.toDF("u", "one"), held.toDF("v", "two")
+        a, b = F.size("one"), F.size("two")
+        sized = pairs.join(one, "u").join(two, "v").filter(F.least(a, b) >= similar * F.greatest(a, b))
+        both = F.size(F.array_intersect("one", "two"))
+        return materialize(sized.select("u", "v", both.alias("both"), (a + b).alias("all")).filter(F.col("both") >= similar * (F.col("all") - F.col("both"))).select("u", "v"))
+
+    posts = printed.select("nd_row", "nd_print", "nd_bands").join(distinct.select("nd_row"), "nd_row", "left_semi").select("nd_print", F.explode("nd_bands").alias("band"))
+    shared = posts.groupBy("band").agg(F.min("nd_print").alias("v"), F.max("nd_print").alias("w")).filter("v < w").drop("w")
+    posts = materialize(posts.join(shared, "band"))
+    stars = verified(posts.filter("nd_print <> v").select(F.col("nd_print").alias("u"), "v"))
+    roots = components(stars).withColumnRenamed("node", "nd_print")
+    rooted = materialize(posts.join(roots, "nd_print", "left").select("band", "nd_print", F.coalesce("root", "nd_print").alias("root")))
+    still = rooted.groupBy("band").agg(F.min("root").alias("v"), F.max("root").alias("w")).filter("v < w").select("band")
+    meet = materialize(rooted.join(still, "band"))
+    one, two = meet.toDF("band", "u", "a"), meet.toDF("band", "v", "b")
+    return stars.union(verified(one.join(two, "band").filter("a < b").select("u", "v")))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """(key, nd_print, nd_component) by similar sets of shingles: the component's id is the smallest key in it."""
+    printed = materialize(shingle_prints(docs, key, text, shingle).withColumn("nd_row", F.monotonically_increasing_id()))
+    distinct = materialize(printed.groupBy("nd_print").agg(F.min(key).alias("nd_first"), F.min("nd_row").alias("nd_row")))
+    return _named(printed, distinct, similar_links(printed, distinct, similar, shingle), key)
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
     """docs with one document of each component, that with the smallest key; repeated rows of that key all stay."""
-    first = near_duplicates(docs, key, text, max_bits).filter(F.col(key).eqNullSafe(F.col("nd_component"))).select(F.col(key).alias("nd_key")).distinct()
+    first = near_duplicates(docs, key, text, similar, shingle).filter(F.col(key).eqNullSafe(F.col("nd_component"))).select(F.col(key).alias("nd_key")).distinct()
     return docs.join(first, F.col(key).eqNullSafe(F.col("nd_key")), "left_semi")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
-    out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = near_prints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("nd_print"), 16, "0")).alias("fingerprint"), F.col("nd_component").alias("component_id"))
