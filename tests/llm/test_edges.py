@@ -185,6 +185,13 @@ def test_context_tree_equals_plain_recursion(spark):
         assert found[i] == pytest.approx(want, rel=1e-4), (i, t)
 
 
+def test_context_tree_uses_the_sixth_byte(spark):
+    """After the same five bytes only the sixth tells the next one."""
+    df = spark.createDataFrame([(i, f"{c}vwxyz{c}", i < 40) for i, c in enumerate("ab" * 20)] + [(50, "avwxyza", False), (51, "avwxyzb", False)], "doc_id long, text string, t boolean")
+    found = {r.doc_id: r.lm_score for r in ct.score(df, F.col("t")).collect()}
+    assert found[50] > found[51] + 0.5
+
+
 def test_log_gamma():
     x = np.array([0.5, 1, 1.5, 2, 7.3, 100, 12345.5])
     assert np.allclose(ct.log_gamma(x), [math.lgamma(v) for v in x], atol=1e-9)

@@ -32,7 +32,7 @@ from .language_id import fold
 from .runtime import materialize
 from .textbytes import LOWER, SLICE_BYTES, Texts, mix, slices
 
-DEPTH, TOP = 5, 3
+DEPTH, TOP = 6, 3
 CHUNK_BYTES = 16 << 20
 END = 255
 END_WORD = np.int64(-1)
