@@ -276,3 +276,49 @@ def test_context_tree_lowers_only_ascii_letters(spark):
     raw = {r.doc_id: r.lm_score for r in ct.score(df, F.lit(True), lower=False).collect()}
     assert got[1] == pytest.approx(got[2]) and got[1] != pytest.approx(got[3]) and raw[1] != pytest.approx(raw[2])
     assert got[1] > raw[1]
+
+
+def test_simhash_tally_rejects_before_verification(spark):
+    """Pairs that share too few positional bytes meet in the index, are counted, and go by their count; the entry changes nothing."""
+    rng = random.Random(9)
+    base = rng.getrandbits(64)
+    prints = {base} | {base ^ sum(rng.randint(1, 255) << 8 * i for i in rng.sample(range(8), n)) for n in (1, 2, 3, 4) for _ in range(30)}
+    prints |= {base ^ (1 << a) ^ (1 << b) for a, b in ((0, 63), (5, 6), (31, 32))}
+    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "nd_print long")
+    signed = lambda x: x & (1 << 64) - 1
+    linked = []
+    for entry in (4, 6, 8):
+        met = {(signed(r.u), signed(r.v)): r.shared for r in simhash.tallied(df, entry=entry).collect()}
+        assert all(n == sum((u ^ v) >> 8 * i & 255 == 0 for i in range(8)) for (u, v), n in met.items())
+        assert entry == 8 or any(n < 6 for n in met.values())
+        linked.append({frozenset((signed(r.u), signed(r.v))) for r in simhash.links(df, entry=entry).collect()})
+    assert linked[0] == linked[1] == linked[2] == {frozenset((a, b)) for a in prints for b in prints if a != b and (a ^ b).bit_count() <= 2}
+    plan = simhash.links(df, entry=6)._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(1)" in plan
+    assert [simhash.entry_positions(n) for n in (0, 1000, 1 << 21, 1 << 30, 1 << 40)] == [4, 4, 5, 6, 7]
+
+
+def test_maxscore_traverses_essential_postings_only():
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 24)) * 900
+    v = np.floor(centres[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 24)) * 60).astype(np.int64)
+    ids, read = np.arange(3000), {}
+    found = maxscore.search_shard(ids, v, ids[:20], v[:20], 10, read)
+    want = [(q, i, -s) for q in range(20) for s, i in sorted((-int(v[q] @ v[j]), j) for j in range(3000) if j != q)[:10]]
+    assert found == want
+    assert read["postings"] < read["all"] / 2 and read["probed"] < 20 * 3000 / 4
+
+
+def test_maxscore_splits_by_running_bounds():
+    bounds = np.array([[9.0, 5, 1, -np.inf], [3, 2, 1, -np.inf], [1, 1, 1, -np.inf]])
+    assert maxscore.essential(bounds, 20).tolist() == [0, 0, 0]
+    assert maxscore.essential(bounds, 8).tolist() == [2, 0, 0]
+    assert maxscore.essential(bounds, -100).tolist() == [3, 0, 0]
+
+
+def test_maxscore_refuses_scores_past_64_bits():
+    big = np.full((3, 2), 1 << 62, np.int64)
+    with pytest.raises(OverflowError):
+        maxscore.search_shard(np.arange(3), big, np.arange(1), big[:1], 2)
+    near = np.array([[(1 << 30) + i, 1] for i in range(40)], np.int64)
+    assert [x[1] for x in maxscore.search_shard(np.arange(40), near, np.array([5]), near[5:6], 3)] == [39, 38, 37]

@@ -1,14 +1,19 @@
-"""Exact top-k inner-product search with MaxScore over sharded postings.
-
-Vectors are rounded to integers; a dimension is a term and its postings in a shard are the shard's values of it. Each
-query term's score bound in a shard is its largest possible contribution there. With the best known k-th score as
-threshold, terms are split by falling bound: the terms whose remaining bounds could still lift a vector over the threshold
-are essential and their postings are traversed; the other terms are probed only for vectors that stay competitive. Shards
-give their k best and merge. Results are exact, ties to the smaller id.
+"""Exact top-k inner-product search with MaxScore over sharded postings blocked by value.
+
+Vectors are rounded to integers; a dimension is a term, and its postings in a shard are the shard's rows in order of their
+value, cut into BLOCKS blocks. For a query a block's bound is the largest contribution that its rows can make to the score.
+The best known k-th score is the threshold. The postings are split by their bounds: per term the blocks of the largest
+contributions are essential, as far down as is needed until the bounds of the terms' next blocks sum up to less than the
+threshold; a row that stands in no essential block can't reach it. (A term none of whose blocks is needed is non-essential as
+a whole. Vectors are dense, so whole lists alone would rule out nothing.) The essential postings are traversed and their
+contributions summed by row; the other terms are probed only for rows that stay competitive, that is whose sum and
+remaining bounds reach the threshold. They are probed in order of that bound, and the threshold rises on the way. Shards give
+their k best and merge. Results are exact, ties to the smaller id.
 
 Queries meet the shards in blocks of QUERY_BLOCK, so no task holds more than one shard and one block; rows are dealt to both by
 number, so an id that many rows share fills none. Every row is copied once for each block or shard of the other side, hence
-their sizes. Sums are taken in doubles where none can pass 2 ** 53, which is exact, else in 64-bit integers.
+their sizes. Sums are taken in doubles where none can pass 2 ** 53, which is exact; else scores are 64-bit integers and bounds are
+widened by more than doubles can err. Vectors whose scores could pass 64 bits are an error (OverflowError), never wrapped.
 
 Vectors that are null, or that hold a null or a non-finite component, take no part, as queries or as candidates; neither do
 null ids, and neither do vectors whose length differs from the queries' (their block is scored length by length). Repeated rows of an id are candidates
@@ -26,7 +31,9 @@ from pyspark.sql import functions as F
 from .runtime import materialize
 
 SHARD_ROWS, QUERY_BLOCK, SCALE, K = 8192, 8192, 1024, 10
-PROBE = 8
+BLOCKS = 32
+#: Rows probed before the threshold first rises, twice as many before it rises again, and so on.
+PROBE = 64
 
 
 def whole_numbers(vector: Column, scale: int = SCALE) -> Column:
@@ -35,40 +42,107 @@ def whole_numbers(vector: Column, scale: int = SCALE) -> Column:
     return F.when(F.coalesce(fine, F.lit(False)), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
 
 
-def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, id, score) of each query's k best in a shard by MaxScore; ids ascend."""
+def essential(bounds: np.ndarray, threshold: float) -> np.ndarray:
+    """Per term the number of essential blocks. bounds: terms x (blocks + 1), falling; the last column is that of no block left (-inf).
+
+    Blocks are added by the fall of the bound that they bring until the sum of the next blocks' bounds is below the threshold.
+    """
+    falls = np.minimum.accumulate(bounds[:, :-1] - bounds[:, 1:], axis=1)
+    order = np.argsort(-falls, axis=None, kind="stable")
+    terms = order // falls.shape[1]
+    real = (bounds[:, :-1] - bounds[:, 1:]).ravel()[order]
+    after = bounds[:, 0].sum() - np.cumsum(real)
+    enough = 0 if bounds[:, 0].sum() < threshold else int(np.argmax(after < threshold)) + 1
+    return np.bincount(terms[:enough], minlength=len(bounds))
+
+
+class Shard:
+    """A shard's rows with each term's postings in order of value, cut into blocks."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, blocks: int = BLOCKS):
+        self.ids, self.vectors = ids, vectors
+        self.at = np.argsort(vectors, axis=0, kind="stable").T.astype(np.int32)
+        self.values = np.take_along_axis(vectors, self.at.T, axis=0).T.astype(float)
+        self.cuts = np.unique(np.linspace(0, len(ids), min(blocks, len(ids)) + 1).astype(np.int64))
+        self.tops, self.bottoms = self.values[:, self.cuts[1:] - 1], self.values[:, self.cuts[:-1]]
+
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """Terms x (blocks + 1) bounds for a query, the block of the largest contributions first."""
+        rising = q[:, None] * self.tops[:, ::-1]
+        out = np.where(q[:, None] >= 0, rising, q[:, None] * self.bottoms)
+        return np.concatenate([out, np.full((len(q), 1), -np.inf)], axis=1)
+
+    def traverse(self, q: np.ndarray, depth: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, int]:
+        """Each row's bound (-inf: in no essential block) and the number of postings read; rest: the bound of each term's other blocks."""
+        n, rows, gains = len(self.ids), [], []
+        for d in np.flatnonzero(depth):
+            span = slice(n - self._rows(depth[d], False), n) if q[d] >= 0 else slice(0, self._rows(depth[d], True))
+            rows.append(self.at[d, span])
+            gains.append(q[d] * self.values[d, span] - rest[d])
+        if not rows:
+            return np.full(n, -np.inf), 0
+        rows = np.concatenate(rows)
+        seen = np.zeros(n, bool)
+        seen[rows] = True
+        return np.where(seen, np.bincount(rows, weights=np.concatenate(gains), minlength=n) + rest.sum(), -np.inf), len(rows)
+
+    def _rows(self, blocks: int, from_below: bool) -> int:
+        return int(self.cuts[blocks] if from_below else len(self.ids) - self.cuts[len(self.cuts) - 1 - blocks])
+
+
+def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, read: dict[str, int] | None = None) -> list[tuple[int, int, int]]:
+    """(query, id, score) of each query's k best in a shard by MaxScore. read: gets the numbers of postings traversed and rows probed."""
     most = float(np.abs(vectors.astype(float)).max()) * float(np.abs(queries.astype(float)).max()) * vectors.shape[1]
-    if most < 1 << 53:
-        vectors, queries = vectors.astype(float), queries.astype(float)
-    postings = np.ascontiguousarray(vectors.T)
-    high, low = postings.max(axis=1), postings.min(axis=1)
+    if most >= 2.0**63:
+        raise OverflowError("scores of these vectors can pass 64 bits")
+    exact = most < 1 << 53
+    slack = 0.0 if exact else most * 2.0**-40
+    shard = Shard(ids, vectors.astype(float) if exact else vectors)
     out = []
-    for qid, q in zip(query_ids.tolist(), queries, strict=True):
-        live = np.flatnonzero(ids != qid)
-        if not len(live):
+    for qid, q in zip(query_ids.tolist(), queries.astype(float) if exact else queries, strict=True):
+        own = ids == qid
+        n = len(ids) - int(own.sum())
+        bounds = shard.bounds(q.astype(float))
+        take = min(k, n)
+        if not take:
             continue
-        bounds = np.maximum(q * high, q * low)
-        terms = np.argsort(-bounds, kind="stable")
-        left = np.concatenate([np.cumsum(bounds[terms][::-1])[::-1], [0]])
-        # The threshold starts at the k-th best of the vectors that look best on the leading terms.
-        first = terms[:PROBE]
-        partial = q[first] @ postings[first][:, live]
-        at = len(first)
-        if len(live) > k:
-            lead = np.argpartition(-partial, k - 1)[:k]
-            threshold = int((vectors[live[lead]] @ q).min())
+        # The first threshold: the k-th best of the rows with the largest contributions to the terms of the largest bounds.
+        lead = np.argsort(-np.abs(q).astype(float) * (shard.tops[:, -1] - shard.bottoms[:, 0]), kind="stable")[:8]
+        first = np.unique(np.concatenate([shard.at[d, -2 * k :] if q[d] >= 0 else shard.at[d, : 2 * k] for d in lead]))
+        first = first[~own[first]]
+        scores = shard.vectors[first] @ q
+        threshold = float(np.partition(scores, len(scores) - take)[len(scores) - take]) if len(scores) >= take else -np.inf
+        if n <= k:
+            hopeful, ceiling, postings = np.flatnonzero(~own), None, 0
         else:
-            threshold = None
-        while at < len(terms):
-            if threshold is not None:
-                hopeful = partial + left[at] >= threshold
-                if not hopeful.all():
-                    live, partial = live[hopeful], partial[hopeful]
-            step = terms[at : at + PROBE]
-            partial = partial + q[step] @ postings[np.ix_(step, live)]
-            at += len(step)
-        best = np.lexsort((ids[live], -partial))[:k]
-        out += [(qid, int(ids[live[i]]), int(partial[i])) for i in best]
+            depth = essential(bounds, threshold - slack)
+            ceiling, postings = shard.traverse(q.astype(float), depth, np.where(depth < bounds.shape[1] - 1, bounds[np.arange(len(q)), depth], 0.0))
+            ceiling[own] = -np.inf
+            ceiling[first] = -np.inf  # scored already
+            hopeful = np.flatnonzero(ceiling >= threshold - slack)
+            hopeful = hopeful[np.argsort(-ceiling[hopeful], kind="stable")]
+        found, values = ([], []) if ceiling is None else ([first], [scores])
+        probed = 0
+        at, step = 0, PROBE
+        while at < len(hopeful):
+            rows = hopeful[at : at + step]
+            at, step = at + step, 2 * step
+            if ceiling is not None:
+                rows = rows[ceiling[rows] >= threshold - slack]
+                if not len(rows):
+                    break
+            found.append(rows)
+            values.append(shard.vectors[rows] @ q)
+            probed += len(rows)
+            if ceiling is not None:
+                best = np.concatenate(values)
+                if len(best) >= take:
+                    threshold = max(threshold, float(np.partition(best, len(best) - take)[len(best) - take]))
+        rows, scores = np.concatenate(found), np.concatenate(values)
+        best = np.lexsort((ids[rows], -scores))[:k]
+        out += [(qid, int(ids[rows[i]]), int(scores[i])) for i in best]
+        if read is not None:
+            read.update(postings=read.get("postings", 0) + postings, probed=read.get("probed", 0) + probed, all=read.get("all", 0) + vectors.size)
     return out
 
 

@@ -1,12 +1,13 @@
 """SimHash near-duplicate detection through a byte-position inverted index with count filtering.
 
-Fingerprints that differ in at most MAX_BITS bits agree in at least 8 - MAX_BITS of their 8 bytes. The index therefore posts
-each distinct fingerprint under every choice of that many byte positions with their bytes, so that two fingerprints meet in
-a posting list only if they reach the guaranteed number of matches. (Lists of one byte each would hold N / 256 fingerprints,
-and counting pairs over them would grow with N squared.) The lists in which a pair meets are tallied, the tally gives the
-number of shared positional bytes, and what is retained is verified bit by bit. A posting list leaves MAX_BITS bytes
-free, so it holds at most 256 ** MAX_BITS distinct fingerprints, however many documents there are. Exact copies share a
-fingerprint and enter the index once.
+Fingerprints that differ in at most MAX_BITS bits share at least 8 - MAX_BITS of their 8 positional bytes: the guaranteed
+minimum. Two such prints share all but MAX_BITS of any fixed positions too, so the index is entered by `entry` positions
+only: each distinct fingerprint is posted under every choice of entry - MAX_BITS of them with their bytes. (Lists of one byte
+would hold N / 256 prints, and pairs over them would grow with N squared.) The lists in which a pair meets are counted; the
+count gives the bytes shared at the entry positions, the postings carry the other bytes, and the tally of both is held against
+the minimum. Pairs that reach it are verified bit by bit. `entry` follows from the number of prints, so that random prints
+share a list with few others; results don't depend on it. Exact copies share a fingerprint and enter the index once. A list
+that many prints share is split over tasks by the skew join.
 
 Null text and texts without words: fingerprint zero, linked like any other. Null doc_id: kept, never a component's id unless
 all its documents have none. Repeated rows share a fingerprint. An empty table gives an empty result. Very long texts are
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -85,21 +87,31 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     return docs.select(*names, F.col(text).alias("nd_text")).mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in names), "nd_print long"]))
 
 
-def _masks(max_bits: int) -> list[int]:
-    """Masks that keep 8 - max_bits byte positions, as signed longs."""
-    masks = [sum(0xFF << 8 * i for i in kept) for kept in combinations(range(8), 8 - max_bits)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+def entry_positions(n: int, max_bits: int = MAX_BITS) -> int:
+    """Positions by which the index is entered: the fewest (two over max_bits at least) whose lists hold under 2 ** 4 of n random prints."""
+    return next((e for e in range(max_bits + 2, 8) if n < 1 << (8 * (e - max_bits) + 4)), 8)
 
 
-def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Distinct fingerprints (nd_print) -> all links (u, v) with u < v, at most max_bits bits apart."""
-    keys = F.array(*[F.struct(F.lit(i).alias("at"), F.col("nd_print").bitwiseAND(F.lit(m)).alias("bytes")) for i, m in enumerate(_masks(max_bits))])
+def tallied(distinct: DataFrame, max_bits: int = MAX_BITS, entry: int = 6) -> DataFrame:
+    """(u, v, shared) of all pairs u < v that meet in the index: how many of the 8 positional bytes they share."""
+    chosen = list(combinations(range(entry), entry - max_bits))
+    masks = [sum(0xFF << 8 * i for i in kept) for kept in chosen]
+    keys = F.array(*[F.struct(F.lit(i).alias("at"), F.col("nd_print").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("bytes")) for i, m in enumerate(masks)])
     posted = distinct.select("nd_print", F.explode(keys).alias("k")).select("k.at", "k.bytes", "nd_print")
     one = posted.select("at", "bytes", F.col("nd_print").alias("u"))
     two = posted.select("at", "bytes", F.col("nd_print").alias("v"))
-    tally = one.join(two, ["at", "bytes"]).filter("u < v").groupBy("u", "v").agg(F.count("*").alias("lists"))
-    # A pair with m shared bytes meets in (m choose 8 - max_bits) lists: at least one.
-    return tally.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits).select("u", "v")
+    met = one.join(two, ["at", "bytes"]).filter("u < v").groupBy("u", "v").agg(F.count("*").alias("lists"))
+    # Pairs with m bytes in common at the entry positions meet in (m choose entry - max_bits) lists.
+    by_lists = F.create_map(*[F.lit(x) for m in range(entry - max_bits, entry + 1) for x in (comb(m, entry - max_bits), m)])
+    differing = F.col("u").bitwiseXOR(F.col("v"))
+    others = sum((F.when(F.shiftrightunsigned(differing, 8 * i).bitwiseAND(F.lit(0xFF)) == 0, 1).otherwise(0) for i in range(entry, 8)), F.lit(0))
+    return met.select("u", "v", (F.element_at(by_lists, F.col("lists").cast("int")) + others).alias("shared"))
+
+
+def links(distinct: DataFrame, max_bits: int = MAX_BITS, entry: int | None = None) -> DataFrame:
+    """Distinct fingerprints (nd_print) -> all links (u, v) with u < v, at most max_bits bits apart."""
+    retained = tallied(distinct, max_bits, entry or entry_positions(distinct.count(), max_bits)).filter(F.col("shared") >= 8 - max_bits)
+    return retained.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits).select("u", "v")
 
 
 def _named(printed: DataFrame, distinct: DataFrame, linked: DataFrame, key: str) -> DataFrame:
