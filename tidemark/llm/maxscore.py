@@ -6,8 +6,8 @@ The best known k-th score is the threshold. The postings are split by their boun
 contributions are essential, as far down as is needed until the bounds of the terms' next blocks sum up to less than the
 threshold; a row that stands in no essential block can't reach it. (A term none of whose blocks is needed is non-essential as
 a whole. Vectors are dense, so whole lists alone would rule out nothing.) The essential postings are traversed and their
-contributions summed by row; the other terms are probed only for rows that stay competitive, that is whose sum and
-remaining bounds reach the threshold. They are probed in order of that bound, and the threshold rises on the way. Shards give
+contributions summed by row. The best looking rows are scored, which lifts the threshold; the other terms are probed, those that
+can lower a bound most first, only for rows that stay competitive, that is whose sum and remaining bounds reach it. Shards give
 their k best and merge. Results are exact, ties to the smaller id.
 
 Queries meet the shards in blocks of QUERY_BLOCK, so no task holds more than one shard and one block; rows are dealt to both by
@@ -32,8 +32,8 @@ from .runtime import materialize
 
 SHARD_ROWS, QUERY_BLOCK, SCALE, K = 8192, 8192, 1024, 10
 BLOCKS = 32
-#: Rows probed before the threshold first rises, twice as many before it rises again, and so on.
-PROBE = 64
+#: Rows scored before the others are probed, and terms probed between two looks at the bounds.
+PROBE, STEP = 64, 4
 
 
 def whole_numbers(vector: Column, scale: int = SCALE) -> Column:
@@ -91,7 +91,7 @@ class Shard:
 
 
 def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, read: dict[str, int] | None = None) -> list[tuple[int, int, int]]:
-    """(query, id, score) of each query's k best in a shard by MaxScore. read: gets the numbers of postings traversed and rows probed."""
+    """(query, id, score) of each query's k best in a shard by MaxScore. read: gets the numbers of postings traversed and values probed."""
     most = float(np.abs(vectors.astype(float)).max()) * float(np.abs(queries.astype(float)).max()) * vectors.shape[1]
     if most >= 2.0**63:
         raise OverflowError("scores of these vectors can pass 64 bits")
@@ -116,28 +116,37 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
             hopeful, ceiling, postings = np.flatnonzero(~own), None, 0
         else:
             depth = essential(bounds, threshold - slack)
-            ceiling, postings = shard.traverse(q.astype(float), depth, np.where(depth < bounds.shape[1] - 1, bounds[np.arange(len(q)), depth], 0.0))
+            rest = np.where(depth < bounds.shape[1] - 1, bounds[np.arange(len(q)), depth], np.where(q >= 0, q * shard.bottoms[:, 0], q * shard.tops[:, -1]))
+            ceiling, postings = shard.traverse(q.astype(float), depth, rest)
             ceiling[own] = -np.inf
             ceiling[first] = -np.inf  # scored already
             hopeful = np.flatnonzero(ceiling >= threshold - slack)
             hopeful = hopeful[np.argsort(-ceiling[hopeful], kind="stable")]
-        found, values = ([], []) if ceiling is None else ([first], [scores])
-        probed = 0
-        at, step = 0, PROBE
-        while at < len(hopeful):
-            rows = hopeful[at : at + step]
-            at, step = at + step, 2 * step
-            if ceiling is not None:
-                rows = rows[ceiling[rows] >= threshold - slack]
+        found, values, probed = [first], [scores], 0
+        if ceiling is None:
+            found, values = [hopeful], [shard.vectors[hopeful] @ q]
+        else:
+            # The best looking rows are scored first, so that the threshold rises; then the others are probed term by term.
+            found.append(hopeful[:PROBE])
+            values.append(shard.vectors[hopeful[:PROBE]] @ q)
+            best = np.concatenate(values)
+            if len(best) >= take:
+                threshold = max(threshold, float(np.partition(best, len(best) - take)[len(best) - take]))
+            rows = hopeful[PROBE:]
+            high = ceiling[rows]
+            terms = np.argsort(np.where(q >= 0, q * shard.bottoms[:, 0], q * shard.tops[:, -1]) - rest, kind="stable")
+            for at in range(0, len(q), STEP):
+                hold = high >= threshold - slack
+                rows, high = rows[hold], high[hold]
                 if not len(rows):
                     break
+                step = terms[at : at + STEP]
+                # Rows of an essential block contribute their block's rest at least, and that is counted already.
+                high = high + np.minimum(q[step] * shard.vectors[np.ix_(rows, step)] - rest[step], 0).sum(axis=1)
+                probed += len(rows) * len(step)
+            rows = rows[high >= threshold - slack]
             found.append(rows)
             values.append(shard.vectors[rows] @ q)
-            probed += len(rows)
-            if ceiling is not None:
-                best = np.concatenate(values)
-                if len(best) >= take:
-                    threshold = max(threshold, float(np.partition(best, len(best) - take)[len(best) - take]))
         rows, scores = np.concatenate(found), np.concatenate(values)
         best = np.lexsort((ids[rows], -scores))[:k]
         out += [(qid, int(ids[rows[i]]), int(scores[i])) for i in best]
