@@ -135,6 +135,41 @@ def test_op9_base(spark, data, docs):
         assert not (r.base_failed and r.kept)
 
 
+def test_op9_verdict(spark, data, docs):
+    """Votes and posteriors from features counted word by word."""
+    from tidemark.llm import weak_supervision
+
+    def vote(bad, good):
+        return "-" if bad else "+" if good else "0"
+
+    patterns, rows = {}, QUERIES["op9_weak_supervision"](spark, data).collect()
+    for i, t in docs.items():
+        t = t or ""
+        w, lines = WORD.findall(t), t.split("\n")
+        if not w:
+            continue
+        windows = [tuple(w[j : j + 5]) for j in range(len(w) - 4)]
+        seen = Counter(windows)
+        n, covered = len(w), {j for k, x in enumerate(windows) if seen[x] > 1 for j in range(k, k + 5)}
+        full = [x for x in lines if WORD.search(x)]
+        share = lambda test: sum(map(test, w)) / n  # noqa: B023, E731
+        dups, size, kinds = (len(full) - len(set(full))) / len(lines), sum(map(len, w)) / n, sum(len(set(w[j : j + 500])) for j in range(0, n, 500)) / n
+        letters = sum(c.isascii() and c.isalpha() for c in t)
+        caps = sum("A" <= c <= "Z" for c in t) / letters if letters else None
+        symbols, repeats, bangs = sum(c in "#*$%&|<>" for c in t) / n, len(covered) / n, t.count("!") / n
+        bars, stops, marked = share(lambda x: x == "|"), share(lambda x: x[-1] in ".!?"), share(lambda x: len(x.encode()) > 1 and x[-1] in "#*$%&|<>")
+        patterns[i] = "".join([
+            vote(symbols > 0.1, symbols < 0.02), vote(size < 2 or size > 15, 3 <= size <= 10), "0" if caps is None else vote(caps > 0.4, caps < 0.15), vote(repeats > 0.15, repeats < 0.02), vote(dups > 0.3, dups == 0),
+            vote(kinds < 0.25, kinds > 0.35), vote(bangs > 0.2, bangs < 0.05), vote(bars > 0.1, bars == 0), vote(marked > 0.2, marked < 0.02), vote((stops * n + 0.5) / n < 0.01, stops > 0.01),
+        ])
+    counts = Counter(patterns.values()) + Counter(r.votes for r in rows if r.doc_id not in patterns)
+    posterior = weak_supervision.fit(dict(sorted(counts.items())))
+    for r in rows:
+        if r.doc_id in patterns:
+            assert r.votes == patterns[r.doc_id], r
+            assert r.kept == (not r.base_failed and posterior[r.votes] >= 0.5)
+
+
 def test_op9_agrees_with_labels(spark):
     where = "/root/testdata/sf0.01"
     kept = {r.doc_id: (r.kept, r.base_failed) for r in QUERIES["op9_weak_supervision"](spark, where).collect()}

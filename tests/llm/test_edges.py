@@ -231,6 +231,57 @@ def test_rules_abstain_and_em_separates():
     assert weak_supervision.fit({}) == {}
 
 
+def test_em_does_not_follow_a_noisy_rule():
+    fine = "+" * 10
+    alone = lambda i: fine[:i] + "-" + fine[i + 1 :]
+    assert weak_supervision.fit({fine: 800, alone(3): 200})[alone(3)] > 0.5
+    two = weak_supervision.fit({fine: 800, alone(3): 100, alone(5): 100})
+    assert two[alone(3)] > 0.5 and two[alone(5)] > 0.5
+    # The noisy rule's votes don't count, those of two that agree do.
+    both = weak_supervision.fit({fine: 700, alone(3): 200, "--++++++++": 60, "--+-++++++": 40})
+    assert both[alone(3)] > 0.5 and both["--++++++++"] < 0.1 and both["--+-++++++"] < 0.1
+
+
+def test_em_equals_plain_expectation_maximisation():
+    rng = random.Random(4)
+    patterns = {"".join(rng.choice("+++0-") for _ in range(4)): rng.randint(1, 50) for _ in range(25)}
+    total = sum(patterns.values())
+    weight = 0.01 * total + 1
+    prior = {"g": {"-": 0.01, "0": 0.2, "+": 0.79}, "b": {"-": 0.2, "0": 0.2, "+": 0.6}}
+    rate, share = {c: [dict(prior[c]) for _ in range(4)] for c in "gb"}, 0.1
+    for _ in range(200):
+        post = {}
+        for p in patterns:
+            g, b = 1 - share, share
+            for i, vote in enumerate(p):
+                g, b = g * rate["g"][i][vote], b * rate["b"][i][vote]
+            post[p] = g / (g + b)
+        mass = {"g": sum(n * post[p] for p, n in patterns.items())}
+        mass["b"] = total - mass["g"]
+        share = (mass["b"] + weight * 0.1) / (total + weight)
+        for c in "gb":
+            for i in range(4):
+                for vote in "-0+":
+                    n = sum(m * (post[p] if c == "g" else 1 - post[p]) for p, m in patterns.items() if p[i] == vote)
+                    rate[c][i][vote] = (n + weight * prior[c][vote]) / (mass[c] + weight)
+    found = weak_supervision.fit(patterns)
+    assert all(found[p] == pytest.approx(post[p], abs=1e-9) for p in patterns)
+
+
+def test_variety_does_not_fall_with_length():
+    rng = random.Random(5)
+    few, many = [f"w{i}" for i in range(100)], [f"v{i}" for i in range(5000)]
+    for words in (few, many):
+        votes = []
+        for n in (1000, 5000, 40_000):
+            t = next(slices(pa.array([" ".join(rng.choice(words) for _ in range(n))])))
+            f = dict(zip(weak_supervision.FEATURES, weak_supervision.features(t), strict=True))
+            want = sum(len(set(x)) for w in [t.text(0).split()] for x in (w[i : i + weak_supervision.SPAN] for i in range(0, n, weak_supervision.SPAN)))
+            assert f["n_distinct"][0] == want
+            votes.append(f["n_distinct"][0] / f["n_words"][0])
+        assert max(votes) < 0.25 if words is few else min(votes) > 0.35
+
+
 def test_kth_largest(spark):
     rng = random.Random(7)
     values = [rng.gauss(0, 1e6 if i % 50 == 0 else 1) for i in range(3000)] + [1.5] * 40

@@ -3,8 +3,11 @@
 Each document's features give one vote a rule: 1 good, -1 bad, 0 abstain. Documents are counted by vote pattern (at most
 3 ** len(RULES) patterns, whatever the corpus), EM runs on those counts, and a document's verdict is its pattern's posterior.
 
-Null text: no words, fails the base rules. Repeated rows are judged alike; an empty table gives an empty result. Other columns
-pass through `judge`; its own columns start with `qr_`, and columns of the input with such names are replaced.
+No rule depends on a text's length: ratios hold for texts of every size, and variety is counted in windows of SPAN words.
+
+Null text: no words, fails the base rules; every ratio over nothing abstains. Null doc_id: judged like any other. Repeated rows
+are judged alike; an empty table gives an empty result. Very long texts are measured whole, in one piece each. Other columns
+of the input don't pass; `judge` returns the key and columns that start with `qr_`.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from .textbytes import Texts, mix, slices
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_bangs", "n_bars", "n_stops", "n_distinct", "n_marked"]
 WINDOW = 5
+#: Distinct words are counted within consecutive windows of so many words, over the whole text, so that variety does not fall with length.
+SPAN = 500
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _UPPER = np.zeros(256, bool)
@@ -80,12 +85,14 @@ def features(t: Texts) -> list[np.ndarray]:
     lines = np.flatnonzero(full)
     dup = np.zeros(len(ls), bool)
     dup[lines] = ~_first_of(line_rows[lines], t.span_hashes(ls[lines], le[lines]))
+    # A number for each row's window of SPAN words.
+    spans = word_rows * (1 << 32) + (np.arange(len(h)) - first[word_rows]) // SPAN
     last = data[ends - 1] if len(ends) else np.zeros(0, np.uint8)
     single = (ends - starts) == 1
     return [
         n_words, per_row(in_word & ((data & 0xC0) != 0x80)), per_row(_SYMBOL[data]), per_row_of(lf, dup), per_row_of(first, covered), np.diff(lf),
         per_row(_UPPER[data]), per_row(_LETTER[data]), per_row(data == ord("!")), per_row_of(first, single & (last == ord("|"))),
-        per_row_of(first, (last == ord(".")) | (last == ord("!")) | (last == ord("?"))), per_row_of(first, _first_of(word_rows, h)), per_row_of(first, ~single & _SYMBOL[last]),
+        per_row_of(first, (last == ord(".")) | (last == ord("!")) | (last == ord("?"))), per_row_of(first, _first_of(spans, h)), per_row_of(first, ~single & _SYMBOL[last]),
     ]
 
 
@@ -123,11 +130,11 @@ def rules() -> dict[str, Column]:
         "capitals": _vote(caps > 0.4, caps < 0.15),
         "repeats": _vote(repeats > 0.15, repeats < 0.02),
         "dup_lines": _vote(dups > 0.3, dups == 0),
-        "variety": _vote((words >= 30) & (words <= 2000) & (kinds < 0.15), kinds > 0.35),
+        "variety": _vote(kinds < 0.25, kinds > 0.35),
         "exclaims": _vote(bangs > 0.2, bangs < 0.05),
         "bars": _vote(bars > 0.1, bars == 0),
         "marks": _vote(_f("n_marked") / words > 0.2, _f("n_marked") / words < 0.02),
-        "stops": _vote((words >= 50) & (stops == 0), stops > 0.01),
+        "stops": _vote((_f("n_stops") + 0.5) / words < 0.01, stops > 0.01),
     }
 
 
@@ -137,30 +144,30 @@ def votes(measured: DataFrame) -> DataFrame:
     return measured.withColumn("qr_votes", F.concat(*sign))
 
 
-def fit(patterns: dict[str, int], rounds: int = 100, bad_share: float = 0.15, false_alarm: float = 0.005) -> dict[str, float]:
+def fit(patterns: dict[str, int], rounds: int = 200, bad_share: float = 0.1, false_alarm: float = 0.01, catch: float = 0.2, silent: float = 0.2, belief: float = 0.01) -> dict[str, float]:
     """EM over pattern counts: each pattern's posterior probability of being good.
 
-    It starts from the belief that rules seldom fire on good texts and that each catches some bad ones (30%). `false_alarm`
-    bounds how often a rule may vote bad on good texts: kinds of bad text differ, so a kind that only one rule knows would else
-    be explained as that rule's errors.
+    Every rule's shares of bad votes, abstentions and good votes are estimated, on good and on bad texts. Before any data a rule
+    is believed to vote bad on `false_alarm` of the good and `catch` of the bad texts and to abstain on `silent` of both, and
+    `bad_share` of texts to be bad; that belief weighs as much as `belief` of all texts (a Dirichlet prior) and gives way to
+    what the votes show: a rule that often votes bad where all others vote good is found to be noisy and isn't followed.
     """
     if not patterns:
         return {}
     names, n = list(patterns), np.array(list(patterns.values()), float)
     v = np.array([["-0+".index(c) for c in p] for p in names])
-    hot = np.eye(3)[v]
-    good, bad = np.tile([false_alarm, 0.18, 0.82 - false_alarm], (v.shape[1], 1)), np.tile([0.30, 0.20, 0.50], (v.shape[1], 1))
+    hot, weight = np.eye(3)[v], belief * n.sum() + 1
+    good_prior, bad_prior = (np.array([x, silent, 1 - silent - x]) for x in (false_alarm, catch))
+    good, bad = (np.tile(x, (v.shape[1], 1)) for x in (good_prior, bad_prior))
     share = bad_share
     for _ in range(rounds):
         lg = np.log(1 - share) + (hot * np.log(good)).sum((1, 2))
         lb = np.log(share) + (hot * np.log(bad)).sum((1, 2))
         p = 1 / (1 + np.exp(np.clip(lb - lg, -700, 700)))
         wg, wb = n * p, n * (1 - p)
-        share = float(np.clip(wb.sum() / n.sum(), 1e-3, 0.6))
-        good = ((hot * wg[:, None, None]).sum(0) + [0.2, 1.8, 8.0]) / (wg.sum() + 10)
-        alarm = np.minimum(good[:, 0], false_alarm)
-        good = np.column_stack([alarm, good[:, 1:] / good[:, 1:].sum(1, keepdims=True) * (1 - alarm)[:, None]])
-        bad = ((hot * wb[:, None, None]).sum(0) + [3.0, 2.0, 5.0]) / (wb.sum() + 10)
+        share = (wb.sum() + weight * bad_share) / (n.sum() + weight)
+        good = ((hot * wg[:, None, None]).sum(0) + weight * good_prior) / (wg.sum() + weight)
+        bad = ((hot * wb[:, None, None]).sum(0) + weight * bad_prior) / (wb.sum() + weight)
     return dict(zip(names, p.tolist(), strict=True))
 
 
