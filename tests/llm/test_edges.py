@@ -373,3 +373,13 @@ def test_maxscore_refuses_scores_past_64_bits():
         maxscore.search_shard(np.arange(3), big, np.arange(1), big[:1], 2)
     near = np.array([[(1 << 30) + i, 1] for i in range(40)], np.int64)
     assert [x[1] for x in maxscore.search_shard(np.arange(40), near, np.array([5]), near[5:6], 3)] == [39, 38, 37]
+
+
+def test_context_tree_of_many_groups_equals_one(spark, prose, monkeypatch):
+    """Sums and values by groups of chunks change nothing."""
+    found = []
+    for group in (64, 3):
+        monkeypatch.setattr(ct, "GROUP_CHUNKS", group)
+        found.append(sorted(tuple(r) for r in ct.score(prose, F.col("doc_id") % 3 > 0, chunk_bytes=1000).collect()))
+    for one, two in zip(*found, strict=True):
+        assert one[:5] == two[:5] and one[5:] == pytest.approx(two[5:], rel=1e-6)

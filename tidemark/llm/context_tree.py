@@ -7,10 +7,15 @@ training texts: P_w = 1/2 KT + 1/2 product of the children's P_w. The result is
 
 How it runs: documents are put together in chunks of about CHUNK_BYTES. One scan counts (context of DEPTH bytes, symbol) in
 each chunk, with count 0 for those that only texts outside the training set have, so that every symbol to be scored has its
-row. Rows are dealt to shards by their last three context bytes, as compressed arrays, one a chunk and shard. A shard sums its
-rows over all chunks and weights its subtrees; the depths below three (at most 65,536 contexts of 255 decisions) are weighted
-on the driver. A second pass gives each chunk the log probability of each of its own rows, and a last one looks them up, so
-no task ever holds more of the model than its chunk or shard uses, and work and shuffle grow with the text.
+row. Rows are dealt to shards by their last three context bytes, as compressed arrays, one a chunk and shard; there are as many
+shards as chunks need. Chunks form groups of about GROUP_CHUNKS: a task sums the rows of one shard and group, another one a
+shard's sums over all groups, so that a common context never brings the rows of all chunks to one task. A shard weights its
+subtrees; what they add up to per context of two bytes and decision goes to PARTS parts by decision, each of which weights the
+depths below three for its decisions and sends every shard the results that it needs. Another pass gives each chunk the log
+probability of each of its own rows, again by shard and group, and a last one looks them up. So no task ever holds more of the
+model than its chunk, shard or part uses, nothing of it goes to the driver, and work and shuffle grow with the text.
+
+Values travel in whole multiples of 1 / SCALE nats: a symbol's log probability is off by 1 / (2 * SCALE) at most.
 
 The same scans count words for a unigram base line (lower-cased words and one end token, add-half smoothing).
 
@@ -36,6 +41,8 @@ DEPTH, TOP = 6, 3
 CHUNK_BYTES = 16 << 20
 END = 255
 END_WORD = np.int64(-1)
+GROUP_CHUNKS, PARTS = 64, 64
+SCALE = 1 << 14
 #: Rows that are weighted at a time within a shard (a subtree is never split).
 PART = 50_000
 NGRAM, WORD = 0, 1
@@ -125,12 +132,14 @@ class _Tally:
 
 
 def _packed(a: np.ndarray) -> bytes:
-    """Ascending keys as compressed differences; other arrays as they are, compressed."""
-    return zstandard.compress(np.diff(a, prepend=a.dtype.type(0)).tobytes() if a.dtype == np.int64 else a.tobytes(), 1)
+    """Numbers byte plane by byte plane, compressed; ascending keys (int64) as differences."""
+    a = np.diff(a, prepend=np.int64(0)) if a.dtype == np.int64 else a
+    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes(), 1)
 
 
 def _unpacked(raw: bytes, kind=np.int64) -> np.ndarray:
-    a = np.frombuffer(zstandard.decompress(raw), kind)
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    a = np.ascontiguousarray(planes.T).view(kind).ravel()
     return np.cumsum(a) if kind == np.int64 else a
 
 
@@ -144,7 +153,7 @@ def chunked(docs: DataFrame, key: str, text: str, train: Column, chunk_bytes: in
         def row() -> pa.RecordBatch:
             whole = pa.concat_arrays(ids)
             listed = pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole)
-            blobs = [np.concatenate(flags).tobytes(), np.concatenate(ends).tobytes(), zstandard.compress(np.concatenate(data).tobytes(), 1)]
+            blobs = [np.concatenate(flags).tobytes(), np.concatenate(ends).tobytes(), zstandard.compress(np.concatenate(data).tobytes(), 3)]
             return pa.RecordBatch.from_arrays([listed, *(pa.array([x], pa.binary()) for x in blobs)], ["lm_ids", "lm_train", "lm_ends", "lm_text"])
 
         for b in batches:
@@ -196,7 +205,7 @@ def count(chunks: DataFrame, shards: int, depth: int = DEPTH) -> DataFrame:
                     some = [s for s, p in enumerate(parts) if len(p)]
                     pa.default_memory_pool().release_unused()
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(some), kind, np.int8)), pa.array(np.array(some, np.int32)), pa.array(np.full(len(some), chunk)), pa.array([_packed(keys[parts[s]]) for s in some], pa.binary()), pa.array([_packed(n[parts[s]].astype(np.uint32)) for s in some], pa.binary())],
+                        [pa.array(np.full(len(some), kind, np.int8)), pa.array(np.array(some, np.int32)), pa.array(np.full(len(some), chunk)), pa.array([_packed(keys[parts[s]]) for s in some], pa.binary()), pa.array([_packed(n[parts[s]].astype(np.uint64)) for s in some], pa.binary())],
                         ["lm_kind", "lm_shard", "lm_chunk", "lm_keys", "lm_n"],
                     )
 
@@ -254,18 +263,26 @@ def _subtrees(keys: np.ndarray, n: np.ndarray, depth: int) -> Iterator[tuple[sli
 
 
 def _summed(table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """A shard's key arrays by chunk, and its distinct keys with their counts over all chunks."""
+    """The key arrays of a table's rows, and the distinct keys with their counts over all rows."""
     each = [_unpacked(x) for x in table.column("lm_keys").to_pylist()]
-    n = [_unpacked(x, np.uint32).astype(np.int64) for x in table.column("lm_n").to_pylist()]
+    n = [_unpacked(x, np.uint64).astype(np.int64) for x in table.column("lm_n").to_pylist()]
     return each, *_sum_by(np.concatenate(each), np.concatenate(n))
 
 
-def _top_tables(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Depths 0 to 2: per (two bytes, decision) A and B such that the mixed probability of a one is A + B * that of depth 3."""
-    node = rows.column("node").to_numpy()
-    order = np.argsort(node)
-    node = node[order]
-    a, b, children = (rows.column(c).to_numpy()[order] for c in ("a", "b", "log_pw"))
+def partial_sums(rows: DataFrame, groups: int) -> DataFrame:
+    """(lm_shard, lm_keys, lm_n): counts summed over the chunks of a group, a row a shard and group."""
+    if groups == 1:
+        return rows.select("lm_shard", "lm_keys", "lm_n")
+
+    def run(table):
+        _, keys, n = _summed(table)
+        return pa.table({"lm_shard": table.column("lm_shard").slice(0, 1), "lm_keys": pa.array([_packed(keys)], pa.binary()), "lm_n": pa.array([_packed(n.astype(np.uint64))], pa.binary())})
+
+    return materialize(rows.groupBy("lm_shard", "lm_group").applyInArrow(run, "lm_shard int, lm_keys binary, lm_n binary"))
+
+
+def top_weights(node: np.ndarray, a: np.ndarray, b: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Depths 0 to 2 of decisions whose nodes are all given: per node (two bytes, decision) A and B such that the mixed probability of a one is A + B * that of depth 3."""
     parents = np.arange(len(node))
     low, high = np.zeros(len(node)), np.ones(len(node))
     names = node
@@ -282,64 +299,119 @@ def _top_tables(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         stack.append((own[parents], ((b + 0.5) / (a + b + 1))[parents]))
     for own, kt in stack:
         low, high = own * kt + (1 - own) * low, (1 - own) * high
-    return node, low, high
+    return low, high
+
+
+def _totals(names: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    names, inverse = np.unique(names, return_inverse=True)
+    return names, [np.bincount(inverse, weights=x, minlength=len(names)) for x in values]
+
+
+_TOP = "lm_shard int, lm_node binary, lm_low binary, lm_high binary"
+
+
+def top_of_shards(sums: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """_TOP: the A and B of top_weights for the nodes that each shard needs, a row a shard and part."""
+
+    def upward(key, table):
+        _, keys, n = _summed(table)
+        names, values = np.zeros(0, np.int64), [np.zeros(0)] * 3
+        for _, tree in _subtrees(keys, n, depth):
+            more, (a, b, w) = _totals(((tree.names >> 16) << 8) | (tree.names & 255), [tree.a, tree.b, tree.log_pw])
+            names, values = _totals(np.concatenate([names, more]), [np.concatenate(x) for x in zip(values, (a, b, w), strict=True)])
+        part = names % PARTS
+        some = np.unique(part).tolist()
+        columns = [[_packed(x[part == p]) for p in some] for x in (names, *values)]
+        return pa.table([pa.array([key[0].as_py()] * len(some), pa.int32()), pa.array(some, pa.int32()), *(pa.array(x, pa.binary()) for x in columns)], names=["lm_shard", "lm_part", "lm_node", "lm_a", "lm_b", "lm_w"])
+
+    def weigh(table):
+        nodes = [_unpacked(x) for x in table.column("lm_node").to_pylist()]
+        names, values = _totals(np.concatenate(nodes), [np.concatenate([_unpacked(x, np.float64) for x in table.column(c).to_pylist()]) for c in ("lm_a", "lm_b", "lm_w")])
+        low, high = top_weights(names, *values)
+        at = [np.searchsorted(names, x) for x in nodes]
+        return pa.table([table.column("lm_shard"), table.column("lm_node"), *(pa.array([_packed(x[i]) for i in at], pa.binary()) for x in (low, high))], names=["lm_shard", "lm_node", "lm_low", "lm_high"])
 
+    up = sums.groupBy("lm_shard").applyInArrow(upward, "lm_shard int, lm_part int, lm_node binary, lm_a binary, lm_b binary, lm_w binary")
+    return up.groupBy("lm_part").applyInArrow(weigh, _TOP)
 
-_KINDS = {NGRAM: np.float32, WORD: np.float64}
+
+_KINDS = {NGRAM: np.uint32, WORD: np.uint64}
 _VALUES = "lm_kind tinyint, lm_chunk long, lm_keys binary, lm_values binary"
 
 
 def _per_chunk(kind: int, table, each: list[np.ndarray], keys: np.ndarray, values: np.ndarray):
     """The values of each chunk's own keys, as rows of _VALUES."""
-    blobs = [_packed(values[np.searchsorted(keys, k)].astype(_KINDS[kind])) for k in each]
+    blobs = [_packed(values[np.searchsorted(keys, k)]) for k in each]
     return pa.table({"lm_kind": pa.array(np.full(len(each), kind, np.int8)), "lm_chunk": table.column("lm_chunk"), "lm_keys": table.column("lm_keys"), "lm_values": pa.array(blobs, pa.binary())})
 
 
-def symbol_values(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Per chunk and shard the natural log of each symbol's probability in its context (_VALUES)."""
-    rows = counts.filter(F.col("lm_kind") == NGRAM)
+def _no_values():
+    return pa.table({"lm_kind": pa.array([], pa.int8()), "lm_chunk": pa.array([], pa.int64()), "lm_keys": pa.array([], pa.binary()), "lm_values": pa.array([], pa.binary())})
 
-    def upward(table):
-        _, keys, n = _summed(table)
-        out = []
-        for _, tree in _subtrees(keys, n, depth):
-            names, inverse = np.unique(((tree.names >> 16) << 8) | (tree.names & 255), return_inverse=True)
-            out.append([names, *(np.bincount(inverse, weights=x, minlength=len(names)) for x in (tree.a, tree.b, tree.log_pw))])
-        return pa.table([np.concatenate(x) for x in zip(*out, strict=True)], names=["node", "a", "b", "log_pw"])
 
-    sums = rows.groupBy("lm_shard").applyInArrow(upward, "node long, a double, b double, log_pw double").groupBy("node").agg(*[F.sum(c).alias(c) for c in ("a", "b", "log_pw")])
-    top = counts.sparkSession.sparkContext.broadcast(_top_tables(sums.toArrow()))
+def spread(kind: int, rows: DataFrame, sums: DataFrame, groups: int, values, beside: DataFrame) -> DataFrame:
+    """_VALUES of each chunk and shard. values(keys, counts, beside's rows of the shard): what to give each key, as _KINDS[kind]."""
+    if groups == 1:
+
+        def at_once(left, right):
+            if not left.num_rows:
+                return _no_values()
+            each, keys, n = _summed(left)
+            return _per_chunk(kind, left, each, keys, values(keys, n, right))
+
+        return rows.groupBy("lm_shard").cogroup(beside.groupBy("lm_shard")).applyInArrow(at_once, _VALUES)
+
+    def tables(left, right):
+        if not left.num_rows:
+            return pa.table({"lm_shard": pa.array([], pa.int32()), "lm_k": pa.array([], pa.binary()), "lm_v": pa.array([], pa.binary())})
+        _, keys, n = _summed(left)
+        return pa.table({"lm_shard": left.column("lm_shard").slice(0, 1), "lm_k": pa.array([_packed(keys)], pa.binary()), "lm_v": pa.array([_packed(values(keys, n, right))], pa.binary())})
+
+    def pick(left, right):
+        if not left.num_rows:
+            return _no_values()
+        each = [_unpacked(x) for x in left.column("lm_keys").to_pylist()]
+        return _per_chunk(kind, left, each, _unpacked(right.column("lm_k")[0].as_py()), _unpacked(right.column("lm_v")[0].as_py(), _KINDS[kind]))
+
+    held = sums.groupBy("lm_shard").cogroup(beside.groupBy("lm_shard")).applyInArrow(tables, "lm_shard int, lm_k binary, lm_v binary")
+    copies = held.withColumn("lm_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    return rows.groupBy("lm_shard", "lm_group").cogroup(copies.groupBy("lm_shard", "lm_group")).applyInArrow(pick, _VALUES)
 
-    def downward(table):
-        node, low, high = top.value
+
+def symbol_values(counts: DataFrame, groups: int = 1, depth: int = DEPTH) -> DataFrame:
+    """Per chunk and shard minus the natural log of each symbol's probability in its context, times SCALE (_VALUES)."""
+    rows = counts.filter(F.col("lm_kind") == NGRAM)
+    sums = partial_sums(rows, groups)
+
+    def values(keys, n, top):
+        node = np.concatenate([_unpacked(x) for x in top.column("lm_node").to_pylist()])
+        order = np.argsort(node)
+        node, low, high = node[order], *(np.concatenate([_unpacked(x, np.float64) for x in top.column(c).to_pylist()])[order] for c in ("lm_low", "lm_high"))
         level = np.arange(8)
-        each, keys, n = _summed(table)
-        values = np.empty(len(keys))
+        out = np.empty(len(keys), np.uint32)
         for part, tree in _subtrees(keys, n, depth):
             k = keys[part]
             prefix = (1 << level) | ((k & 255)[:, None] >> (8 - level))
             at = np.searchsorted(node, (k >> (8 * (depth - 1)))[:, None] << 8 | prefix)
             p = low[at] + high[at] * tree.probability_of_one()
-            values[part] = np.log(np.where(tree.bit, p, 1 - p)).sum(axis=1)
-        return _per_chunk(NGRAM, table, each, keys, values)
+            out[part] = np.rint(-SCALE * np.log(np.where(tree.bit, p, 1 - p)).sum(axis=1))
+        return out
 
-    return rows.groupBy("lm_shard").applyInArrow(downward, _VALUES)
+    return spread(NGRAM, rows, sums, groups, values, top_of_shards(sums, depth))
 
 
-def word_values(counts: DataFrame) -> tuple[DataFrame, int, int]:
-    """Per chunk and shard log10(count + 1/2) of each word (_VALUES; an unseen word's is that of 0); distinct and all training tokens."""
+def word_values(counts: DataFrame, groups: int = 1) -> tuple[DataFrame, int, int]:
+    """Per chunk and shard the count of each word (_VALUES); distinct and all training tokens."""
     rows = counts.filter(F.col("lm_kind") == WORD)
+    sums = partial_sums(rows, groups)
 
     def totals(table):
         _, _, n = _summed(table)
         return pa.table({"v": pa.array([int((n > 0).sum())]), "n": pa.array([int(n.sum())])})
 
-    def values(table):
-        each, keys, n = _summed(table)
-        return _per_chunk(WORD, table, each, keys, np.log10(n + 0.5))
-
-    v, n = rows.groupBy("lm_shard").applyInArrow(totals, "v long, n long").agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    return rows.groupBy("lm_shard").applyInArrow(values, _VALUES), v, n
+    v, n = sums.groupBy("lm_shard").applyInArrow(totals, "v long, n long").agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    nothing = sums.select("lm_shard").filter(F.lit(False))
+    return spread(WORD, rows, sums, groups, lambda keys, n, _: n.astype(np.uint64), nothing), v, n
 
 
 class Lookup:
@@ -377,10 +449,11 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     """(key, lm_train, lm_tokens, lm_known, lm_train_tokens, lm_base, lm_score, lm_bits_per_byte) of every row; scores are log10."""
     kind = dict(docs.dtypes)[key]
     chunks = chunked(docs, key, text, train, chunk_bytes, lower)
-    shards = max(32, 2 * chunks.count())
-    counts = materialize(count(chunks, shards, depth))
-    words, n_words, n_tokens = word_values(counts)
-    values = symbol_values(counts, depth).unionByName(words)
+    n_chunks = chunks.count()
+    groups = max(1, -(-n_chunks // GROUP_CHUNKS))
+    counts = materialize(count(chunks, max(32, 2 * n_chunks), depth).withColumn("lm_group", F.pmod(F.xxhash64("lm_chunk"), F.lit(groups)).cast("int")))
+    words, n_words, n_tokens = word_values(counts, groups)
+    values = symbol_values(counts, groups, depth).unionByName(words)
 
     def run(left, right):
         if not left.num_rows:
@@ -393,11 +466,11 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         out = []
         for t, flags in _texts(*(left.column(c)[0].as_py() for c in ("lm_train", "lm_ends", "lm_text"))):
             keys, rows = symbol_keys(t, depth)
-            ln_p = np.bincount(rows, weights=grams.get(keys), minlength=t.n)
+            ln_p = -np.bincount(rows, weights=grams.get(keys), minlength=t.n) / SCALE
             hashes, word_rows = word_keys(t)
             value = spoken.get(hashes)
-            known = np.bincount(word_rows, weights=value > -0.2, minlength=t.n).astype(np.int64)  # log10(1/2) is that of unseen words
-            out.append([flags, np.bincount(word_rows, minlength=t.n), known, np.bincount(word_rows, weights=value, minlength=t.n), ln_p, np.diff(t.offsets)])
+            known = np.bincount(word_rows, weights=value > 0, minlength=t.n).astype(np.int64)
+            out.append([flags, np.bincount(word_rows, minlength=t.n), known, np.bincount(word_rows, weights=np.log10(value + 0.5), minlength=t.n), ln_p, np.diff(t.offsets)])
         ids = left.column("lm_ids").combine_chunks().flatten()
         pa.default_memory_pool().release_unused()
         return pa.table([ids, *(pa.array(np.concatenate(x)) for x in zip(*out, strict=True))], names=names)
