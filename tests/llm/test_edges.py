@@ -198,12 +198,34 @@ def test_log_gamma():
 
 
 def test_line_dedup_is_reversible(spark, odd):
+    """Filters and counts take insertions and deletions; deleting what was inserted restores both, and lines come back."""
     refs = line_dedup.line_refs(odd)
-    more = line_dedup.line_refs(odd.filter("doc_id is not null").select((F.col("doc_id") + 100).alias("doc_id"), "text"))
-    a = line_dedup.insert(None, refs)
-    back = line_dedup.delete(line_dedup.insert(a, more), more.select("dl_doc"))
-    rows = lambda s: sorted(tuple(r) for r in s.select("dl_h1", "dl_h2", "dl_doc").collect())
-    assert rows(back) == rows(a) == rows(line_dedup.insert(a, refs))
+    more = line_dedup.line_refs(odd.filter("doc_id is not null").select(F.explode(F.array(F.col("doc_id") + 100, F.col("doc_id") + 200)).alias("doc_id"), "text"))
+    rows = lambda s: sorted(tuple(r) for r in s.references.collect()) + sorted(tuple(r) for r in s.counted.collect())
+    inside = lambda s: {r.dl_shard: line_dedup.Cuckoo.from_bytes(r.dl_filter).content() for r in s.filters.collect()}
+    a = line_dedup.insert_documents(None, refs)
+    grown = line_dedup.insert_documents(a, more)
+    back = line_dedup.delete_documents(grown, more.select("dl_doc"))
+    assert rows(back) == rows(a) == rows(line_dedup.insert_documents(a, refs))
+    assert inside(back) == inside(a) and inside(grown) != inside(a)
+    assert sum(map(len, inside(grown).values())) == grown.counted.count() > a.counted.count()
+    # Of documents 4 to 6, which share a line, 6 keeps it; with 104 and more none does, and without 5 and 6 nothing repeats.
+    texts = lambda state: {r.doc_id: r.text for r in line_dedup.dedup_lines(odd.filter("doc_id = 4"), state=state).collect()}
+    assert texts(a)[4] == "x" and texts(grown)[4] == "x"
+    assert texts(line_dedup.delete_documents(a, spark.createDataFrame([(5,), (6,)], "dl_doc long")))[4].startswith("same line")
+
+
+def test_line_dedup_deals_shards_and_hot_lines(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_LINES", 4)
+    monkeypatch.setattr(line_dedup, "GROUP_REFS", 50)
+    rows = [(i if i % 7 else None, "\n".join(["a line that every document has", f"line number {i % 40} of a few documents", f"only here stands {i}"])) for i in range(400)]
+    got = sorted((r.doc_id or -1, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    where = {}
+    for i, t in rows:
+        for line in t.split("\n"):
+            where.setdefault(line, set()).add(-1 if i is None else i)
+    gone = lambda line, i: len(where[line]) >= 3 and i != max(where[line])
+    assert got == sorted((i or -1, "\n".join(x for x in t.split("\n") if not gone(x, -1 if i is None else i))) for i, t in rows)
 
 
 def test_line_dedup_keeps_the_last(spark, odd):

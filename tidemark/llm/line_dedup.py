@@ -1,13 +1,18 @@
 """Reversible line dedup: sharded cuckoo filters in front of exact reference-count tables.
 
-State is a table of references (line hash, document) from which the exact counts follow; documents can be inserted and
-deleted, and deleting what was inserted restores the former state. The lines that repeat often enough are also kept in cuckoo
-filters, one per shard of the hash space; a document's lines probe the filter of their shard, and only positives are
-verified in the exact table. Filters support insertion and deletion of single lines (`Cuckoo`).
+State (`State`) is a table of references (line hash, document), from which the exact counts follow, and a cuckoo filter for
+each shard of the hash space with the lines that min_docs documents or more hold. `insert_documents` and `delete_documents`
+change both: the lines whose exact count thereby reaches or leaves min_docs are inserted into or deleted from the filters of
+their shards; other shards' filters stay as they are. Deleting what was inserted restores the former state. Once the lines
+outgrow the shards (twice their intended load), filters are dealt anew over more shards.
+
+A document's lines probe the filter of their shard, and only positives are verified in the exact table. References of a shard
+are dealt over as many groups as keep each under GROUP_REFS, so neither a shard nor a line that a third of all documents hold
+fills a task; what a document loses is gathered by document and text, which its own number of lines bounds.
 
 A line's key is the line stripped of ASCII white space with A-Z lower-cased; keys are compared by their 128-bit XXH3 hash.
-Null or empty text: one empty line, kept. Null doc_id: a document of its own id, smaller than all others. Repeated rows of one
-doc_id count as one document and lose the same lines. An empty table gives an empty result. Columns of the input pass through
+Null or empty text: one empty line, kept. Null doc_id: all such rows are one document, smaller than all others. Repeated rows of
+one doc_id count as one document and lose the same lines. An empty table gives an empty result. Columns of the input pass through
 `dedup_lines` (text replaced); its own columns start with `dl_`.
 """
 
@@ -15,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +34,8 @@ SPACE = b" \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Lines a shard's filter is sized for; the number of shards follows the number of lines.
 SHARD_LINES = 1 << 15
-#: A line that a third of all documents hold is probed in this many groups.
-SALTS = 16
+#: References that are probed in one group, about.
+GROUP_REFS = 250_000
 NO_ID = -(1 << 63)
 
 
@@ -94,6 +100,13 @@ class Cuckoo:
             found |= np.isin(one << np.uint64(16) | m, spilled) | np.isin(two << np.uint64(16) | m, spilled)
         return found
 
+    def content(self) -> list[tuple[int, int]]:
+        """What is in the filter wherever it stands: (smaller of its two buckets, fingerprint) of each line, in order."""
+        at, _ = np.nonzero(self.table)
+        marks = self.table[self.table > 0].astype(np.uint64)
+        held = [(int(x), int(m)) for x, m in zip(at, marks, strict=True)] + [(x >> 16, x & 0xFFFF) for x in self.overflow]
+        return sorted((min(x, (x ^ int(self._spread(np.array([m], np.uint64))[0])) & (self.buckets - 1)), m) for x, m in held)
+
     def to_bytes(self) -> bytes:
         head = np.array([self.buckets, len(self.overflow), *self.overflow], np.uint64)
         return head.tobytes() + self.table.tobytes()
@@ -121,12 +134,12 @@ def _halves(key: bytes) -> tuple[int, int]:
 
 
 def line_refs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """References (dl_h1, dl_h2, dl_doc): each long line of each document once."""
+    """References (dl_h1, dl_h2, dl_doc, dl_text): each long line of each document once; dl_text: a hash of the text it stands in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            one, two, ids = [], [], []
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            one, two, ids, whole = [], [], [], []
+            for doc, t, h in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 t = t.as_py() or ""
                 keys = {k for line in t.encode().split(b"\n") if len(line) >= min_chars and (k := long_key(line, min_chars))}
                 for k in keys:
@@ -134,19 +147,21 @@ def line_refs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_char
                     one.append(x)
                     two.append(y)
                     ids.append(NO_ID if doc is None else doc)
-            yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(ids, pa.int64())], ["dl_h1", "dl_h2", "dl_doc"])
+                    whole.append(h)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (one, two, ids, whole)], ["dl_h1", "dl_h2", "dl_doc", "dl_text"])
 
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "dl_h1 long, dl_h2 long, dl_doc long")
+    return docs.select(F.col(key).cast("long"), F.col(text), F.xxhash64(text)).mapInArrow(run, "dl_h1 long, dl_h2 long, dl_doc long, dl_text long")
 
 
 def insert(state: DataFrame | None, refs: DataFrame) -> DataFrame:
-    """The state after inserting documents; a reference that is there already is not counted twice."""
-    both = refs if state is None else state.unionByName(refs)
-    return both.groupBy("dl_h1", "dl_h2", "dl_doc").agg(F.lit(1).alias("_")).drop("_")
+    """The references after inserting documents; one that is there already is not counted twice."""
+    names = ["dl_h1", "dl_h2", "dl_doc"]
+    both = refs.select(*names) if state is None else state.select(*names).unionByName(refs.select(*names))
+    return both.groupBy(*names).agg(F.lit(1).alias("_")).drop("_")
 
 
 def delete(state: DataFrame, ids: DataFrame) -> DataFrame:
-    """The state after deleting the documents in ids (column dl_doc)."""
+    """The references after deleting the documents in ids (column dl_doc)."""
     return state.join(ids.select("dl_doc").distinct(), "dl_doc", "left_anti").select("dl_h1", "dl_h2", "dl_doc")
 
 
@@ -159,52 +174,98 @@ def _shard(n: int):
     return F.pmod(F.xxhash64("dl_h2"), F.lit(n)).cast("int")
 
 
-def filters(counted: DataFrame, shards: int) -> DataFrame:
-    """One cuckoo filter a shard: (dl_shard, dl_filter)."""
+@dataclass
+class State:
+    """references: dl_h1, dl_h2, dl_doc; counted: see `counts`; filters: dl_shard, dl_filter; all written tables. lines: how many are counted."""
+
+    references: DataFrame
+    counted: DataFrame
+    filters: DataFrame
+    shards: int
+    lines: int
+    min_docs: int
+
+
+_FILTERS = "dl_shard int, dl_filter binary"
+
 
-    def build(key, table):
-        h = table.column("dl_h1").to_numpy()
-        out = Cuckoo(len(h))
-        for x in h.view(np.uint64):
-            out.insert(int(x))
-        return pa.table({"dl_shard": pa.array([key[0].as_py()], pa.int32()), "dl_filter": pa.array([out.to_bytes()], pa.binary())})
+def _apply(key, held, changes):
+    """A shard's filter after its lines' insertions (dl_in) and deletions."""
+    changed = changes.num_rows
+    if not held.num_rows and not changed:
+        return pa.table({"dl_shard": pa.array([], pa.int32()), "dl_filter": pa.array([], pa.binary())})
+    h, added = changes.column("dl_h1").to_numpy().view(np.uint64), changes.column("dl_in").to_numpy(zero_copy_only=False)
+    f = Cuckoo.from_bytes(held.column("dl_filter")[0].as_py()) if held.num_rows else Cuckoo(max(SHARD_LINES, changed))
+    for x in h[~added]:
+        f.delete(int(x))
+    for x in h[added]:
+        f.insert(int(x))
+    return pa.table({"dl_shard": pa.array([key[0].as_py()], pa.int32()), "dl_filter": pa.array([f.to_bytes()], pa.binary())})
 
-    return counted.select(_shard(shards).alias("dl_shard"), "dl_h1").groupBy("dl_shard").applyInArrow(build, "dl_shard int, dl_filter binary")
+
+def _moved(state: State | None, references: DataFrame, min_docs: int, spark) -> State:
+    """The state that follows from these references; the former filters take the lines that came and went."""
+    references = materialize(references)
+    counted = materialize(counts(references, min_docs))
+    lines = counted.count()
+    if state is None or lines > 2 * SHARD_LINES * state.shards:
+        shards, changes = max(1, -(-lines // SHARD_LINES)), counted.select("dl_h1", "dl_h2", F.lit(True).alias("dl_in"))
+        held = spark.createDataFrame([], _FILTERS)
+    else:
+        shards, held = state.shards, state.filters
+        names = ["dl_h1", "dl_h2"]
+        came, went = (a.select(*names).join(b.select(*names), names, "left_anti").select(*names, F.lit(x).alias("dl_in")) for a, b, x in ((counted, state.counted, True), (state.counted, counted, False)))
+        changes = came.unionByName(went)
+    changes = changes.select(_shard(shards).alias("dl_shard"), "dl_h1", "dl_in")
+    filters = held.groupBy("dl_shard").cogroup(changes.groupBy("dl_shard")).applyInArrow(_apply, _FILTERS)
+    return State(references, counted, materialize(filters), shards, lines, min_docs)
+
+
+def insert_documents(state: State | None, refs: DataFrame, min_docs: int = MIN_DOCS) -> State:
+    """The state after inserting documents, given by their references (`line_refs`); state None: nothing was there."""
+    return _moved(state, insert(state and state.references, refs), state.min_docs if state else min_docs, refs.sparkSession)
+
+
+def delete_documents(state: State, ids: DataFrame) -> State:
+    """The state after deleting the documents in ids (column dl_doc)."""
+    return _moved(state, delete(state.references, ids), state.min_docs, ids.sparkSession)
 
 
-def probe(refs: DataFrame, built: DataFrame, shards: int) -> DataFrame:
-    """The references whose line may repeat, by their shard's filter; refs of a shard are dealt over SALTS groups."""
+def probe(refs: DataFrame, state: State) -> DataFrame:
+    """The references whose line may repeat, by their shard's filter, in groups of about GROUP_REFS."""
+    names = ["dl_h1", "dl_h2", "dl_doc", "dl_text"]
 
     def run(left, right):
         if not right.num_rows or not left.num_rows:
-            return left.slice(0, 0).select(["dl_h1", "dl_h2", "dl_doc"])
+            return left.slice(0, 0).select(names)
         hit = Cuckoo.from_bytes(right.column("dl_filter")[0].as_py()).contains(left.column("dl_h1").to_numpy().view(np.uint64))
-        return left.select(["dl_h1", "dl_h2", "dl_doc"]).filter(pa.array(hit))
+        return left.select(names).filter(pa.array(hit))
 
-    salted = refs.withColumn("dl_shard", _shard(shards)).withColumn("dl_salt", F.pmod(F.xxhash64("dl_doc"), F.lit(SALTS)).cast("int"))
-    copies = built.withColumn("dl_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.groupBy("dl_shard", "dl_salt").cogroup(copies.groupBy("dl_shard", "dl_salt")).applyInArrow(run, "dl_h1 long, dl_h2 long, dl_doc long")
+    sharded = refs.withColumn("dl_shard", _shard(state.shards))
+    # A row a shard; each filter is copied to its shard's groups.
+    salts = sharded.groupBy("dl_shard").agg(F.ceil(F.count("*") / GROUP_REFS).cast("int").alias("dl_salts"))
+    held = materialize(state.filters.join(salts, "dl_shard"))
+    salted = sharded.join(held.select("dl_shard", "dl_salts"), "dl_shard").withColumn("dl_salt", F.pmod(F.xxhash64("dl_doc", "dl_text"), "dl_salts").cast("int"))
+    copies = held.withColumn("dl_salt", F.explode(F.sequence(F.lit(0), F.col("dl_salts") - 1))).select("dl_shard", "dl_salt", "dl_filter")
+    return salted.select("dl_shard", "dl_salt", *names).groupBy("dl_shard", "dl_salt").cogroup(copies.groupBy("dl_shard", "dl_salt")).applyInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def drops(refs: DataFrame, state: DataFrame | None = None, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Per document the hashes of the lines that it loses: (dl_doc, dl_drop array of 16-byte hashes)."""
-    counted = materialize(counts(refs if state is None else state, min_docs))
-    shards = max(1, -(-counted.count() // SHARD_LINES))
-    maybe = probe(refs, filters(counted, shards), shards)
-    lost = maybe.join(counted, ["dl_h1", "dl_h2"]).filter(F.col("dl_doc") < F.col("dl_last"))
-    return lost.groupBy("dl_doc").agg(F.collect_list(F.struct("dl_h1", "dl_h2")).alias("dl_drop"))
+def drops(refs: DataFrame, state: State) -> DataFrame:
+    """Per document and text the hashes of the lines that it loses: (dl_doc, dl_text, dl_drop array of hashes)."""
+    lost = probe(refs, state).join(state.counted, ["dl_h1", "dl_h2"]).filter(F.col("dl_doc") < F.col("dl_last"))
+    return lost.groupBy("dl_doc", "dl_text").agg(F.collect_set(F.struct("dl_h1", "dl_h2")).alias("dl_drop"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, state: DataFrame | None = None, digest: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, state: State | None = None, digest: bool = False) -> DataFrame:
     """docs with repeated lines taken out of text, plus dl_lines and dl_dropped; with `digest`, dl_sha256 stands instead of the text.
 
-    `state`: references of other documents too (see `insert`); default: those of docs alone.
+    `state`: that of other documents, which docs are inserted into; default: nothing was there.
     """
-    refs = materialize(insert(None, line_refs(docs, key, text, min_chars)))
-    lost = drops(refs, refs if state is None else insert(state, refs), min_docs)
+    refs = materialize(line_refs(docs, key, text, min_chars))
+    lost = drops(refs, insert_documents(state, refs, min_docs)).withColumnRenamed("dl_text", "dl_whole")
     kept = [c for c in docs.columns if not c.startswith("dl_") and (c != text) and not (digest and c != key)]
-    left = docs.select(*[F.col(c) for c in kept], F.col(text).alias("dl_text"), F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("dl_doc"))
-    joined = left.join(lost.hint("shuffle_hash"), "dl_doc", "left").drop("dl_doc")
+    left = docs.select(*[F.col(c) for c in kept], F.col(text).alias("dl_text"), F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("dl_doc"), F.xxhash64(text).alias("dl_whole"))
+    joined = left.join(lost.hint("shuffle_hash"), ["dl_doc", "dl_whole"], "left").drop("dl_doc", "dl_whole")
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     names = [c for c in docs.columns if c in kept or (c == text and not digest)]
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), "dl_lines long", "dl_dropped long", *(["dl_sha256 string"] if digest else [])])
