@@ -114,11 +114,13 @@ def score(docs: DataFrame, ratios: np.ndarray, key: str = "doc_id", text: str =
             for t in slices(b.column(b.num_columns - 1)):
                 f, rows = features(t)
                 sums.append(np.bincount(rows, weights=ratios[f], minlength=t.n))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(sums) if sums else np.zeros(0))], [*names, "qc_log_ratio"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(sums) if sums else np.zeros(0))], [*names, "qc_uniform", "qc_log_ratio"])
 
-    scored = docs.select(*names, F.col(text).alias("qc_text")).mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in names), "qc_log_ratio double"]))
     u = (hash_place(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))).cast("double") + 0.5) / float(1 << HASH_BITS)
-    return scored.withColumn("qc_key", F.col("qc_log_ratio") - F.log(-F.log(F.least(u, F.lit(1 - 1e-16)))))
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), "qc_uniform double, qc_log_ratio double"])
+    scored = docs.select(*names, u.alias("qc_uniform"), F.col(text).alias("qc_text")).mapInArrow(run, schema)
+    u = F.col("qc_uniform")
+    return scored.withColumn("qc_key", F.col("qc_log_ratio") - F.log(-F.log(F.least(u, F.lit(1 - 1e-16))))).drop("qc_uniform")
 
 
 def kth_largest(df: DataFrame, col: str, k: int, bins: int = 4096) -> float:
@@ -154,10 +156,10 @@ def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """docs (or its columns in keep) plus qc_log_ratio, qc_key and qc_kept. `share`: of documents to keep, default that of good labels."""
     ids, good = target_sample(labels)
     ratios = log_ratios(count_features(docs, ids, key, text))
-    keys = materialize(score(docs, ratios, key, text, [key], seed).select("qc_key"))
-    k = round(keys.count() * (good if share is None else share)) if ids else keys.count()
-    least = kth_largest(keys, "qc_key", k)
-    return score(docs, ratios, key, text, keep, seed).withColumn("qc_kept", F.col("qc_key") >= F.lit(least))
+    scored = materialize(score(docs, ratios, key, text, keep, seed))
+    n = scored.count()
+    k = round(n * (good if share is None else share)) if ids else n
+    return scored.withColumn("qc_kept", F.col("qc_key") >= F.lit(kth_largest(scored, "qc_key", k)))
 
 
 def op1_importance(spark, sf_dir: str) -> DataFrame:
