@@ -3,9 +3,11 @@
 Every document has a fixed place on a 60-bit hash line. Per source, the tokens are summed by hash bucket (4096 buckets a
 level); the bucket in which the budget ends is split again, three levels deep, and documents below the resulting threshold
 are taken. No document is sorted, and budgets nest: a smaller budget takes a subset of what a larger one takes.
+A document's place follows from its id, its text and, where rows repeat both, the number of the repetition, so that copies stand
+apart; which of them has which number makes no difference.
 
-Null text or no words: size 0, takes nothing. Null source: a source of its own, last in order. Repeated rows share a hash
-(that of doc_id) and are taken or left together. An empty table gives an empty result. Other columns pass through
+Null text or no words: size 0, takes nothing. Null source: a source of its own, last in order. Repeated rows have
+places of their own and are taken or left one by one; so have rows without an id. An empty table gives an empty result. Other columns pass through
 `mix` untouched; the operator's own columns start with `mix_`, and columns of the input with such names are replaced.
 """
 
@@ -31,6 +33,30 @@ def hash_place(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
+def places(docs: DataFrame) -> DataFrame:
+    """docs (a written table) with mix_place, from mix_id (the hash of id and text) and the number of the row among those that share it and their source.
+
+    Rows that share neither keep mix_id. The others are numbered within their partition, from the sum of the partitions before it, so that
+    copies that are a third of all rows still number in parallel.
+    """
+    same = ["mix_id", "mix_source"]
+    each = docs.withColumn("_part", F.spark_partition_id())
+    by_part = materialize(each.groupBy(*same, "_part").agg(F.count("*").alias("_n")))
+    many = by_part.groupBy(*same).agg(F.sum("_n").alias("_all")).filter("_all > 1").select(F.col("mix_id").alias("_id"), F.col("mix_source").alias("_src"))
+    shared = by_part.join(many, (F.col("mix_id") == F.col("_id")) & F.col("mix_source").eqNullSafe(F.col("_src"))).drop("_id", "_src")
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*same).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = materialize(shared.select(F.col("mix_id").alias("_id"), F.col("mix_source").alias("_src"), F.col("_part").alias("_p"), before.alias("_start")))
+    if starts.isEmpty():
+        return docs.withColumnRenamed("mix_id", "mix_place")
+    is_shared = (F.col("mix_id") == F.col("_id")) & F.col("mix_source").eqNullSafe(F.col("_src")) & (F.col("_part") == F.col("_p"))
+    here = F.row_number().over(Window.partitionBy(*same, "_part").orderBy(F.lit(0))) - 1
+    number = F.col("_start") + here
+    again = hash_place(F.concat(F.col("mix_id").cast("string"), F.lit(":"), number.cast("string")))
+    numbered = each.join(starts, is_shared).withColumn("mix_place", F.when(number > 0, again).otherwise(F.col("mix_id")))
+    alone = each.join(starts, is_shared, "left_anti").withColumnRenamed("mix_id", "mix_place")
+    return materialize(numbered.select(*[c if c != "mix_id" else "mix_place" for c in docs.columns]).unionByName(alone.drop("_part")))
+
+
 def targets(sizes: DataFrame, share: float = 1.0, most: float = 3.0, cycle: tuple[int, ...] = CYCLE) -> DataFrame:
     """(mix_source, mix_source_size) -> also mix_target: water-filling of share of all tokens by weight, at most `most` times each size.
 
@@ -82,16 +108,17 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     `keep`: the columns to carry along (default: key alone; the rest can be joined or counted from mix_copies).
     """
     kept = [c for c in (keep or [key]) if not c.startswith("mix_")]
-    places = materialize(docs.select(*kept, F.col(source).alias("mix_source"), word_count(F.col(text)).alias("mix_size"), hash_place(F.col(key)).alias("mix_place")))
-    sizes = places.groupBy("mix_source").agg(F.sum("mix_size").alias("mix_source_size"))
+    named = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit(""))))
+    placed = places(materialize(docs.select(*kept, F.col(source).alias("mix_source"), word_count(F.col(text)).alias("mix_size"), hash_place(named).alias("mix_id"))))
+    sizes = placed.groupBy("mix_source").agg(F.sum("mix_size").alias("mix_source_size"))
     whole = F.when(F.col("mix_source_size") > 0, F.floor(F.col("mix_target") / F.col("mix_source_size"))).otherwise(0).cast("long")
     sources = targets(sizes, share, most).withColumn("mix_whole", whole)
     sources = materialize(sources.withColumn("mix_budget", F.col("mix_target") - F.col("mix_whole") * F.col("mix_source_size")))
     n = sources.count()
-    cut = _beside(sources, thresholds(places, sources, n), n, "left").drop("mix_budget")
-    placed = _beside(places, cut, n, "left")
+    cut = _beside(sources, thresholds(placed, sources, n), n, "left").drop("mix_budget")
+    taken = _beside(placed, cut, n, "left")
     extra = F.when(F.col("mix_place") < F.col("mix_below"), 1).otherwise(0)
-    return placed.withColumn("mix_copies", (F.col("mix_whole") + extra).cast("long")).drop("mix_whole", "mix_below", "mix_place")
+    return taken.withColumn("mix_copies", (F.col("mix_whole") + extra).cast("long")).drop("mix_whole", "mix_below", "mix_place")
 
 
 def op4_mix(spark, sf_dir: str) -> DataFrame:
@@ -106,10 +133,12 @@ def op4_mix(spark, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-WITH d AS (
+WITH i AS (
   SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> ''))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS place
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS id
   FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY id, source) - 1 AS copy FROM i),
+d AS (SELECT doc_id, source, size, CASE WHEN copy = 0 THEN id ELSE ('0x' || substr(md5(id::VARCHAR || ':' || copy::VARCHAR), 1, 15))::BIGINT END AS place FROM n),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1 AS k FROM s),
 w AS (SELECT *, (k % 3 + 1)::DOUBLE AS w, 3.0::DOUBLE * source_size AS cap FROM r),
