@@ -2,9 +2,11 @@
 
 Whole documents become token ids, each followed by id 0; only those longer than a sequence are cut. Pieces are dealt to
 groups of bounded size; each group packs its own best-fit decreasing, and lower bounds by dual feasible functions certify
-its number of sequences. Groups with a gap to their bound give the pieces of their least filled sequences to an exchange,
-where pieces of several groups meet in new groups and are packed again; rounds end when no group has a gap, or the rest fits
-one group. Sequences that stay closed are never touched again.
+its number of sequences. A group that meets its bound is closed: no packing of its pieces has fewer sequences. Groups with a
+gap give the pieces of their least filled sequences to an exchange, where pieces of several groups meet in new groups and are
+packed again. Rounds end when no group has a gap, when all that is left was in one group, or when a round saved less than a
+sequence a group. Sequences that stay closed are never touched again. bp_bins and bp_bound give what a piece's last group
+needed and its bound.
 
 Null or empty text: one piece, id 0 alone. Repeated rows are packed each; their pieces share doc_id and number. An empty table
 gives an empty result. The operator's own columns start with `bp_`; columns of the input that do are replaced.
@@ -12,6 +14,7 @@ gives an empty result. The operator's own columns start with `bp_`; columns of t
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -27,11 +30,14 @@ from pyspark.sql import functions as F
 from .runtime import materialize
 
 LENGTH = 2048
-GROUP_PIECES = 4096
-ROUNDS = 4
+GROUP_PIECES = 16384
 #: Words whose ids a Python worker keeps; others are encoded each time.
 CACHE_WORDS = 400_000
 _SEPARATOR = "\x01"
+#: The normaliser and splitter for which words can be encoded one by one; texts of other tokenizers are encoded whole.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_SPLITTER = {"type": "Sequence", "pretokenizers": [_SPLIT, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 #: Words of visible ASCII and of Latin letters whose lower case is one letter; no normal form changes them.
 _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+")
@@ -46,12 +52,16 @@ def _encoder(path: str):
 
 
 class WordEncoder:
-    """Token ids of texts whose tokenizer never joins across white space, so words can be encoded once each."""
+    """Token ids of texts. A tokenizer of the known normaliser and splitter never joins across white space, so words are encoded once each."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.by_word = (spec["normalizer"], spec["pre_tokenizer"]) == (_NORMALIZER, _SPLITTER)
+        self.kind, self.letter = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
         self.separator = self.tokenizer.encode(_SEPARATOR, add_special_tokens=False).ids[0]
         self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
@@ -64,14 +74,14 @@ class WordEncoder:
             ids = self.parts.get(part)
             if ids is None:
                 found = [t.id for t in self.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_CHARS))]
-                ids = struct.pack(f"<{len(found)}H", *found)
+                ids = struct.pack(f"<{len(found)}{self.letter}", *found)
                 if len(self.parts) < CACHE_WORDS:
                     self.parts[part] = ids
             out.append(ids)
         return b"".join(out)
 
     def _encode_new(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """ids as little-endian uint16; other than plain words go to the tokenizer many at a time, with a separator word between them."""
+        """ids as little-endian numbers of self.kind; other than plain words go to the tokenizer many at a time, with a separator word between them."""
         out: dict[bytes, bytes] = {}
         rest = []
         for w in words:
@@ -84,20 +94,24 @@ class WordEncoder:
         plain = [w for w in words if _SEPARATOR.encode() not in w]
         for at in range(0, len(plain), 500):
             some = plain[at : at + 500]
-            ids = np.array(self.tokenizer.encode_batch_fast([f" {_SEPARATOR} ".join(w.decode() for w in some)], add_special_tokens=False)[0].ids, "<u2")
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {_SEPARATOR} ".join(w.decode() for w in some)], add_special_tokens=False)[0].ids, self.kind)
             cuts = np.flatnonzero(ids == self.separator)
             if len(cuts) == len(some) - 1:
                 raw = ids.tobytes()
-                ends = [0, *((cuts + 1) * 2).tolist(), len(raw) + 2]
-                out.update((w, raw[ends[i] : ends[i + 1] - 2]) for i, w in enumerate(some))
+                wide = ids.itemsize
+                ends = [0, *((cuts + 1) * wide).tolist(), len(raw) + wide]
+                out.update((w, raw[ends[i] : ends[i + 1] - wide]) for i, w in enumerate(some))
         for w in words:
             if w not in out:
-                out[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u2").tobytes()
+                out[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, self.kind).tobytes()
         return out
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         known = self.known
         for text in texts:
+            if not self.by_word:
+                yield np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.kind)
+                continue
             words = text.split()
             found = list(map(known.get, words))
             if None in found:
@@ -105,7 +119,7 @@ class WordEncoder:
                 if len(known) + len(fresh) <= CACHE_WORDS:
                     known.update(fresh)
                 found = [fresh[w] if f is None else f for w, f in zip(words, found, strict=True)]
-            yield np.frombuffer(b"".join(found), "<u2")
+            yield np.frombuffer(b"".join(found), self.kind)
 
 
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, end_id: int = 0) -> DataFrame:
@@ -178,59 +192,60 @@ def best_fit_decreasing(sizes: np.ndarray, length: int = LENGTH) -> np.ndarray:
     return bins
 
 
-def _packer(length: int, number: int, give: bool):
-    """Packs a group; with `give`, the least filled sequences of a group with a gap stay open (bp_open)."""
+def _packer(length: int, number: int):
+    """Packs a group; the least filled sequences of a group with a gap to its bound stay open (bp_open)."""
 
     def run(key, table):
-        order = np.lexsort((table.column("bp_row").to_numpy(),))
-        table = table.take(pa.array(order))
+        table = table.take(pa.array(np.argsort(table.column("bp_row").to_numpy(), kind="stable")))
         sizes = table.column("bp_length").to_numpy()
         bins = best_fit_decreasing(sizes, length)
-        n = int(bins.max()) + 1 if len(bins) else 0
+        n = int(bins.max()) + 1
+        bound = lower_bound(sizes, length)
         filled = np.bincount(bins, weights=sizes, minlength=n).astype(np.int64)
-        gap = n - lower_bound(sizes, length)
         is_open = np.zeros(n, bool)
-        if give and n and filled.min() < length:
-            # Room left is a gap, if only of the rounding up to whole sequences: open as many as would have to be emptied, and partners.
-            is_open[np.argsort(filled, kind="stable")[: max(8 * max(gap, 1), n // 16)]] = True
+        if n > bound:
+            # Those that would have to be emptied, and partners.
+            is_open[np.argsort(filled, kind="stable")[: max(8 * (n - bound), n // 16)]] = True
             is_open &= filled < length
-        by_bin = np.lexsort((order, bins))
+        by_bin = np.argsort(bins, kind="stable")
         offsets = np.zeros(len(sizes), np.int64)
         sums = np.concatenate([[0], np.cumsum(sizes[by_bin])[:-1]])
         first = np.searchsorted(bins[by_bin], np.arange(n))
         offsets[by_bin] = sums - sums[first][bins[by_bin]]
         base = (number << 56) | (int(key[0].as_py()) << 24)
-        return pa.table({"bp_row": table.column("bp_row"), "bp_length": table.column("bp_length"), "bp_sequence": pa.array(bins + base), "bp_offset": pa.array(offsets), "bp_open": pa.array(is_open[bins] if n else np.zeros(0, bool))})
+        columns = [bins + base, offsets, np.full(len(sizes), n), np.full(len(sizes), bound), is_open[bins]]
+        return pa.table([table.column("bp_row"), table.column("bp_length"), *map(pa.array, columns)], names=["bp_row", "bp_length", "bp_sequence", "bp_offset", "bp_bins", "bp_bound", "bp_open"])
 
     return run
 
 
-_PACKED = "bp_row long, bp_length long, bp_sequence long, bp_offset long, bp_open boolean"
+_PACKED = "bp_row long, bp_length long, bp_sequence long, bp_offset long, bp_bins long, bp_bound long, bp_open boolean"
 
 
-def pack(cut: DataFrame, length: int = LENGTH, group_pieces: int = GROUP_PIECES, rounds: int = ROUNDS) -> DataFrame:
-    """Rows with bp_row (unique long) and bp_length -> (bp_row, bp_sequence, bp_offset)."""
+def pack(cut: DataFrame, length: int = LENGTH, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """Rows with bp_row (unique long) and bp_length -> (bp_row, bp_sequence, bp_offset, bp_bins, bp_bound)."""
+    out = ["bp_row", "bp_sequence", "bp_offset", "bp_bins", "bp_bound"]
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    done = cut.filter(F.col("bp_length") >= length).select("bp_row", F.col("bp_row").alias("bp_sequence"), none.alias("bp_offset"), one.alias("bp_bins"), one.alias("bp_bound"))
     small = cut.filter(F.col("bp_length") < length).select("bp_row", "bp_length")
-    done = [cut.filter(F.col("bp_length") >= length).select("bp_row", F.col("bp_row").alias("bp_sequence"), F.lit(0).cast("long").alias("bp_offset"))]
-    n = small.count()
-    for number in range(1, rounds + 1):
-        groups = max(1, -(-n // group_pieces))
-        last = number == rounds or groups == 1
+    n, number, before = small.count(), 0, None
+    while n:
+        number += 1
+        groups = -(-n // group_pieces)
         dealt = small.withColumn("bp_group", F.pmod(F.xxhash64("bp_row", F.lit(number)), F.lit(groups)))
-        packed = materialize(dealt.groupBy("bp_group").applyInArrow(_packer(length, number, not last), _PACKED))
-        done.append(packed.filter(~F.col("bp_open")).select("bp_row", "bp_sequence", "bp_offset"))
-        small = packed.filter("bp_open").select("bp_row", "bp_length")
-        n = 0 if last else small.count()
-        if not n:
+        packed = materialize(dealt.groupBy("bp_group").applyInArrow(_packer(length, number), _PACKED))
+        starts = F.col("bp_offset") == 0  # one piece of each sequence
+        now, still, n = packed.agg(F.count_if(starts), F.count_if(starts & F.col("bp_open")), F.count_if("bp_open")).first()
+        if groups == 1 or (before is not None and before - now < groups):
+            done = done.unionByName(packed.select(*out))
             break
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+        done = done.unionByName(packed.filter(~F.col("bp_open")).select(*out))
+        small, before = packed.filter("bp_open").select("bp_row", "bp_length"), still
+    return done
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """(key, bp_piece, bp_start, bp_length, bp_crc32, bp_sequence, bp_offset)."""
+    """(key, bp_piece, bp_start, bp_length, bp_crc32, bp_sequence, bp_offset, bp_bins, bp_bound)."""
     cut = materialize(pieces(docs, tokenizer, key, text, length).withColumn("bp_row", F.monotonically_increasing_id()))
     placed = pack(cut, length).withColumnRenamed("bp_row", "bp_r")
     return cut.join(placed, F.col("bp_row") == F.col("bp_r")).drop("bp_row", "bp_r")
