@@ -2,8 +2,10 @@
 
 Labelled page outcomes are counted by host. Each host's bad rate has a beta prior whose mean is its registered domain's
 posterior mean, that one's prior mean is its suffix's, and that one's the overall rate; the strength of the priors at each
-level is the beta-binomial moment estimate of how much siblings differ. A host is blocked where the lower bound of its
-posterior bad rate exceeds `max_bad`. Rules of the form host/path-prefix override the method; the longest one wins.
+level is the beta-binomial moment estimate of how much siblings differ. The registered domain is taken to be the last two labels
+of the host (no list of public suffixes: hosts under co.uk share one domain). A host is blocked where the lower bound of its
+posterior bad rate exceeds `max_bad`; the bound is the normal approximation to the beta posterior's quantile, z deviations below
+its mean. Ports and user names are part of the host, as in the contract. Rules of the form host/path-prefix override the method; the longest one wins.
 
 Null urls and urls without `://`: host and path are empty, judged as one host. Hosts without outcomes have their prior.
 Repeated pages are each judged; null outcomes are left out; an empty table gives an empty result. Other columns of pages
@@ -94,7 +96,7 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, key: str = "page_id", url
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """Outcome of a page: its document's quality label; the document's number stands in the url after the language."""
     _, path = url_parts(F.col("url"))
-    numbered = pages.select("page_id", F.regexp_extract(path, "^/[a-z]+/([0-9]{1,18})", 1).alias("d")).filter("d <> ''").select("page_id", F.col("d").cast("long").alias("doc_id"))
+    numbered = pages.select("page_id", F.regexp_extract(path, "^/[a-z]+/([0-9]+)", 1).alias("d")).filter("d <> ''").select("page_id", F.col("d").try_cast("long").alias("doc_id"))
     bad = labels.filter("quality is not null").groupBy("doc_id").agg(F.max(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("bad"))
     return numbered.join(bad, "doc_id").select("page_id", "bad")
 
@@ -114,7 +116,7 @@ def _rule_sql() -> str:
 OP7_SQL = f"""
 WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 u AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM r),
-p AS (SELECT *, {_rule_sql()}, regexp_extract(path, '^/[a-z]+/([0-9]{{1,18}})', 1) AS d FROM u),
+p AS (SELECT *, {_rule_sql()}, regexp_extract(path, '^/[a-z]+/([0-9]+)', 1) AS d FROM u),
 l AS (SELECT doc_id, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
 o AS (SELECT page_id, max(bad) AS bad FROM (SELECT page_id, try_cast(d AS BIGINT) AS doc_id FROM p) JOIN l USING (doc_id) GROUP BY page_id),
 h AS (SELECT host, count(bad)::BIGINT AS n, coalesce(sum(bad), 0)::BIGINT AS k, string_split(host, '.')[-1] AS suffix,
