@@ -1,8 +1,8 @@
 """Language identification by compression: the zstandard raw-content dictionary that shortens a text most names its language.
 
-The dictionaries are built from a bounded sample: per language at most SAMPLE_DOCS whole labelled texts of at most
-SAMPLE_CHARS characters, those with the smallest hashes of their ids, cut to DICT_BYTES in all. Every whole text is then
-compressed with every language's dictionary.
+The dictionaries are built from a bounded sample: per language at most SAMPLE_DOCS different labelled texts, those with the
+smallest hashes of id and text; of one that is longer than SAMPLE_CHARS characters a slice of so many enters, from a place that its
+hash chooses. They are cut to DICT_BYTES in all. Every whole text is then compressed with every language's dictionary.
 
 Null text and texts without a letter: `und`, score 0. Ties go to the language with more labelled documents, then by name.
 Texts whose margin over the second language is narrow are marked li_rejected (the best guess stays in li_lang).
@@ -36,15 +36,18 @@ def plain(text: str) -> bytes:
 def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> list[tuple[str, bytes]]:
     """(language, dictionary) by falling number of labelled documents. What reaches the driver is bounded by the sample."""
     usable = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) > 0))
-    short = usable.filter(F.length(text) <= SAMPLE_CHARS)
-    n = {r[0]: (r["n"], r["short"]) for r in usable.groupBy(lang).agg(F.count("*").alias("n"), F.count_if(F.length(text) <= SAMPLE_CHARS).alias("short")).collect()}
+    place = hash_place(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), F.md5(text)))
+    usable = usable.select(F.col(lang).alias("l"), F.col(text).alias("t"), place.alias("p"))
+    n = {r["l"]: r for r in usable.groupBy("l").agg(F.count("*").alias("n"), F.approx_count_distinct("p").alias("d")).collect()}
     if not n:
         return []
-    limit = F.element_at(F.create_map(*[F.lit(x) for name, (_, s) in n.items() for x in (name, int(2**HASH_BITS * min(1.0, 2 * sample_docs / max(s, 1))))]), F.col(lang))
-    rows = short.select(F.col(lang).alias("l"), F.col(text).alias("t"), hash_place(F.col(key)).alias("p"), limit.alias("m")).filter("p < m").collect()
+    # About twice the sample is below the limit; repeated rows, which share a place, are one.
+    limit = F.element_at(F.create_map(*[F.lit(x) for name, r in n.items() for x in (name, int(2**HASH_BITS * min(1.0, 2 * sample_docs / max(r["d"], 1))))]), F.col("l"))
+    start = F.pmod("p", F.greatest(F.length("t") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
+    rows = usable.filter(F.col("p") < limit).groupBy("l", "p").agg(F.min(F.substr("t", start, F.lit(SAMPLE_CHARS))).alias("t")).collect()
     out = []
-    for name in sorted(n, key=lambda x: (-n[x][0], x)):
-        texts = [plain(r["t"]) for r in sorted((r for r in rows if r["l"] == name), key=lambda r: (r["p"], r["t"]))[:sample_docs]]
+    for name in sorted(n, key=lambda x: (-n[x]["n"], x)):
+        texts = [plain(r["t"]) for r in sorted((r for r in rows if r["l"] == name), key=lambda r: r["p"])[:sample_docs]]
         out.append((name, b"\n".join(reversed(texts))[-DICT_BYTES:]))
     return out
 
