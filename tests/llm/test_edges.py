@@ -405,3 +405,98 @@ def test_context_tree_of_many_groups_equals_one(spark, prose, monkeypatch):
         found.append(sorted(tuple(r) for r in ct.score(prose, F.col("doc_id") % 3 > 0, chunk_bytes=1000).collect()))
     for one, two in zip(*found, strict=True):
         assert one[:5] == two[:5] and one[5:] == pytest.approx(two[5:], rel=1e-6)
+
+
+def test_mix_meets_targets_with_repeated_and_missing_ids(spark):
+    rows = [(None, "five words stand right here", s) for s in "ab" for _ in range(200)] + [(7, "x y", "c")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = mixing.mix(df, keep=["doc_id", "source"]).groupBy("source").agg(F.max("mix_target").alias("want"), F.sum(F.col("mix_size") * F.col("mix_copies")).alias("got"), F.max("mix_copies").alias("most")).collect()
+    assert len(out) == 3 and all(abs(r.got - r.want) <= 25 and r.most <= 3 for r in out), out
+    again = sorted(map(tuple, mixing.mix(df.repartition(3), keep=["doc_id", "source"]).collect()), key=str)
+    assert again == sorted(map(tuple, mixing.mix(df, keep=["doc_id", "source"]).collect()), key=str)
+
+
+def test_packing_is_ruled_by_its_certificate(spark):
+    """Groups that meet their bound are closed at once; the total stays within the groups' bounds."""
+    rng = np.random.default_rng(3)
+    easy = rng.integers(1, 200, 2000)
+    cut = spark.createDataFrame([(i, int(x)) for i, x in enumerate(easy)], "bp_row long, bp_length long")
+    rows = packing.pack(cut, group_pieces=400).collect()
+    assert all(r.bp_bins == r.bp_bound and r.bp_sequence >> 56 == 1 for r in rows)
+    hard = rng.integers(1, 1500, 3000)
+    rows = packing.pack(spark.createDataFrame([(i, int(x)) for i, x in enumerate(hard)], "bp_row long, bp_length long"), group_pieces=200).collect()
+    assert len(rows) == 3000 and any(r.bp_sequence >> 56 > 1 for r in rows) and all(r.bp_bins >= r.bp_bound for r in rows)
+    assert len({r.bp_sequence for r in rows}) <= packing.lower_bound(hard) * 1.02 + 1
+
+
+def test_packing_takes_other_tokenizers(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.WordLevel({f"w{i}": i for i in range(70_000)} | {"?": 70_000}, unk_token="?"))
+    t.pre_tokenizer = pre_tokenizers.Whitespace()
+    t.save(str(tmp_path / "t.json"))
+    encoder = packing.WordEncoder(str(tmp_path / "t.json"))
+    assert [x.tolist() for x in encoder.encode([b"w1 w69999,w3", b""])] == [[1, 69_999, 70_000, 3], []]
+
+
+def test_language_sample_takes_repeated_ids_and_long_texts(spark):
+    rng = random.Random(3)
+    words = {"en": "the and of to in is that it was for".split(), "de": "der die und das ist nicht ein zu den mit".split(), "fi": "ja on ei se hän mutta niin kuin oli olla".split()}
+    say = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    rows = [(5, say("en", 30), "en") for _ in range(600)] + [(9, "same old text in english", "en")] * 2000 + [(100 + i, say("de", 30), "de") for i in range(20)]
+    rows += [(200 + i, say("fi", 3000), "fi") for i in range(3)]
+    learned = dict(language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert list(learned) == ["en", "de", "fi"] and all(len(d) > 1000 for d in learned.values())
+    assert len(learned["en"]) <= language_id.SAMPLE_DOCS * 200 and len(learned["fi"]) <= 4 * language_id.SAMPLE_CHARS
+
+
+def test_language_of_each_text_by_brute_force(spark, odd):
+    import zstandard
+
+    dictionaries = [("en", b"the harbour and the engine of the river " * 5), ("de", b"der fluss und der hafen in dem tal " * 5)]
+    docs = odd.select("doc_id", "text")
+    for r in language_id.identify(docs, dictionaries).collect():
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert (r.li_lang, r.li_score) == ("und", 0.0)
+            continue
+        raw = b" ".join("".join(c if c.islower() and c.isascii() or not c.isascii() else " " for c in r.text.lower()).encode().split())
+        sizes = {}
+        for name, d in dictionaries:
+            c = zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[name] = len(c.compress(raw))
+        assert r.li_lang == min(sizes, key=lambda k: sizes[k]) and r.li_bytes == min(sizes.values())
+
+
+def test_page_numbers_are_read_whole(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/en/12/x"), (2, "http://a.b/en/1234567890123456789012"), (3, None)], "page_id long, url string")
+    labels = spark.createDataFrame([(12, 0), (123456789012345678, 0)], "doc_id long, quality int")
+    assert [(r.page_id, r.bad) for r in host_reputation.page_outcomes(pages, labels).collect()] == [(1, 1)]
+
+
+def test_importance_by_brute_force(spark, prose):
+    """Ratios, keys and the cut from features counted one document at a time."""
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 120, 2)], "doc_id long, quality int")
+    n = importance.BUCKETS * importance.CHANNELS
+    good, raw, target, each = {i for i in range(0, 120, 2) if i % 3}, np.zeros(n), np.zeros(n), {}
+    for r in prose.collect():
+        f = importance.features(next(slices(pa.array([r.text]))))[0]
+        each[r.doc_id] = f
+        for x in f.tolist():
+            raw[x] += 1
+            target[x] += r.doc_id in good
+    ratio = np.zeros(n)
+    for c in range(importance.CHANNELS):
+        span = range(c * importance.BUCKETS, (c + 1) * importance.BUCKETS)
+        mass, all_raw, all_target = None, sum(max(raw[i], 0.5) for i in span), sum(target[i] for i in span)
+        for i in span:
+            mass = max(raw[i], 0.5) / all_raw
+            ratio[i] = math.log((target[i] / all_target + importance.SMOOTHING * mass) / (1 + importance.SMOOTHING) / mass)
+    keys = {}
+    for i, f in each.items():
+        u = (int(hashlib.md5(f"0:{i}".encode()).hexdigest()[:15], 16) + 0.5) / 2.0**60
+        keys[i] = float(sum(ratio[f])) - math.log(-math.log(u))
+    k = round(120 * len(good) / 60)
+    kept = set(sorted(keys, key=lambda i: -keys[i])[:k])
+    rows = importance.resample(prose, labels).collect()
+    assert all(r.qc_key == pytest.approx(keys[r.doc_id], rel=1e-4, abs=1e-3) for r in rows)
+    assert {r.doc_id for r in rows if r.qc_kept} == kept and {"text", "source"} <= set(prose.columns)
