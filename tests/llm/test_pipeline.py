@@ -96,5 +96,42 @@ def test_all_is_packed(stages):
     assert after.filter("bp_piece = 0").count() == before.count()
 
 
-def test_run(spark, data):
+def test_run_leaves_only_its_result(spark, data, tmp_path, monkeypatch):
+    for module in ("tidemark.llm.runtime", "corpus_pipeline"):
+        monkeypatch.setattr(f"{module}.shared_dir", lambda _: f"file://{tmp_path}")
     assert cp.run(spark, data).count() > 0
+    assert len(list((tmp_path / "tidemark").iterdir())) == 1
+
+
+def test_stages_take_awkward_tables(spark, data, odd, empty, tmp_path):
+    for n, table in enumerate((odd.select("doc_id", "text", "lang", "source", "n_chars"), empty)):
+        docs, ids = table, {r.doc_id for r in table.collect()}
+        for name, stage in cp.STAGES:
+            path = str(tmp_path / f"{n}-{name}")
+            stage(spark, docs, data).write.parquet(path)
+            docs = spark.read.parquet(path)
+            now = {r.doc_id for r in docs.select("doc_id").collect()}
+            assert now <= ids
+            ids = now
+        assert docs.count() >= len(ids) and (n == 0) == bool(ids)
+
+
+def test_planted_near_copies_are_caught(spark, data):
+    """Copies with a few changed words go, all but one; other documents stay."""
+    import random
+
+    rng = random.Random(11)
+    words = [f"{a}{b}" for a in "ba ke li mo nu pa re si to vu".split() for b in "dan fer gul hist jom".split()] * 2
+    rows, near = [], 0
+    for i in range(60):
+        base = [rng.choice(words) + str(rng.randint(0, 99)) for _ in range(rng.randint(80, 200))]
+        rows.append((i, " ".join(base), "en", "s", 0))
+        for c in range(i % 3):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), max(1, len(copy) // 90)):
+                copy[at] = "changed"
+            near += 1
+            rows.append((1000 + 10 * i + c, " ".join(copy), "en", "s", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in cp.near_duplicates(spark, docs, data).collect()}
+    assert set(range(60)) <= kept and len([i for i in kept if i >= 1000]) <= 0.02 * near

@@ -3,18 +3,41 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_dir
 
+#: Per open `scratch`, the tables written since.
+_written: list[list[str]] = []
+
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again; lineage ends there.
 
-    A lost executor costs at most the running tasks, since the files outlive it.
+    A lost executor costs at most the running tasks, since the files outlive it. Within `scratch` the table is deleted in the end.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _written:
+        _written[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_table(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that `materialize` writes inside; whatever is read from them must be written before the end."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        for path in _written.pop():
+            delete_table(spark, path)
