@@ -2,6 +2,9 @@
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir), where docs is what its predecessor kept, and returns
 the columns of documents, the last stage the packed pieces. `run` writes each stage's result as Parquet and rereads it.
+What a stage wrote on its way goes when it is done, and so does its result when its successor is done.
+Stages take nulls in any column, empty tables, repeated rows and very long texts as their operators do: documents without text are
+judged, linked (all texts without words are one group), mixed zero times, and without an id linked and packed like any other.
 Text that a stage changed has its n_chars counted anew. A mix takes some documents more than once: they are repeated rows.
 """
 
@@ -13,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import importance, line_dedup, mixing, packing, simhash
+from tidemark.llm.runtime import delete_table, scratch
 from tidemark.session import shared_dir, ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -57,8 +61,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    former = None
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/tidemark/pipeline-{uuid.uuid4().hex}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if former:
+            delete_table(spark, former)
+        docs, former = spark.read.parquet(path), path
     return docs
