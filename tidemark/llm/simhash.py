@@ -17,8 +17,11 @@ That is the contract of op2 (`near_prints`). `near_duplicates` and `keep_one`, w
 instead: all texts whose sets of five-word shingles have a Jaccard similarity of SIMILAR or more. A simhash of such a pair
 differs in 10 of 64 bits on average, too many for posting lists, so candidates come from MinHash: BANDS keys of BAND_ROWS
 least hashes each, of which a pair of similarity 0.8 shares none with a probability of 5e-6. Equal sets are one node. The
-members of a list are first linked to its smallest; pairs are then formed only between components that still meet in a list.
-Every candidate is verified by its sets of 64-bit hashes. nd_print is there the hash of the set (zero: no words).
+members of a list are first linked to its hub, the one that meets most others in all its lists. Where components still meet in a
+list, count filtering follows: a set's signature is the low byte of each of its BANDS * BAND_ROWS least hashes, the bytes that
+two members share at the same position are tallied within the task that holds their list (lists longer than BLOCK in pairs of
+blocks), and only members of pairs that reach LEAST_SHARED, which a pair of 0.8 misses with a probability of 5e-8, stay, each pair in one
+list only. What is retained is verified, again in its list, by the sets of 64-bit hashes; links leave the task, pairs never do. nd_print is there the hash of the set (zero: no words).
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +44,9 @@ from .textbytes import mix, slices
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
 SIMILAR, SIMILAR_SHINGLE = 0.8, 5
 BANDS, BAND_ROWS = 40, 6
+LEAST_SHARED = 158
+#: Members of a list that meet in a task are those of two blocks at most; small lists share tasks of about TASK_ROWS members.
+BLOCK, TASK_ROWS = 256, 20_000
 #: Shingles hashed at a time by all MinHash functions.
 TILE = 256
 _RANDOM = np.random.default_rng(SEED)
@@ -129,15 +136,15 @@ def near_prints(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bi
     return _named(printed, distinct, links(distinct, max_bits), key)
 
 
-def band_keys(found: np.ndarray) -> np.ndarray:
-    """The BANDS keys of a set of 64-bit hashes, as signed longs."""
+def band_keys(found: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """The BANDS keys of a set of 64-bit hashes, as signed longs, and its signature."""
     low, least = found.astype(np.uint32), np.full(BANDS * BAND_ROWS, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(low), TILE):
         np.minimum(least, (low[at : at + TILE, None] * _FACTORS + _SHIFTS).min(axis=0), out=least)
     keys = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
     for row in least.reshape(BANDS, BAND_ROWS).T:
         keys = mix(keys + row)
-    return keys.view(np.int64)
+    return keys.view(np.int64), least.astype(np.uint8).tobytes()
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -149,7 +156,7 @@ def _set(text: bytes, shingle: int) -> np.ndarray:
 
 
 def shingle_prints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """(key, nd_text, nd_print, nd_bands): the hash of each text's set of shingles and the set's band keys."""
+    """(key, nd_text, nd_print, nd_bands, nd_marks): the hash of each text's set of shingles, the set's band keys and its signature."""
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,16 +164,90 @@ def shingle_prints(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
             for t in slices(b.column(1)):
                 sets = [_set(t.text(i), shingle) for i in range(t.n)]
                 prints = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
-                bands = [band_keys(x.view(np.uint64)) if len(x) else x for x in sets]
-                yield pa.RecordBatch.from_arrays([*(c.slice(t.row, t.n) for c in b.columns), pa.array(prints), _lists(bands)], [key, "nd_text", "nd_print", "nd_bands"])
+                made = [band_keys(x.view(np.uint64)) if len(x) else (x, b"") for x in sets]
+                columns = [pa.array(prints), _lists([x for x, _ in made]), pa.array([x for _, x in made], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(c.slice(t.row, t.n) for c in b.columns), *columns], [key, "nd_text", "nd_print", "nd_bands", "nd_marks"])
 
-    return docs.select(key, F.col(text).alias("nd_text")).mapInArrow(run, f"`{key}` {kind}, nd_text string, nd_print long, nd_bands array<long>")
+    return docs.select(key, F.col(text).alias("nd_text")).mapInArrow(run, f"`{key}` {kind}, nd_text string, nd_print long, nd_bands array<long>, nd_marks binary")
+
+
+_LIST = ["band", "one", "two", "block", "nd_print", "root"]
+
+
+def _ordered(table: pa.Table) -> pa.Table:
+    return table.take(pa.array(np.lexsort([table.column(c).to_numpy() for c in ("block", "two", "one", "band")])))
+
+
+def _passing(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ordered rows of whole lists (_LIST, nd_bands, nd_marks) -> rows (i, j) of pairs of different roots that pass the count filter.
+
+    A list is a band and two blocks of its members. A pair passes in the first band that both have only.
+    """
+    if not table.num_rows:
+        return
+    band, one, two, block, _, roots = (table.column(c).to_numpy() for c in _LIST)
+    keys = pc.list_flatten(table.column("nd_bands").combine_chunks()).to_numpy().reshape(-1, BANDS)
+    marks = np.frombuffer(b"".join(table.column("nd_marks").to_pylist()), np.uint8).reshape(-1, BANDS * BAND_ROWS)
+    starts = np.flatnonzero(np.concatenate([[True], (np.diff(band) != 0) | (np.diff(one) != 0) | (np.diff(two) != 0)]))
+    for start, end in zip(starts, [*starts[1:], len(band)], strict=True):
+        rows = np.arange(start, end)
+        left, right = rows[block[rows] == one[start]], rows[block[rows] == two[start]]
+        for at in range(0, len(left), 32):
+            some = left[at : at + 32]
+            i, j = np.nonzero(roots[some][:, None] != roots[right])
+            i, j = some[i], right[j]
+            if one[start] == two[start]:
+                i, j = i[j > i], j[j > i]
+            fits = np.zeros(len(i), bool)
+            for k in range(0, len(i), 8192):
+                x, y = i[k : k + 8192], j[k : k + 8192]
+                first = keys[x, np.argmax(keys[x] == keys[y], axis=1)] == band[start]
+                fits[k : k + 8192] = first & ((marks[x] == marks[y]).sum(axis=1) >= LEAST_SHARED)
+            if fits.any():
+                yield i[fits], j[fits]
+
+
+def list_members(table: pa.Table) -> pa.Table:
+    """The rows (_LIST, nd_bands, nd_marks) that stand in a pair that passes the count filter."""
+    table = _ordered(table)
+    wanted = np.zeros(table.num_rows, bool)
+    for i, j in _passing(table):
+        wanted[i] = wanted[j] = True
+    return table.select([*_LIST, "nd_bands", "nd_marks"]).filter(pa.array(wanted))
+
+
+def list_links(table: pa.Table, similar: float) -> pa.Table:
+    """Rows (_LIST, nd_bands, nd_marks, nd_set) -> verified links (u, v) that join all similar pairs of these lists."""
+    table = _ordered(table)
+    prints, roots = table.column("nd_print").to_numpy(), table.column("root").to_numpy()
+    sets = table.column("nd_set").combine_chunks()
+    flat, at = pc.list_flatten(sets).to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(sets).to_numpy())]) if len(sets) else np.zeros(1, np.int64)
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    found = []
+    for i, j in _passing(table):
+        n, m = at[i + 1] - at[i], at[j + 1] - at[j]
+        sized = np.minimum(n, m) >= similar * np.maximum(n, m)
+        for x, y in zip(i[sized].tolist(), j[sized].tolist(), strict=True):
+            a, b = top(int(roots[x])), top(int(roots[y]))
+            if a != b:
+                one, two = flat[at[x] : at[x + 1]], flat[at[y] : at[y + 1]]
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                if both >= similar * (len(one) + len(two) - both):
+                    parent[max(a, b)] = min(a, b)
+                    found.append(sorted((int(prints[x]), int(prints[y]))))
+    return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
 
 
 def similar_links(printed: DataFrame, distinct: DataFrame, similar: float = SIMILAR, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
     """Links (u, v) of prints that join all sets of at least this Jaccard similarity.
 
-    printed: nd_row, nd_print, nd_text, nd_bands; distinct: each nd_print with one of its rows.
+    printed: nd_row, nd_print, nd_text, nd_bands, nd_marks; distinct: each nd_print with one of its rows.
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,16 +266,27 @@ def similar_links(printed: DataFrame, distinct: DataFrame, similar: float = SIMI
         both = F.size(F.array_intersect("one", "two"))
         return materialize(sized.select("u", "v", both.alias("both"), (a + b).alias("all")).filter(F.col("both") >= similar * (F.col("all") - F.col("both"))).select("u", "v"))
 
-    posts = printed.select("nd_row", "nd_print", "nd_bands").join(distinct.select("nd_row"), "nd_row", "left_semi").select("nd_print", F.explode("nd_bands").alias("band"))
-    shared = posts.groupBy("band").agg(F.min("nd_print").alias("v"), F.max("nd_print").alias("w")).filter("v < w").drop("w")
-    posts = materialize(posts.join(shared, "band"))
-    stars = verified(posts.filter("nd_print <> v").select(F.col("nd_print").alias("u"), "v"))
+    firsts = printed.join(distinct.select("nd_row"), "nd_row", "left_semi")
+    posts = firsts.select("nd_print", F.explode("nd_bands").alias("band"))
+    sizes = posts.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    posts = materialize(posts.join(sizes, "band"))
+    degree = posts.groupBy("nd_print").agg(F.sum("n").alias("degree"))
+    hubs = posts.join(degree, "nd_print").groupBy("band").agg(F.max(F.struct("degree", "nd_print")).alias("hub")).select("band", F.col("hub.nd_print").alias("v"))
+    stars = verified(posts.join(hubs, "band").filter("nd_print <> v").select(F.least("nd_print", "v").alias("u"), F.greatest("nd_print", "v").alias("v")))
     roots = components(stars).withColumnRenamed("node", "nd_print")
-    rooted = materialize(posts.join(roots, "nd_print", "left").select("band", "nd_print", F.coalesce("root", "nd_print").alias("root")))
+    rooted = materialize(posts.join(roots, "nd_print", "left").select("band", "n", "nd_print", F.coalesce("root", "nd_print").alias("root")))
     still = rooted.groupBy("band").agg(F.min("root").alias("v"), F.max("root").alias("w")).filter("v < w").select("band")
     meet = materialize(rooted.join(still, "band"))
-    one, two = meet.toDF("band", "u", "a"), meet.toDF("band", "v", "b")
-    return stars.union(verified(one.join(two, "band").filter("a < b").select("u", "v")))
+    signed = materialize(firsts.join(meet.select("nd_print").distinct(), "nd_print", "left_semi").select("nd_print", "nd_bands", "nd_marks"))
+    # Each member goes to the pairs of its block and every other one; a list of up to BLOCK members is one block.
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = meet.withColumn("block", F.pmod(F.xxhash64("nd_print", "band"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("band", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "nd_print", "root").join(signed, "nd_print")
+    task = F.pmod(F.xxhash64("band", "one", "two"), F.lit(max(1, -(-meet.count() // TASK_ROWS)))).alias("task")
+    members = materialize(dealt.groupBy(task).applyInArrow(lambda t: list_members(t), "band long, one int, two int, block int, nd_print long, root long, nd_bands array<long>, nd_marks binary"))
+    asked = distinct.join(members.select("nd_print").distinct(), "nd_print", "left_semi").select("nd_row")
+    held = materialize(printed.join(asked, "nd_row", "left_semi").select("nd_print", "nd_text").mapInArrow(sets, "nd_print long, nd_set array<long>"))
+    return stars.union(members.join(held, "nd_print").groupBy(task).applyInArrow(lambda t: list_links(t, similar), "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
