@@ -6,6 +6,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -362,3 +363,40 @@ def test_import_needs_no_session():
 
     code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True, timeout=120)
+
+
+def test_soft_dtw_equals_plain_recursion(spark):
+    from tidemark.operators import shapes
+
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=7), rng.normal(size=5)
+
+    def plain(x, y, gamma):
+        t = {(0, 0): 0.0}
+        for i in range(len(x)):
+            for j in range(len(y)):
+                near = [t[k] for k in ((i, j + 1), (i + 1, j), (i, j)) if k in t]
+                t[i + 1, j + 1] = (x[i] - y[j]) ** 2 - gamma * np.log(sum(np.exp(-v / gamma) for v in near))
+        return t[len(x), len(y)]
+
+    want = plain(a, b, 0.7) - 0.5 * (plain(a, a, 0.7) + plain(b, b, 0.7))
+    df = spark.createDataFrame([(1, a.tolist()), (2, None), (3, b.tolist())], "id long, v array<double>")
+    got = {r.id: r.divergence for r in shapes.soft_dtw_divergence(df, "id", "v", b.tolist(), 0.7).collect()}
+    assert got[1] == pytest.approx(want) and got[2] is None and got[3] == pytest.approx(0, abs=1e-9)
+
+
+def test_cusum_carries_its_state_over_batches(spark):
+    rng = np.random.default_rng(4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(k, i, float(x)) for k in "ab" for i, x in enumerate(rng.normal(size=200))] + [("c", 0, None), ("c", 1, 9.0)]
+        df = spark.createDataFrame(rows, "k string, i long, x double").repartition(4)
+        got = {r.k: (r.n, r.first_trigger) for r in W.cusum(df, "k", ["i"], "x", 0.0, 0.2, 4.0).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k in "abc":
+        up = down = hit = 0
+        for _, i, x in (r for r in rows if r[0] == k):
+            up, down = (max(0, up + x - 0.2), max(0, down - x - 0.2)) if x is not None else (up, down)
+            hit = hit or (i + 1 if max(up, down) > 4 else 0)
+        assert got[k] == (sum(r[0] == k for r in rows), hit)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import in_order
+
 
 def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, value: list[str], tolerance: int | None = None) -> DataFrame:
     """Each left row with the last right row of its keys at or before `on`: one union and one window, no pairs.
@@ -48,12 +53,26 @@ def concurrency(events: DataFrame, key: str, by: list[str], start: str, end: str
 
 
 def non_overlapping(events: DataFrame, by: list[str], start: str, end: str, key: str) -> DataFrame:
-    """Greedy by start: an event is taken if it starts after the last taken one's end. A fold over each key's events."""
-    rows = events.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(start, end, key))).alias("_e"))
-    kind = rows.schema["_e"].dataType
-    begin = F.struct(F.array().cast(kind).alias("taken"), F.lit(None).cast(events.schema[end].dataType).alias("last"))
-    step = lambda a, e: F.when(a["last"].isNull() | (e[start] > a["last"]), F.struct(F.concat(a["taken"], F.array(e)).alias("taken"), e[end].alias("last"))).otherwise(a)
-    return rows.select(*by, F.explode(F.aggregate("_e", begin, step)["taken"]).alias("_t")).select(*by, "_t.*")
+    """Greedy by start: an event is taken if it starts after the last taken one's end; without a start or an end it never is.
+
+    A fold over each key's events in order of start, end and key, streamed: a task holds a batch and the last end.
+    """
+    names, at = [*by, start, end, key], len(by)
+    kinds = dict(events.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = last = None
+        for b in batches:
+            taken = []
+            for *who, first, to in zip(*(c.to_pylist() for c in b.columns[: at + 2]), strict=True):
+                if who != now:
+                    now, last = who, None
+                taken.append(first is not None and to is not None and (last is None or first > last))
+                if taken[-1]:
+                    last = to
+            yield b.filter(pa.array(taken, pa.bool_()))
+
+    return in_order(events.select(*names), by, [start, end, key]).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names))
 
 
 def overlap_clusters(events: DataFrame, by: list[str], start: str, end: str, key: str) -> DataFrame:

@@ -44,28 +44,38 @@ def false_matches(scores: DataFrame, bank: str, score: str, positive: str, recal
     return scores.filter(f"not {positive}").groupBy(bank).agg(F.count("*").alias("n"), F.avg((F.col(score) >= F.lit(cut)).cast("double")).alias("fpr")).withColumn("threshold", F.lit(cut).cast("double"))
 
 
-def soft_dtw(a: np.ndarray, b: np.ndarray, gamma: float) -> float:
-    table = np.full((len(a) + 1, len(b) + 1), np.inf)
-    table[0, 0] = 0.0
-    for i in range(1, len(a) + 1):
-        for j in range(1, len(b) + 1):
-            z = -np.array([table[i - 1, j], table[i, j - 1], table[i - 1, j - 1]]) / gamma
-            top = z.max()
-            table[i, j] = ((a[i - 1] - b[j - 1]) ** 2) - gamma * (top + np.log(np.exp(z - top).sum()))
-    return float(table[-1, -1])
+def soft_dtw(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
+    """Soft warping distance of each row of a (rows x n) to the same row of b (rows x m, or one row for all), a diagonal at a time."""
+    n, m = a.shape[1], b.shape[1]
+    cost = (a[:, :, None] - b[:, None, :]) ** 2
+    table = np.full((len(a), n + 1, m + 1), np.inf)
+    table[:, 0, 0] = 0.0
+    for d in range(2, n + m + 1):
+        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
+        j = d - i
+        z = -np.stack([table[:, i - 1, j], table[:, i, j - 1], table[:, i - 1, j - 1]]) / gamma
+        top = z.max(axis=0)
+        table[:, i, j] = cost[:, i - 1, j - 1] - gamma * (top + np.log(np.exp(z - top).sum(axis=0)))
+    return table[:, -1, -1]
 
 
 def soft_dtw_divergence(series: DataFrame, key: str, values: str, prototype: list[float], gamma: float = 1.0) -> DataFrame:
     """Soft warping distance less half of both self terms: 0 for the prototype itself."""
-    p = np.array(prototype, float)
-    own = soft_dtw(p, p, gamma)
+    p = np.array([prototype], float)
+    own = soft_dtw(p, p, gamma)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for x in b.column(1).to_pylist():
-                a = None if not x else np.array(x, float)
-                out.append(None if a is None else soft_dtw(a, p, gamma) - 0.5 * (soft_dtw(a, a, gamma) + own))
+            rows = b.column(1).to_pylist()
+            out: list[float | None] = [None] * len(rows)
+            for n in {len(x) for x in rows if x}:
+                same = [i for i, x in enumerate(rows) if x and len(x) == n]
+                for at in range(0, len(same), 128):
+                    some = same[at : at + 128]
+                    a = np.array([rows[i] for i in some], float)
+                    found = soft_dtw(a, p, gamma) - 0.5 * (soft_dtw(a, a, gamma) + own)
+                    for i, x in zip(some, found.tolist(), strict=True):
+                        out[i] = x
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], [key, "divergence"])
 
     return series.select(key, values).mapInArrow(run, f"{key} {dict(series.dtypes)[key]}, divergence double")

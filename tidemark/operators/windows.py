@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -198,19 +201,38 @@ def back_fill(df: DataFrame, value: str, w) -> DataFrame:
     return df.withColumn(value, F.coalesce(F.first(value, ignorenulls=True).over(following), F.lit(0.0)))
 
 
-def cusum(df: DataFrame, keys, order, value: str, target: float, slack: float, limit: float) -> DataFrame:
-    """Two-sided CUSUM with reset at zero: by key the first position where it passes the limit (0: never).
+def in_order(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Each key's rows in one partition and in order: what a fold over batches needs, which holds one batch and its state at a time."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
 
-    A recurrence, so a fold over each key's values in order; a key's series must fit a row.
-    """
-    start = F.struct(F.lit(0.0).alias("up"), F.lit(0.0).alias("down"), F.lit(0).alias("i"), F.lit(0).alias("hit"))
 
-    def step(a: Column, x: Column) -> Column:
-        up = F.greatest(F.lit(0.0), a["up"] + (x - target - slack))
-        down = F.greatest(F.lit(0.0), a["down"] - (x - target) - slack)
-        i = a["i"] + 1
-        return F.struct(up.alias("up"), down.alias("down"), i.alias("i"), F.when((a["hit"] == 0) & ((up > limit) | (down > limit)), i).otherwise(a["hit"]).alias("hit"))
+def cusum(df: DataFrame, keys, order, value: str, target: float, slack: float, limit: float) -> DataFrame:
+    """Two-sided CUSUM with reset at zero: by key the number of values and the first position where it passes the limit (0: never).
 
-    keys = [keys] if isinstance(keys, str) else keys
-    ordered = df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, value))), lambda s: s[value]).alias("_xs"))
-    return ordered.select(*keys, F.size("_xs").alias("n"), F.aggregate("_xs", start, step)["hit"].alias("first_trigger"))
+    A recurrence, so a fold over each key's values in order, streamed: a task holds a batch and the two sums. A null value takes a
+    position and leaves the sums as they are.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    kinds = dict(df.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, up, down, n, hit, began, done = None, 0.0, 0.0, 0, 0, False, []
+        types = []
+        for b in batches:
+            types = [c.type for c in b.columns[:-1]]
+            for *key, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if not began or key != now:
+                    if began:
+                        done.append((*now, n, hit))
+                    now, up, down, n, hit, began = key, 0.0, 0.0, 0, 0, True
+                n += 1
+                if x is not None:
+                    up, down = max(0.0, up + (x - target - slack)), max(0.0, down - (x - target) - slack)
+                    if not hit and (up > limit or down > limit):
+                        hit = n
+        if began:
+            done.append((*now, n, hit))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), [*types, pa.int64(), pa.int64()], strict=True)], [*keys, "n", "first_trigger"])
+
+    ordered = in_order(df.select(*keys, *[o for o in order if o not in keys], F.col(value).cast("double").alias("_x")), keys, list(order)).select(*keys, "_x")
+    return ordered.mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "n long, first_trigger long"]))

@@ -139,12 +139,12 @@ def first_touch(spark, sf_dir):
 
 @query(
     "linear_resample",
-    """WITH e AS (SELECT vec_id, embedding[1:20]::DOUBLE[] AS v FROM embeddings), i AS (SELECT vec_id, v, unnest(range(8)) AS i FROM e), x AS (SELECT vec_id, v, i * 19 / 7 AS x FROM i)
-SELECT vec_id, sum(v[floor(x)::INTEGER + 1] + (v[least(floor(x)::INTEGER + 2, 20)] - v[floor(x)::INTEGER + 1]) * (x - floor(x))) AS total FROM x GROUP BY vec_id""",
+    """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), i AS (SELECT vec_id, v, unnest(range(8)) AS i FROM e), x AS (SELECT vec_id, v, i * (len(v) - 1) / 7 AS x FROM i)
+SELECT vec_id, sum(v[floor(x)::INTEGER + 1] + (v[least(floor(x)::INTEGER + 2, len(v))] - v[floor(x)::INTEGER + 1]) * (x - floor(x))) AS total FROM x GROUP BY vec_id""",
     ("total",),
 )
 def linear_resample(spark, sf_dir):
-    v = F.slice(F.col("embedding").cast("array<double>"), 1, 20)
+    v = F.col("embedding").cast("array<double>")
     return table(spark, sf_dir, "embeddings").select("vec_id", F.aggregate(P.resample_linear(v, 8), F.lit(0.0), lambda s, x: s + x).alias("total"))
 
 

@@ -133,8 +133,7 @@ def false_match_rates(spark, sf_dir):
 
 @query("soft_dtw_divergence")
 def soft_dtw_divergence(spark, sf_dir):
-    short = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 16).alias("v"))
-    return H.soft_dtw_divergence(short, "vec_id", "v", [i / 16 for i in range(16)])
+    return H.soft_dtw_divergence(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", [i / 64 for i in range(64)])
 
 
 @query("deflated_sharpe", None, ("sr", "expected_best", "dsr"))

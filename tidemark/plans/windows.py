@@ -204,14 +204,14 @@ def trailing_slope(spark, sf_dir):
 
 @query(
     "cusum_by_pattern",
-    f"""WITH RECURSIVE {TRADES}, o AS (SELECT pattern, ret, row_number() OVER (PARTITION BY pattern ORDER BY entry_date, trade_id) AS i FROM trades),
-r AS (SELECT pattern, 0::BIGINT AS i, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down FROM (SELECT DISTINCT pattern FROM o)
-  UNION ALL SELECT o.pattern, o.i, greatest(0.0, r.up + (o.ret - 0.01 - 0.005)), greatest(0.0, r.down - (o.ret - 0.01) - 0.005) FROM r JOIN o ON o.pattern = r.pattern AND o.i = r.i + 1 AND o.i <= 300)
-SELECT pattern, max(i)::INTEGER AS n, coalesce(min(CASE WHEN up > 0.5 OR down > 0.5 THEN i END), 0)::INTEGER AS first_trigger FROM r GROUP BY pattern""",
+    f"""WITH {TRADES}, l AS (SELECT pattern, list({{'up': 0.0::DOUBLE, 'down': 0.0::DOUBLE, 'i': 0::BIGINT, 'hit': 0::BIGINT, 'x': ret::DOUBLE}} ORDER BY entry_date, trade_id) AS xs FROM trades GROUP BY pattern),
+f AS (SELECT pattern, len(xs) AS n, list_reduce(xs, lambda a, e: {{'up': greatest(0.0::DOUBLE, a.up + (e.x - 0.01::DOUBLE - 0.005::DOUBLE)), 'down': greatest(0.0::DOUBLE, a.down - (e.x - 0.01::DOUBLE) - 0.005::DOUBLE), 'i': a.i + 1,
+  'hit': CASE WHEN a.hit = 0 AND (greatest(0.0::DOUBLE, a.up + (e.x - 0.01::DOUBLE - 0.005::DOUBLE)) > 0.5 OR greatest(0.0::DOUBLE, a.down - (e.x - 0.01::DOUBLE) - 0.005::DOUBLE) > 0.5) THEN a.i + 1 ELSE a.hit END, 'x': e.x}},
+  {{'up': 0.0::DOUBLE, 'down': 0.0::DOUBLE, 'i': 0::BIGINT, 'hit': 0::BIGINT, 'x': 0.0::DOUBLE}}) AS r FROM l)
+SELECT pattern, n::BIGINT AS n, r.hit AS first_trigger FROM f""",
 )
 def cusum_by_pattern(spark, sf_dir):
-    first = trades(spark, sf_dir).withColumn("i", F.row_number().over(W.by("pattern", ["entry_date", "trade_id"]))).filter("i <= 300")
-    return W.cusum(first, "pattern", ["i"], "ret", 0.01, 0.005, 0.5)
+    return W.cusum(trades(spark, sf_dir), "pattern", ["entry_date", "trade_id"], "ret", 0.01, 0.005, 0.5)
 
 
 @query(
