@@ -296,6 +296,70 @@ def test_two_new_trades_a_day(spark):
     assert got == [("A", day(0)), ("A", day(4)), ("B", day(0)), ("B", day(2)), ("C", day(4))]
 
 
+def test_two_new_trades_by_plain_fold(spark):
+    from tidemark.operators import portfolio
+
+    rng = random.Random(8)
+    rows = [(rng.choice("pq"), rng.choice("ABCDEFGH"), day(a), day(a + rng.randint(-1, 9)), float(i)) for i in range(600) for a in [rng.randint(0, 80)]]
+    want, opened, locked = [], {}, {}
+    for r in sorted(rows):
+        p, s, start, end, _ = r
+        if opened.get((p, start), 0) < 2 and locked.get((p, s), day(-9)) < start:
+            opened[p, start] = opened.get((p, start), 0) + 1
+            locked[p, s] = end
+            want.append(r)
+    df = spark.createDataFrame([*rows, ("p", "A", None, day(3), 0.0), ("p", "A", day(3), None, 0.0)], "portfolio string, symbol string, entry_date date, exit_date date, ret double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = sorted(tuple(r) for r in portfolio.two_new_a_day(df).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and len(got) > 50
+    assert portfolio.two_new_a_day(df.limit(0)).count() == 0
+
+
+def test_bootstrap_in_chunks_is_as_wide_as_whole(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(k, i, rng.gauss(0.1, 1)) for k in "ab" for i in range(2000)] + [("a", 1, None), ("c", 1, 2.0)], "k string, i int, r double")
+    spans = {c: {r.k: (r.n, r.high - r.low) for r in I.stationary_bootstrap(df, ["k"], ["i"], "r", draws=400, chunk=c).collect()} for c in (10_000, 128)}
+    for k in "ab":
+        n, whole = spans[10_000][k]
+        # Of independent values the interval is 2 * 1.96 / sqrt(n) wide, about 0.088.
+        assert n == 2000 and 0.07 < whole < 0.11 and abs(spans[128][k][1] / whole - 1) < 0.25
+    assert spans[128]["c"] == (1, 0.0)
+    assert I.stationary_bootstrap(df.limit(0), ["k"], ["i"], "r").count() == 0
+
+
+def test_outliers_are_noise_and_calibration_rows_apart(spark):
+    rows = [(i, 0, [float(i % 5), 0.0]) for i in range(40)] + [(100 + i, 1, [50.0 + i % 5, 0.0]) for i in range(40)] + [(900, 1, [500.0, 0.0])]
+    v = spark.createDataFrame(rows, "id long, label int, x array<double>")
+    bank = V.prototypes(v.filter("id < 900"), "label", "x")
+    got = {r.id: (r.nearest, r.assigned) for r in V.assign_within(v, bank, "id", "label", "x").collect()}
+    assert got[900] == (1, -1) and got[0] == (0, 0) and got[102] == (1, 1)
+    held = v.filter(V.held_for_calibration("id")).count()
+    assert 0 < held < 40
+
+
+def test_event_gain_quota_scaling_and_report_edges(spark):
+    from tidemark.operators import evidence as E
+    from tidemark.operators.windows import by
+
+    assert E.quotas([20, 40, 60], 100) == {20: 34, 40: 33, 60: 33} and E.quotas([], 5) == {}
+    bars = spark.createDataFrame([("A", day(0), 10.0, 10.0, 10.0), ("A", day(1), 12.0, 9.0, 11.0), ("A", day(2), 11.0, 5.0, 6.0)], "symbol string, date date, high double, low double, close double")
+    got = [(round(r.gain, 6), r.direction, r.passed) for r in E.event_gain(bars, by(), 1, 0.1).orderBy("date").collect()]
+    assert got == [(0.2, "long", True), (0.545455, "short", True), (0.0, "", False)]
+    arrays = spark.sql("SELECT array(1.0D, 4.0D, 9.0D) AS v, array(0.0D, 0.0D) AS c, array(1.0D, 2.0D) AS m, array(0.0D, 2.0D) AS s, array(1.0D) AS short, array(1.0D, double('nan')) AS bad")
+    c = lambda n: F.col(n)
+    row = arrays.select(E.scaled_for(c("v"), c("c"), c("m"), c("s")), E.scaled_for(c("short"), c("c"), c("m"), c("s")), E.scaled_for(c("v"), c("c"), c("bad"), c("s"))).first()
+    assert tuple(row) == ([0.0, 1.0], None, None)
+    fine = spark.createDataFrame([(i, int(i >= 80), 0.9 if i >= 80 else 0.02) for i in range(100)], "i int, y int, p double")
+    assert E.calibration_report(fine, "y", "p", ["i"]).first().passed
+    for bad, reason in ((fine.limit(3), "insufficient_samples"), (fine.withColumn("y", F.lit(2)), "labels_must_be_binary"), (fine.withColumn("p", F.when(F.col("i") > 0, F.col("p"))), "probabilities_must_be_finite_unit_interval"), (fine.limit(0), "insufficient_samples")):
+        got = E.calibration_report(bad, "y", "p", ["i"]).first()
+        assert got.reason == reason and not got.passed
+    assert E.calibration_report(fine.withColumn("w", F.lit(0.0)), "y", "p", ["i"], "w").first().reason == "sample_weight_invalid"
+
+
 def test_family_check_finds_the_real_edge(spark):
     from tidemark.operators import shapes
 

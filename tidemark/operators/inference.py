@@ -95,24 +95,35 @@ def permutation_p(df: DataFrame, observed: float, statistic: str) -> DataFrame:
     return df.agg(((1 + F.count_if(F.col(statistic) >= observed)) / (F.count("*") + 1)).alias("p"))
 
 
-def stationary_bootstrap(df: DataFrame, keys: list[str], order: list[str], value: str, draws: int = 500, block: float = 5.0, seed: int = 0) -> DataFrame:
-    """Percentile interval and one-sided p of each key's mean by Politis-Romano resampling; draws differ by key and seed only."""
+def stationary_bootstrap(df: DataFrame, keys: list[str], order: list[str], value: str, draws: int = 500, block: float = 5.0, seed: int = 0, chunk: int = 8192) -> DataFrame:
+    """Percentile interval and one-sided p of each key's mean by stationary resampling; draws differ by key, place and seed.
+
+    A draw is a weight a row: runs start at any row at a rate of 1 / block and last geometrically (mean: block), and a row weighs as
+    many runs as cover it, once on average. Rows are placed by the first column of `order`, then the others, and drawn in chunks, whose
+    sums add up, so no task holds a key's series; runs end with their chunk, and each chunk begins with runs already under way.
+    Rows without a value, a key or a first order column take no part; neither does a draw that weighs no row.
+    """
+    known = df.filter(F.col(value).isNotNull()).select(*dict.fromkeys([*keys, *order]), F.col(value).cast("double").alias("_x"))
+    placed = indexed(known, keys, order[0], order, "_at").select(*keys, F.floor(F.col("_at") / chunk).alias("_chunk"), F.xxhash64(*keys).alias("_name"), "_at", "_x")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)[value].to_numpy(float)
-        rng = np.random.default_rng([seed, len(x)])
-        n, means = len(x), np.empty(draws)
+        x = pdf.sort_values("_at")["_x"].to_numpy()
+        n, first = len(x), pdf.iloc[0]
+        rng = np.random.default_rng([seed, int(first["_name"]) & 0xFFFFFFFF, int(first["_chunk"])])
+        sums, counts = np.empty(draws), np.empty(draws)
         for i in range(draws):
-            fresh = rng.random(n) < 1 / block
-            fresh[0] = True
-            starts = rng.integers(0, n, n)
-            at = np.flatnonzero(fresh)
-            run_of = np.cumsum(fresh) - 1
-            means[i] = x[(starts[at][run_of] + np.arange(n) - at[run_of]) % n].mean()
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "n": [n], "mean": [x.mean()], "low": [np.quantile(means, 0.025)], "high": [np.quantile(means, 0.975)], "p": [(1 + (means <= 0).sum()) / (draws + 1)]})
+            starts = np.concatenate([np.zeros(rng.poisson(1 - 1 / block), int), rng.integers(0, n, rng.poisson(n / block))])
+            ends = np.minimum(starts + rng.geometric(1 / block, len(starts)), n)
+            w = np.cumsum(np.bincount(starts, minlength=n + 1) - np.bincount(ends, minlength=n + 1))[:n]
+            sums[i], counts[i] = w @ x, w.sum()
+        return pd.DataFrame({**{k: [first[k]] * draws for k in keys}, "_draw": np.arange(draws), "_s": sums, "_c": counts})
 
     kinds = dict(df.dtypes)
-    return df.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "n long, mean double, low double, high double, p double"]))
+    parts = placed.groupBy(*keys, "_chunk").applyInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "_draw int, _s double, _c double"]))
+    means = parts.groupBy(*keys, "_draw").agg(F.sum("_s").alias("_s"), F.sum("_c").alias("_c")).filter("_c > 0").withColumn("_m", F.col("_s") / F.col("_c"))
+    bounds = means.groupBy(*keys).agg(F.percentile("_m", 0.025).alias("low"), F.percentile("_m", 0.975).alias("high"), ((1 + F.count_if(F.col("_m") <= 0)) / (F.count("*") + 1)).alias("p"))
+    stats = known.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_x").alias("mean"))
+    return stats.join(bounds, keys).select(*keys, "n", "mean", "low", "high", "p")
 
 
 def cluster_bootstrap(df: DataFrame, cluster: list[str], value: str, draws: int = 100, seed: int = 0) -> DataFrame:

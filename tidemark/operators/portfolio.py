@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp
-from .windows import by
+from .windows import by, in_order
 
 
 def execution_proxy(entry: Column, high: Column, low: Column, previous_close: Column, open_: Column, dollar_volume: Column, order_value: float) -> dict[str, Column]:
@@ -65,21 +67,31 @@ def edge_decay(df: DataFrame, level: str, edge: str, chosen: float, neighbours:
 def two_new_a_day(candidates: DataFrame, most: int = 2) -> DataFrame:
     """Portfolio policy: a day opens at most `most` new trades, by symbol, and a symbol is locked up to its exit.
 
-    Days depend on one another, so it runs by portfolio in order of day; a portfolio's candidates must fit a task.
+    Days depend on one another, so it is a fold over a portfolio's candidates in order, streamed: a task holds a batch, the day's count
+    and the symbols that are locked now. Candidates without an entry or exit date are left out; of equal ones the smaller ret comes first.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        locked: dict[str, object] = {}
-        taken, opened = [], {}
-        for row in pdf.sort_values(["entry_date", "symbol", "exit_date"]).itertuples():
-            if opened.get(row.entry_date, 0) < most and not (row.symbol in locked and locked[row.symbol] >= row.entry_date):
-                opened[row.entry_date] = opened.get(row.entry_date, 0) + 1
-                locked[row.symbol] = row.exit_date
-                taken.append(row.Index)
-        return pdf.loc[taken]
-
-    view = candidates.select("portfolio", "symbol", "entry_date", "exit_date", "ret")
-    return view.groupBy("portfolio").applyInPandas(run, view.schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, day, opened, locked = object(), None, 0, {}
+        for b in batches:
+            keep = []
+            for portfolio, symbol, start, end in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if portfolio != now:
+                    now, day, locked = portfolio, None, {}
+                if start != day:
+                    day, opened = start, 0
+                    locked = {s: e for s, e in locked.items() if e >= start}
+                take = opened < most and symbol not in locked
+                if take:
+                    opened += 1
+                    # A trade that ends before it starts locks nothing.
+                    if end >= start:
+                        locked[symbol] = end
+                keep.append(take)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    view = candidates.select("portfolio", "symbol", "entry_date", "exit_date", "ret").dropna(subset=["entry_date", "exit_date"])
+    return in_order(view, ["portfolio"], ["entry_date", "symbol", "exit_date", "ret"]).mapInArrow(run, view.schema)
 
 
 def regime_flag(bars: DataFrame, benchmark: str, fallback: str) -> DataFrame:

@@ -65,6 +65,25 @@ def nearest_prototypes(vectors: DataFrame, bank: DataFrame, key: str, label: str
     return best.select(key, first["l"].alias("nearest"), first["d"].alias("distance"), (first["d"] / F.nullif(second["d"], F.lit(0.0))).alias("ambiguity"))
 
 
+def radii(vectors: DataFrame, bank: DataFrame, label: str, vector: str, share: float = 0.9) -> DataFrame:
+    """(label, radius): the exact share-quantile of the members' distances to their own prototype."""
+    own = vectors.join(bank.select(label, "centroid"), label)
+    return own.groupBy(label).agg(F.percentile(distance(F.col(vector), F.col("centroid")), share).alias("radius"))
+
+
+def assign_within(vectors: DataFrame, bank: DataFrame, key: str, label: str, vector: str, reach: float = 1.25, noise: int = -1) -> DataFrame:
+    """The nearest prototype of each vector, and `assigned`: its label within reach x its members' p90 radius, else noise."""
+    near = nearest_prototypes(vectors, bank, key, label, vector)
+    limits = radii(vectors, bank, label, vector).select(F.col(label).alias("nearest"), "radius")
+    inside = F.col("distance") <= reach * F.col("radius")
+    return near.join(limits, "nearest").select(key, "nearest", "distance", "ambiguity", "radius", F.when(inside, F.col("nearest")).otherwise(noise).alias("assigned"))
+
+
+def held_for_calibration(key: str) -> Column:
+    """A quarter of the keys, by hash: rows that calibrate and so must not fit."""
+    return F.substring(F.md5(F.col(key).cast("string")), 1, 1) < "4"
+
+
 def conformal_threshold(df: DataFrame, keys: list[str], score: str, alpha: float) -> DataFrame:
     """The order statistic ceil((n + 1)(1 - alpha)) of each key's scores; not a percentile."""
     w = Window.partitionBy(*keys)

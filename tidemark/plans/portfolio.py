@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from ..operators import inference as I
@@ -11,7 +14,7 @@ from ..operators import similarity as V
 from ..operators import windows as W
 from ..registry import query
 from .inputs import BARS, TRADES, daily_bars, table, trades
-from .research import _PROTO
+from .research import _PROTO, cdf_sql, moments_sql
 
 
 @query(
@@ -136,7 +139,16 @@ def soft_dtw_divergence(spark, sf_dir):
     return H.soft_dtw_divergence(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", [i / 64 for i in range(64)])
 
 
-@query("deflated_sharpe", None, ("sr", "expected_best", "dsr"))
+_EULER, _Q = 0.5772156649015329, NormalDist().inv_cdf
+_BEST = (1 - _EULER) * _Q(1 - 1 / 20) + _EULER * _Q(1 - 1 / (20 * math.e))
+
+
+@query(
+    "deflated_sharpe",
+    f"""WITH {moments_sql("symbol")}, b AS (SELECT {_BEST!r} * stddev_samp(sr) AS best FROM s), d AS (SELECT symbol, sr, best, (sr - best) * sqrt(n - 1) / sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr) AS z FROM s, b)
+SELECT symbol, sr, best AS expected_best, {cdf_sql("z")} AS dsr FROM d""",
+    ("sr", "expected_best", "dsr"),
+)
 def deflated_sharpe(spark, sf_dir):
     return H.deflated_sharpe(I.sharpe(trades(spark, sf_dir), ["symbol"], "ret").select("symbol", "n", "sr", "skew", "kurt"), 20).select("symbol", "sr", "expected_best", "dsr")
 

@@ -93,6 +93,22 @@ def benjamini_hochberg(spark, sf_dir):
     return I.benjamini_hochberg(c, ["family"], "p", "k")
 
 
+def moments_sql(key: str) -> str:
+    return f"""{TRADES}, m AS (SELECT {key}, avg(ret) AS mu FROM trades GROUP BY {key}), s AS (SELECT {key}, count(*) AS n, avg(ret) / stddev_samp(ret) AS sr, avg(power(ret - mu, 3)) / power(avg(power(ret - mu, 2)), 1.5) AS skew,
+avg(power(ret - mu, 4)) / power(avg(power(ret - mu, 2)), 2) AS kurt FROM trades JOIN m USING ({key}) GROUP BY {key})"""
+
+
+def cdf_sql(z: str) -> str:
+    """The normal distribution function of a column by a series for the middle and a continued fraction for the tails (error below 1e-12)."""
+    terms, tail = "1.0::DOUBLE", f"abs({z})"
+    for k in range(120, 0, -1):
+        terms = f"1 + {z} * {z} / {2 * k + 1} * ({terms})"
+    for k in range(60, 0, -1):
+        tail = f"abs({z}) + {k} / ({tail})"
+    density = f"exp(-{z} * {z} / 2) / sqrt(2 * pi())"
+    return f"CASE WHEN abs({z}) < 4 THEN 0.5 + {density} * {z} * ({terms}) WHEN {z} > 0 THEN 1 - {density} / ({tail}) ELSE {density} / ({tail}) END"
+
+
 _ORDERED = f"{TRADES}, o AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY entry_date, trade_id, qty, price) AS i FROM trades)"
 _ORDER = ["entry_date", "trade_id", "qty", "price"]
 
@@ -110,7 +126,7 @@ def newey_west(spark, sf_dir):
 
 @query(
     "sharpe_moments",
-    f"""WITH {TRADES}, m AS (SELECT pattern, avg(ret) AS mu FROM trades GROUP BY pattern), s AS (SELECT pattern, count(*) AS n, avg(ret) / stddev_samp(ret) AS sr, avg(power(ret - mu, 3)) / power(avg(power(ret - mu, 2)), 1.5) AS skew, avg(power(ret - mu, 4)) / power(avg(power(ret - mu, 2)), 2) AS kurt FROM trades JOIN m USING (pattern) GROUP BY pattern)
+    f"""WITH {moments_sql("pattern")}
 SELECT *, sr * sqrt(n - 1) / sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr) AS z FROM s""",
     ("sr", "skew", "kurt", "z"),
 )
@@ -118,7 +134,7 @@ def sharpe_moments(spark, sf_dir):
     return I.sharpe(trades(spark, sf_dir), ["pattern"], "ret").drop("psr")
 
 
-@query("probabilistic_sharpe", None, ("psr",))
+@query("probabilistic_sharpe", f"WITH {moments_sql('pattern')} SELECT pattern, {cdf_sql('z')} AS psr FROM (SELECT *, sr * sqrt(n - 1) / sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr) AS z FROM s)", ("psr",))
 def probabilistic_sharpe(spark, sf_dir):
     return I.sharpe(trades(spark, sf_dir), ["pattern"], "ret").select("pattern", "psr")
 
@@ -186,6 +202,10 @@ _PROTO = """l AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len
 p AS (SELECT label, list(m ORDER BY d) AS centroid, list(v ORDER BY d) AS variance FROM c GROUP BY label)"""
 
 
+#: The same over the rows that don't calibrate.
+_FITTED = _PROTO.replace("FROM embeddings)", "FROM embeddings WHERE substr(md5(vec_id::VARCHAR), 1, 1) >= '4')")
+
+
 @query("prototype_bank", f"WITH {_PROTO} SELECT label, round(list_sum(centroid), 6) + 0.0 AS centroid_sum, round(list_sum(variance), 6) + 0.0 AS variance_sum FROM p")
 def prototype_bank(spark, sf_dir):
     total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + x), 6) + F.lit(0.0)
@@ -195,12 +215,13 @@ def prototype_bank(spark, sf_dir):
 @query(
     "radius_assignment",
     f"""WITH {_PROTO}, d AS (SELECT vec_id, p.label AS l, list_distance(embedding::DOUBLE[], centroid) AS dist FROM embeddings, p), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, l) AS k FROM d)
-SELECT a.vec_id, a.l AS nearest, a.dist AS distance, a.dist / nullif(b.dist, 0) AS ambiguity FROM r a LEFT JOIN r b ON b.vec_id = a.vec_id AND b.k = 2 WHERE a.k = 1""",
-    ("distance", "ambiguity"),
+SELECT a.vec_id, a.l AS nearest, a.dist AS distance, a.dist / nullif(b.dist, 0) AS ambiguity, radius, CASE WHEN a.dist <= 1.25 * radius THEN a.l ELSE -1 END AS assigned FROM r a LEFT JOIN r b ON b.vec_id = a.vec_id AND b.k = 2
+JOIN (SELECT label, quantile_cont(list_distance(embedding::DOUBLE[], centroid), 0.9) AS radius FROM embeddings JOIN p USING (label) GROUP BY label) q ON q.label = a.l WHERE a.k = 1""",
+    ("distance", "ambiguity", "radius"),
 )
 def radius_assignment(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    return V.nearest_prototypes(v, V.prototypes(v, "label", "embedding"), "vec_id", "label", "embedding")
+    return V.assign_within(v, V.prototypes(v, "label", "embedding"), "vec_id", "label", "embedding")
 
 
 @query(
@@ -215,12 +236,13 @@ def mahalanobis_own_prototype(spark, sf_dir):
 
 @query(
     "conformal_threshold",
-    f"WITH {_PROTO}, d AS (SELECT e.label, list_distance(embedding::DOUBLE[], centroid) AS dist FROM embeddings e JOIN p USING (label)), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY dist) AS k, count(*) OVER (PARTITION BY label) AS n FROM d) SELECT label, n, dist AS threshold FROM r WHERE k = least(ceil((n + 1) * (1 - 0.1::DOUBLE)), n)",
+    f"WITH {_FITTED}, d AS (SELECT e.label, list_distance(embedding::DOUBLE[], centroid) AS dist FROM embeddings e JOIN p USING (label) WHERE substr(md5(vec_id::VARCHAR), 1, 1) < '4'), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY dist) AS k, count(*) OVER (PARTITION BY label) AS n FROM d) SELECT label, n, dist AS threshold FROM r WHERE k = least(ceil((n + 1) * (1 - 0.1::DOUBLE)), n)",
     ("threshold",),
 )
 def conformal_threshold(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    own = v.join(V.prototypes(v, "label", "embedding"), "label").select("label", V.distance(F.col("embedding"), F.col("centroid")).alias("d"))
+    held = V.held_for_calibration("vec_id")
+    own = v.filter(held).join(V.prototypes(v.filter(~held), "label", "embedding"), "label").select("label", V.distance(F.col("embedding"), F.col("centroid")).alias("d"))
     return V.conformal_threshold(own, ["label"], "d", 0.1)
 
 
@@ -243,6 +265,6 @@ def kmeans_clusters(spark, sf_dir):
     return V.kmeans(_vectors(spark, sf_dir), "vec_id", "embedding", 8).groupBy("cluster").count()
 
 
-@query("normal_cdf_tiers", None, ("phi",))
+@query("normal_cdf_tiers", f"SELECT vec_id, {cdf_sql('z')} AS phi FROM (SELECT vec_id, (vec_id % 100 - 50) / 10 AS z FROM embeddings)", ("phi",))
 def normal_cdf_tiers(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", S.normal_cdf((F.col("vec_id") % 100 - 50) / 10).alias("phi"))
