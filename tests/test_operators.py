@@ -330,6 +330,17 @@ def test_bootstrap_in_chunks_is_as_wide_as_whole(spark):
     assert I.stationary_bootstrap(df.limit(0), ["k"], ["i"], "r").count() == 0
 
 
+def test_newey_west_in_chunks_is_the_whole(spark):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(k, day(i // 9), i, rng.gauss(0.2, 1)) for k in "ab" for i in range(100)], "k string, d date, i int, r double")
+    whole, parts = ({r.k: (r.n, round(r["mean"], 12), round(r.t, 9)) for r in I.newey_west(df, ["k"], ["d", "i"], "r", 3, c).collect()} for c in (1000, 7))
+    x = np.array([r.r for r in df.filter("k = 'a'").orderBy("i").collect()])
+    e = x - x.mean()
+    v = e @ e / 100 + 2 * sum((1 - k / 4) * (e[k:] @ e[:-k]) / 100 for k in (1, 2, 3))
+    assert whole == parts and abs(parts["a"][2] - x.mean() / math.sqrt(v / 100)) < 1e-6
+    assert I.newey_west(df.limit(0), ["k"], ["d", "i"], "r", 3).count() == 0
+
+
 def test_outliers_are_noise_and_calibration_rows_apart(spark):
     rows = [(i, 0, [float(i % 5), 0.0]) for i in range(40)] + [(100 + i, 1, [50.0 + i % 5, 0.0]) for i in range(40)] + [(900, 1, [500.0, 0.0])]
     v = spark.createDataFrame(rows, "id long, label int, x array<double>")

@@ -26,17 +26,25 @@ def benjamini_hochberg(df: DataFrame, family: list[str], p: str, key: str, q: fl
     return out.withColumn("q_value", F.least(F.min("_raw").over(following), F.lit(1.0))).drop("_k", "_m", "_raw")
 
 
-def newey_west(df: DataFrame, keys: list[str], order: list[str], value: str, lags: int) -> DataFrame:
-    """t of the mean with Bartlett weights; the lagged products are sums over lag columns, one window."""
-    w = by(keys, order)
-    mean = F.avg(value).over(Window.partitionBy(*keys))
-    centred = df.withColumn("_d", F.col(value) - mean)
-    products = centred.withColumns({f"_g{k}": F.col("_d") * F.lag("_d", k).over(w) if k else F.col("_d") * F.col("_d") for k in range(lags + 1)})
-    sums = products.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), *[F.coalesce(F.sum(f"_g{k}"), F.lit(0.0)).alias(f"_s{k}") for k in range(lags + 1)])
+def newey_west(df: DataFrame, keys: list[str], order: list[str], value: str, lags: int, chunk: int = 65_536) -> DataFrame:
+    """t of the mean with Bartlett weights; the lagged products are sums over lag columns.
+
+    Rows are placed without a window over a whole key and lagged in chunks, each with the last `lags` rows of the chunk before it, so
+    no task holds more than a chunk. Rows without a key or a first order column are left out of the lags. chunk must be at least lags.
+    """
+    if chunk < lags:
+        raise ValueError("a chunk must hold the lags")
+    stats = df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    placed = indexed(df.select(*dict.fromkeys([*keys, *order, value])), keys, order[0], order, "_at").join(stats.select(*keys, F.col("mean").alias("_mean")), keys)
+    ends = F.when(F.col("_at") % chunk >= chunk - lags, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    copies = placed.select(*keys, "_at", (F.col(value) - F.col("_mean")).alias("_d"), F.explode(ends).alias("_ahead")).withColumn("_chunk", F.floor(F.col("_at") / chunk) + F.col("_ahead"))
+    w = by([*keys, "_chunk"], "_at")
+    products = copies.withColumns({f"_g{k}": F.col("_d") * (F.lag("_d", k).over(w) if k else F.col("_d")) for k in range(lags + 1)}).filter("_ahead = 0")
+    sums = products.groupBy(*keys).agg(*[F.coalesce(F.sum(f"_g{k}"), F.lit(0.0)).alias(f"_s{k}") for k in range(lags + 1)])
     variance = F.col("_s0") / F.col("n")
     for k in range(1, lags + 1):
         variance = variance + 2 * (1 - k / (lags + 1)) * F.col(f"_s{k}") / F.col("n")
-    return sums.withColumn("t", F.when(variance > 0, F.col("mean") / F.sqrt(variance / F.col("n")))).select(*keys, "n", "mean", "t")
+    return stats.join(sums, keys).withColumn("t", F.when(variance > 0, F.col("mean") / F.sqrt(variance / F.col("n")))).select(*keys, "n", "mean", "t")
 
 
 def sharpe(df: DataFrame, keys: list[str], value: str, benchmark: float = 0.0) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -10,6 +12,7 @@ from ..operators import windows as W
 from ..registry import query
 from .inputs import INTRADAY, TRADES, intraday_bars, table, trades
 from .intraday import _inner
+from .research import cdf_sql
 
 
 @query(
@@ -118,6 +121,6 @@ def clustering_agreement(spark, sf_dir):
     return P.agreement(v.select("vec_id", "label"), v.select("vec_id", (F.col("vec_id") % 7).alias("label")), "vec_id", "label")
 
 
-@query("obrien_fleming", None, ("spent",))
+@query("obrien_fleming", f"SELECT c_custkey, 2 - 2 * {cdf_sql('z')} AS spent FROM (SELECT c_custkey, {NormalDist().inv_cdf(0.975)!r} / sqrt((c_custkey % 100 + 1) / 100) AS z FROM customer)", ("spent",))
 def obrien_fleming(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", P.obrien_fleming((F.col("c_custkey") % 100 + 1) / 100).alias("spent"))
