@@ -6,15 +6,17 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.llm import infill, periodic_runs
+from tidemark.llm import imatch, infill, periodic_runs
 from tidemark.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -168,3 +170,110 @@ def test_runs_of_a_text_above_a_slice(spark):
     assert len(" ".join(w)) > periodic_runs.SLICE_BYTES
     assert [tuple(x) for x in rows[2].pr_runs] == [(500_000, 997 * 5, 997), (500_000 + 997 * 5, 7, 1)] and rows[3].pr_text == "z"
     assert rows[2].pr_text == " ".join(w[:500_997] + ["é"] + w[500_000 + 997 * 5 + 7 :])
+
+
+def word_hashes(t: str) -> set[int]:
+    return {xxhash.xxh64_intdigest(w.encode(), 42) for w in re.split(r"[\x20\x09-\x0D]+", t.lower()) if w}
+
+
+def chained(hashes: list[int]) -> int:
+    seed = 42
+    for h in hashes:
+        seed = xxhash.xxh64_intdigest(h.to_bytes(8, "little"), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_print(t: str, lexicon: set[int]) -> list[int]:
+    every = sorted(word_hashes(t), key=signed)
+    kept = [h for h in every if h % (1 << imatch.TERM_BITS) in lexicon] or every
+    out, at = [], imatch.TERM_BITS
+    for width in imatch.LEVELS:
+        for j in range(imatch.SUBSETS):
+            held = [h for h in kept if (h >> at) % (1 << width) == j]
+            out.append(chained(held) % 65535 + 1 if held else 0)
+        at += width
+    return out
+
+
+def brute_likeness(a: list[int], b: list[int]) -> float:
+    if a == b:
+        return 1.0
+    for level in reversed(range(len(imatch.LEVELS))):
+        pairs = [(x, y) for x, y in zip(a, b, strict=True)][level * imatch.SUBSETS : (level + 1) * imatch.SUBSETS]
+        some = [p for p in pairs if any(p)]
+        if len(some) >= imatch.SUBSETS // 2 or level == 0:
+            return sum(x == y for x, y in some) / max(len(some), 1)
+    raise AssertionError
+
+
+def brute_lexicon(docs: list[str]) -> set[int]:
+    df = Counter(h % (1 << imatch.TERM_BITS) for t in docs for h in word_hashes(t))
+    return {h for h, n in df.items() if imatch.LEAST <= n <= max(imatch.LEAST, imatch.MOST * len(docs))}
+
+
+def test_op13(spark, data):
+    docs = sorted(texts(data).items())
+    rows = {r.doc_id: r for r in QUERIES["op13_imatch"](spark, data).collect()}
+    assert sorted(rows) == [i for i, _ in docs]
+    lexicon = brute_lexicon([t for _, t in docs])
+    prints = {i: brute_print(t, lexicon) for i, t in docs}
+    for at, (i, t) in enumerate(docs):
+        j, following = docs[(at + 1) % len(docs)]
+        m = len(t) // 2
+        edited = t[: len(t) - m] + following[:m]
+        other = brute_print(edited, lexicon)
+        r = rows[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), sha(edited))
+        assert (r.fingerprint, r.edited_fingerprint) == tuple("".join(f"{x:04x}" for x in p) for p in (prints[i], other))
+        assert (r.near_edited, r.near_next) == (brute_likeness(prints[i], other), brute_likeness(prints[i], prints[j]))
+    assert np.mean([r.near_edited > r.near_next for r in rows.values()]) > 0.9
+
+
+def test_imatch_of_awkward_tables(spark, odd):
+    odd = odd.withColumn("im_block", F.lit("y"))
+    rows = imatch.compare_with_next(odd).collect()
+    assert len(rows) == odd.count() and "im_block" not in rows[0] and rows[0].mix_size == "x"
+    # Keys 1 to 10 with 8 twice, then the one without a key; the first follows it.
+    ordered = sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id))
+    for r, after in zip(ordered, [*ordered[1:], ordered[0]], strict=True):
+        t, m = r.text or "", len(r.text or "") // 2
+        assert r.im_edited == t[: len(t) - m] + (after.text or "")[:m] and r.im_next_print == after.im_print
+    blank = [r.im_print for r in rows if not (r.text or "").split()]
+    assert len(blank) == 3 and all(x == 0 for p in blank for x in p)
+    assert imatch.compare_with_next(odd.limit(0)).count() == 0
+    [alone] = imatch.compare_with_next(odd.filter("doc_id = 4")).collect()
+    assert alone.im_edited == alone.text[: len(alone.text) - len(alone.text) // 2] + alone.text[: len(alone.text) // 2]
+
+
+@pytest.mark.parametrize("ids", ["dense", "one key", "clusters", "wide"])
+def test_next_document_across_blocks(spark, ids):
+    rng = random.Random(5)
+    key = {"dense": lambda i: i, "one key": lambda i: 7 if i % 3 else i, "clusters": lambda i: i % 2 * 10**15 + i, "wide": lambda i: rng.randrange(-(2**63), 2**63 - 5)}[ids]
+    docs = [(key(i), f"text {i}") for i in range(700)] + [(None, "none a"), (None, "none b")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = imatch.with_next(df, "doc_id", {"next_id": "doc_id", "next_text": "text"}, rows=16).collect()
+    ordered = sorted(docs, key=lambda d: (d[0] if d[0] is not None else imatch.LAST, signed(xxhash.xxh64_intdigest(d[1].encode(), 42))))
+    want = {(*d, *after) for d, after in zip(ordered, [*ordered[1:], ordered[0]], strict=True)}
+    assert len(found) == len(docs) and {tuple(r) for r in found} == want
+    placed = imatch._place(df.select(F.coalesce("doc_id", F.lit(imatch.LAST)).alias("im_id"), F.xxhash64("text").alias("im_tie")), 16)
+    assert placed.groupBy("im_block").count().agg(F.max("count")).first()[0] <= 64
+
+
+def test_equal_texts_have_equal_fingerprints(spark):
+    base = " ".join(f"w{i}" for i in range(400))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([base, base, base.upper(), base + " more", "other words here", None])], "doc_id long, text string")
+    lexicon = imatch.learn_lexicon(df, least=1, most=1.0)
+    prints = [r.p for r in imatch.fingerprint(df, lexicon, name="p").orderBy("doc_id").collect()]
+    assert prints[0] == prints[1] == prints[2] != prints[3]
+    near = spark.createDataFrame([(prints[0], prints[i]) for i in range(6)], "a array<int>, b array<int>").select(imatch.likeness(F.col("a"), F.col("b")).alias("x"))
+    found = [r.x for r in near.collect()]
+    assert found[:3] == [1.0] * 3 and found[3] > 0.8 and found[4:] == [0.0, 0.0]
+
+
+def test_imatch_runs_no_python(spark, data):
+    plan = QUERIES["op13_imatch"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan) and "CartesianProduct" not in plan

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import context_tree, host_reputation, importance, infill, language_id, line_dedup, maxscore, mixing, packing, periodic_runs, simhash, weak_supervision
+from . import context_tree, host_reputation, imatch, importance, infill, language_id, line_dedup, maxscore, mixing, packing, periodic_runs, simhash, weak_supervision
 
 QUERIES = {
     "op1_importance": importance.op1_importance,
     "op10_language_id": language_id.op10_language_id,
     "op11_infill": infill.op11_infill,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_imatch": imatch.op13_imatch,
     "op2_simhash": simhash.op2_simhash,
     "op3_maxscore": maxscore.op3_maxscore,
     "op4_mix": mixing.op4_mix,
