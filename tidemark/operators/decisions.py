@@ -118,20 +118,26 @@ def rotation_hash(salt: str, symbol: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", F.lit(salt), symbol), 256), 1, 8)
 
 
-def setup_states(setups: DataFrame, evaluations: DataFrame, order: list[str], max_age_days: int = 5, min_reward_risk: float = 3.0) -> DataFrame:
+def setup_states(setups: DataFrame, evaluations: DataFrame, order: list[str], max_age_days: int = 5, min_reward_risk: float = 3.0, now: Column | None = None) -> DataFrame:
     """Each setup's status after its evaluations in order: status, reason, evaluated (how many counted), entry_score (the last one's).
 
     setups: setup_id, detected_at, status; evaluations: setup_id, at, reward_risk, entry_score, and the booleans gate_passed,
-    broken, blocked (null: false). The first evaluation that breaks the context, is blocked or lacks reward, or comes too late ends
+    broken, blocked (null: false) and, if known, the text invalidation_reason, which breaks the context by itself. The first evaluation that breaks the context, is blocked or lacks reward, or comes too late ends
     the setup, and later ones don't count; short of that a passed gate leads from any waiting status to entry_ready at once, so no
     state is folded row by row. Setups that are not active, and those without evaluations, stay as they are.
+    now: a clock; evaluations after it or after a setup's deadline don't count, and setups whose deadline it has reached expire.
     """
     active = setups.filter(F.col("status").isin(ACTIVE)).select("setup_id", "detected_at")
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     age = F.floor((F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.col("detected_at").cast("timestamp"))) / 86_400_000_000)
     poor = flag("blocked") | ~F.coalesce(F.col("reward_risk") >= min_reward_risk, F.lit(False))
-    reason = F.when(flag("broken"), "setup_context_broken").when(poor, "non_recoverable_or_reward_risk_failed").when(age >= max_age_days, "max_age_days_exceeded")
-    told = evaluations.join(active, "setup_id").select("setup_id", F.struct(*order).alias("_at"), reason.alias("_reason"), flag("gate_passed").alias("_passed"), F.col("entry_score").alias("_score"))
+    own = F.nullif(F.col("invalidation_reason"), F.lit("")) if "invalidation_reason" in evaluations.columns else F.lit(None).cast("string")
+    deadline = F.col("detected_at").cast("timestamp") + F.expr(f"INTERVAL {max_age_days} DAYS")
+    reason = F.when(flag("broken") | own.isNotNull(), F.coalesce(own, F.lit("setup_context_broken"))).when(poor, "non_recoverable_or_reward_risk_failed").when(age >= max_age_days, "max_age_days_exceeded")
+    joined = evaluations.join(active, "setup_id")
+    if now is not None:
+        joined = joined.filter(F.col("at").cast("timestamp").between(F.col("detected_at").cast("timestamp"), F.least(now, deadline)))
+    told = joined.select("setup_id", F.struct(*order).alias("_at"), reason.alias("_reason"), flag("gate_passed").alias("_passed"), F.col("entry_score").alias("_score"))
     ends = told.filter("_reason IS NOT NULL").groupBy("setup_id").agg(F.min("_at").alias("_stop"), F.min_by("_reason", "_at").alias("_ended"))
     seen = told.join(ends, "setup_id", "left").filter(F.col("_stop").isNull() | (F.col("_at") <= F.col("_stop")))
     last = seen.groupBy("setup_id").agg(F.max("_ended").alias("_ended"), F.bool_or("_passed").alias("_passed"), F.max_by("_score", "_at").alias("entry_score"), F.count("*").alias("_n"))
@@ -140,6 +146,9 @@ def setup_states(setups: DataFrame, evaluations: DataFrame, order: list[str], ma
     ready = F.coalesce("_passed", F.lit(False)) & F.col("status").isin(ADVANCING)
     after = F.when(ended, F.when(F.col("_ended") == "max_age_days_exceeded", "expired").otherwise("invalidated")).when(ready, "entry_ready").otherwise(F.col("status"))
     why = F.when(ended, F.col("_ended")).when(ready, "entry_gate_passed")
+    if now is not None:
+        late = ~ended & F.col("status").isin(ACTIVE) & (deadline <= now)
+        after, why = F.when(late, "expired").otherwise(after), F.when(late, "max_age_days_exceeded").otherwise(why)
     return out.withColumns({"status": after, "reason": why, "evaluated": F.coalesce("_n", F.lit(0))}).drop("_ended", "_passed", "_n")
 
 
