@@ -477,10 +477,11 @@ def test_importance_by_brute_force(spark, prose):
     """Ratios, keys and the cut from features counted one document at a time."""
     labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 120, 2)], "doc_id long, quality int")
     n = importance.BUCKETS * importance.CHANNELS
-    good, raw, target, each = {i for i in range(0, 120, 2) if i % 3}, np.zeros(n), np.zeros(n), {}
+    good, raw, target, each, texts = {i for i in range(0, 120, 2) if i % 3}, np.zeros(n), np.zeros(n), {}, {}
     for r in prose.collect():
         f = importance.features(next(slices(pa.array([r.text]))))[0]
         each[r.doc_id] = f
+        texts[r.doc_id] = hashlib.md5(r.text.encode()).hexdigest()
         for x in f.tolist():
             raw[x] += 1
             target[x] += r.doc_id in good
@@ -493,7 +494,7 @@ def test_importance_by_brute_force(spark, prose):
             ratio[i] = math.log((target[i] / all_target + importance.SMOOTHING * mass) / (1 + importance.SMOOTHING) / mass)
     keys = {}
     for i, f in each.items():
-        u = (int(hashlib.md5(f"0:{i}".encode()).hexdigest()[:15], 16) + 0.5) / 2.0**60
+        u = (int(hashlib.md5(f"0:{i}:{texts[i]}".encode()).hexdigest()[:15], 16) + 0.5) / 2.0**60
         keys[i] = float(sum(ratio[f])) - math.log(-math.log(u))
     k = round(120 * len(good) / 60)
     kept = set(sorted(keys, key=lambda i: -keys[i])[:k])

@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.llm import imatch, infill, periodic_runs
+from tidemark.llm import imatch, importance, infill, periodic_runs
 from tidemark.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -277,3 +277,15 @@ def test_equal_texts_have_equal_fingerprints(spark):
 def test_imatch_runs_no_python(spark, data):
     plan = QUERIES["op13_imatch"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan) and "CartesianProduct" not in plan
+
+
+def test_rows_without_an_id_draw_apart(spark):
+    rows = [(i if i < 300 else None if i < 500 else 7, f"some words number {i % 2 if i >= 300 else 0}", "qc") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, qc_key string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    for seed in range(3):
+        kept = importance.resample(df, labels, seed=seed).filter("qc_kept").collect()
+        counts = [sum(r.doc_id is None for r in kept), sum(r.doc_id == 7 for r in kept)]
+        assert len(kept) == 300 and 50 < counts[0] < 150 and 20 < counts[1] < 80, counts
+        keys = importance.resample(df, labels, seed=seed).select("qc_key").collect()
+        assert len({r.qc_key for r in keys}) == 600 and isinstance(keys[0].qc_key, float)

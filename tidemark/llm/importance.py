@@ -8,8 +8,8 @@ N-grams: words, pairs of words, and triples of word shapes (case, ends, repetiti
 The raw model counts all documents; the target model counts at most TARGET_DOCS labelled documents (those with the smallest
 hashes) and is smoothed towards the raw model.
 
-Null or empty text: log ratio 0. Null doc_id: never a target. Repeated rows have equal keys and stay or go together, so ties
-may keep more than k. Without target documents every ratio is 0 and all stay. An empty table gives an empty result. Other
+Null or empty text: log ratio 0. Null doc_id: never a target. The noise is drawn by id, text and number of the repetition, so rows
+that share an id, or have none, draw apart. Without target documents every ratio is 0 and all stay. An empty table gives an empty result. Other
 columns pass through; columns of the input that start with `qc_` are replaced.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .mixing import HASH_BITS, hash_place
+from .mixing import HASH_BITS, hash_place, places
 from .runtime import materialize
 from .textbytes import Texts, mix, slices
 
@@ -104,7 +104,7 @@ def log_ratios(counted: DataFrame) -> np.ndarray:
 
 
 def score(docs: DataFrame, ratios: np.ndarray, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, seed: int = 0) -> DataFrame:
-    """docs (or its columns in keep) plus qc_log_ratio and qc_key, the ratio with Gumbel noise."""
+    """docs (or its columns in keep) plus qc_log_ratio and qc_id, a hash of id and text."""
     names = [c for c in (docs.columns if keep is None else keep) if not c.startswith("qc_")]
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
@@ -114,13 +114,19 @@ def score(docs: DataFrame, ratios: np.ndarray, key: str = "doc_id", text: str =
             for t in slices(b.column(b.num_columns - 1)):
                 f, rows = features(t)
                 sums.append(np.bincount(rows, weights=ratios[f], minlength=t.n))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(sums) if sums else np.zeros(0))], [*names, "qc_uniform", "qc_log_ratio"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(sums) if sums else np.zeros(0))], [*names, "qc_id", "qc_log_ratio"])
 
-    u = (hash_place(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))).cast("double") + 0.5) / float(1 << HASH_BITS)
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), "qc_uniform double, qc_log_ratio double"])
-    scored = docs.select(*names, u.alias("qc_uniform"), F.col(text).alias("qc_text")).mapInArrow(run, schema)
-    u = F.col("qc_uniform")
-    return scored.withColumn("qc_key", F.col("qc_log_ratio") - F.log(-F.log(F.least(u, F.lit(1 - 1e-16))))).drop("qc_uniform")
+    ident = hash_place(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit("")))))
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), "qc_id bigint, qc_log_ratio double"])
+    return docs.select(*[F.col(f"`{c}`") for c in names], ident.alias("qc_id"), F.col(text).alias("qc_text")).mapInArrow(run, schema)
+
+
+def with_noise(scored: DataFrame) -> DataFrame:
+    """scored (a written table) with qc_key, the ratio with Gumbel noise of the row's own: repeated rows draw apart."""
+    # Without a source: rows are told apart by id and text alone.
+    placed = places(scored.withColumn("qc_source", F.lit("")), "qc_id", "qc_source", "qc_place")
+    u = (F.col("qc_place").cast("double") + 0.5) / float(1 << HASH_BITS)
+    return placed.withColumn("qc_key", F.col("qc_log_ratio") - F.log(-F.log(F.least(u, F.lit(1 - 1e-16))))).drop("qc_place", "qc_source")
 
 
 def kth_largest(df: DataFrame, col: str, k: int, bins: int = 4096) -> float:
@@ -156,7 +162,7 @@ def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """docs (or its columns in keep) plus qc_log_ratio, qc_key and qc_kept. `share`: of documents to keep, default that of good labels."""
     ids, good = target_sample(labels)
     ratios = log_ratios(count_features(docs, ids, key, text))
-    scored = materialize(score(docs, ratios, key, text, keep, seed))
+    scored = with_noise(materialize(score(docs, ratios, key, text, keep, seed)))
     n = scored.count()
     k = round(n * (good if share is None else share)) if ids else n
     return scored.withColumn("qc_kept", F.col("qc_key") >= F.lit(kth_largest(scored, "qc_key", k)))

@@ -33,28 +33,28 @@ def hash_place(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
-def places(docs: DataFrame) -> DataFrame:
-    """docs (a written table) with mix_place, from mix_id (the hash of id and text) and the number of the row among those that share it and their source.
+def places(docs: DataFrame, ident: str = "mix_id", source: str = "mix_source", place: str = "mix_place") -> DataFrame:
+    """docs (a written table) with a place from ident (the hash of id and text) and the number of the row among those that share it and their source.
 
-    Rows that share neither keep mix_id. The others are numbered within their partition, from the sum of the partitions before it, so that
+    Rows that share neither keep ident. The others are numbered within their partition, from the sum of the partitions before it, so that
     copies that are a third of all rows still number in parallel.
     """
-    same = ["mix_id", "mix_source"]
+    same = [ident, source]
     each = docs.withColumn("_part", F.spark_partition_id())
     by_part = materialize(each.groupBy(*same, "_part").agg(F.count("*").alias("_n")))
-    many = by_part.groupBy(*same).agg(F.sum("_n").alias("_all")).filter("_all > 1").select(F.col("mix_id").alias("_id"), F.col("mix_source").alias("_src"))
-    shared = by_part.join(many, (F.col("mix_id") == F.col("_id")) & F.col("mix_source").eqNullSafe(F.col("_src"))).drop("_id", "_src")
+    many = by_part.groupBy(*same).agg(F.sum("_n").alias("_all")).filter("_all > 1").select(F.col(ident).alias("_id"), F.col(source).alias("_src"))
+    shared = by_part.join(many, (F.col(ident) == F.col("_id")) & F.col(source).eqNullSafe(F.col("_src"))).drop("_id", "_src")
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*same).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = materialize(shared.select(F.col("mix_id").alias("_id"), F.col("mix_source").alias("_src"), F.col("_part").alias("_p"), before.alias("_start")))
+    starts = materialize(shared.select(F.col(ident).alias("_id"), F.col(source).alias("_src"), F.col("_part").alias("_p"), before.alias("_start")))
     if starts.isEmpty():
-        return docs.withColumnRenamed("mix_id", "mix_place")
-    is_shared = (F.col("mix_id") == F.col("_id")) & F.col("mix_source").eqNullSafe(F.col("_src")) & (F.col("_part") == F.col("_p"))
+        return docs.withColumnRenamed(ident, place)
+    is_shared = (F.col(ident) == F.col("_id")) & F.col(source).eqNullSafe(F.col("_src")) & (F.col("_part") == F.col("_p"))
     here = F.row_number().over(Window.partitionBy(*same, "_part").orderBy(F.lit(0))) - 1
     number = F.col("_start") + here
-    again = hash_place(F.concat(F.col("mix_id").cast("string"), F.lit(":"), number.cast("string")))
-    numbered = each.join(starts, is_shared).withColumn("mix_place", F.when(number > 0, again).otherwise(F.col("mix_id")))
-    alone = each.join(starts, is_shared, "left_anti").withColumnRenamed("mix_id", "mix_place")
-    return materialize(numbered.select(*[c if c != "mix_id" else "mix_place" for c in docs.columns]).unionByName(alone.drop("_part")))
+    again = hash_place(F.concat(F.col(ident).cast("string"), F.lit(":"), number.cast("string")))
+    numbered = each.join(starts, is_shared).withColumn(place, F.when(number > 0, again).otherwise(F.col(ident)))
+    alone = each.join(starts, is_shared, "left_anti").withColumnRenamed(ident, place)
+    return materialize(numbered.select(*[c if c != ident else place for c in docs.columns]).unionByName(alone.drop("_part")))
 
 
 def targets(sizes: DataFrame, share: float = 1.0, most: float = 3.0, cycle: tuple[int, ...] = CYCLE) -> DataFrame:
