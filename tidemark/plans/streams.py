@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources import files
-from ..streaming import jobs, setups
+from ..streaming import jobs, requests, setups
 from .inputs import BARS, daily_bars, table
 
 _LAST = "(SELECT max(ts) - INTERVAL '10 minutes' FROM events)"
@@ -87,3 +87,16 @@ def stream_setup_states(spark, sf_dir):
     )
     events = setups.detections(found).unionByName(setups.evaluations(told))
     return setups.latest(jobs.run_available(setups.setup_stream(events, max_age_days=90, min_reward_risk=1.0)))
+
+
+@query("planned_requests")
+def planned_requests(spark, sf_dir):
+    """Events as requests of an account (its user), those of a minute as one plan."""
+    c = F.col
+    e = table(spark, sf_dir, "events")
+    told = e.select(
+        c("user_id").alias("account"), c("event_id").alias("request_id"), F.date_trunc("minute", "ts").alias("at"), F.concat(F.lit("S"), (c("event_id") % 9).cast("string")).alias("symbol"), c("event_type").alias("timeframe"), F.lit("").alias("role"),
+        F.when(c("event_id") % 5 == 0, "daily").otherwise("intraday").alias("scope"), (c("event_id") % 3).cast("int").alias("priority"), (c("event_id") % 7 == 0).alias("portfolio_open"), F.when(c("event_id") % 4 == 0, c("ts") - F.expr("INTERVAL 20 MINUTES")).alias("last_updated_at"),
+    )
+    budgets = (requests.Budget(3600, 2, alike=("symbol",)), requests.Budget(86_400, 12, 3))
+    return requests.plan_requests(told, ["account"], budgets, 1500)
