@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +18,7 @@ LAB = {
     "spread_cost_r": 0.08, "dollar_volume": 1_000_000.0, "reward_risk": 4.0, "extension_r": 0.80, "minutes_to_flat": 5.0, "age_seconds": 180, "phase": -0.25, "rvol": 1.05, "rvol_acceleration": -0.35, "vwap_slope": -0.003,
 }
 #: Reasons that reject; others wait.
-HARD = "^(invalid_|reward_risk_|spread_|low_dollar_volume|missing_|flat_window_|candidate_stale|entry_extension_)"
+HARD = ("invalid_", "reward_risk_", "spread_", "low_dollar_volume", "missing_", "flat_window_", "candidate_stale", "entry_extension_")
 #: The candidate's columns and their types; absent ones are null.
 FIELDS = {
     "side": "string", "accepted": "boolean", **dict.fromkeys(["entry", "stop", "target", "price", "score", "effective_events", "symbols", "sessions", "buckets", "net_ev_r", "spread_bps", "spread_cost_r",
@@ -22,6 +26,10 @@ FIELDS = {
 }
 
 
+def any_of(tests: Iterable[Column]) -> Column:
+    return reduce(or_, tests)
+
+
 def _unit(x: Column) -> Column:
     return clamp(x, 0.0, 1.0)
 
@@ -64,15 +72,15 @@ def lab_entry_plan(candidates: DataFrame, limits: dict = LAB) -> DataFrame:
         (nil("score", 0.0) < t["score"], "candidate_score_below_lab_min"), (c("age_seconds") > t["age_seconds"], "candidate_stale"), (c("minutes_to_flat") < t["minutes_to_flat"], "flat_window_too_short"),
         (c("timing_score") < t["timing"], "timing_score_below_lab_min"), (c("liquidity_score") < t["liquidity"], "liquidity_score_below_lab_min"), (c("opportunity_score") < t["opportunity"], "opportunity_score_below_lab_min"),
     ])
-    hard = F.exists("reason_codes", lambda r: r.rlike(HARD))
+    hard = F.exists("reason_codes", lambda r: any_of(r.startswith(h) for h in HARD))
     action = F.when(F.array_contains("reason_codes", "research_validation_not_accepted"), "SHADOW_ONLY").when(hard, "REJECT").when(F.size("reason_codes") > 0, "WAIT").otherwise("ENTER_PAPER")
     return df.withColumn("reason_codes", why).withColumn("action", action)
 
 
 #: Words in rejection reasons that name a class of failure.
 FAILURE_WORDS = {
-    "cost_dominated": "cost|coste", "oos_unstable": "oos|out-of-sample|market replay", "statistical_datamined": "fdr|wrc|spa|p_adj|significancia|bootstrap reality", "drawdown_excessive": "drawdown",
-    "regime_sensitive_candidate": "date_shock|universe_shock|walk-forward|regime|replay", "concentration_risk": "concentracion|concentration|symbol_concentration", "operationally_unavailable": "fill|operational",
+    "cost_dominated": ("cost", "coste"), "oos_unstable": ("oos", "out-of-sample", "market replay"), "statistical_datamined": ("fdr", "wrc", "spa", "p_adj", "significancia", "bootstrap reality"), "drawdown_excessive": ("drawdown",),
+    "regime_sensitive_candidate": ("date_shock", "universe_shock", "walk-forward", "regime", "replay"), "concentration_risk": ("concentracion", "concentration", "symbol_concentration"), "operationally_unavailable": ("fill", "operational"),
 }
 
 
@@ -86,7 +94,7 @@ def forensics(candidates: DataFrame) -> DataFrame:
         "cost_dominated": c("cost_passed") == F.lit(False), "oos_unstable": F.coalesce(c("oos_expectancy") <= 0, F.lit(False)) | F.coalesce(c("oos_profit_factor") < 1.2, F.lit(False)), "drawdown_excessive": c("drawdown") > 12.0,
     }
     text = F.lower(F.coalesce(c("reasons"), F.lit("")))
-    rules = [(text.rlike(words) | F.coalesce(measured.get(name, F.lit(False)), F.lit(False)), name) for name, words in FAILURE_WORDS.items()]
+    rules = [(any_of(text.contains(w) for w in words) | F.coalesce(measured.get(name, F.lit(False)), F.lit(False)), name) for name, words in FAILURE_WORDS.items()]
     few = (F.coalesce(c("samples"), F.lit(0)) < 50) | (F.coalesce(c("symbols"), F.lit(0)) < 6) | (F.coalesce(c("years"), F.lit(0)) < 1)
     out = candidates.withColumn("failures", reasons([*rules, (few, "insufficient_data")]))
     return out.withColumn("dominant", F.coalesce(F.get("failures", F.lit(0)), F.lit("unclassified")))

@@ -15,7 +15,10 @@ from .joins import non_overlapping
 from .shapes import cups
 
 #: Fields that differ between runs over the same inputs.
-VOLATILE = frozenset("built_at generated_at created_at updated_at started_at finished_at exported_at timestamp run_id duration_seconds elapsed_seconds event_ledger_path research_paper_report_path report_path report_json_path report_md_path backup_path path".split())
+VOLATILE = frozenset({
+    "built_at", "generated_at", "created_at", "updated_at", "started_at", "finished_at", "exported_at", "timestamp", "run_id",
+    "duration_seconds", "elapsed_seconds", "event_ledger_path", "research_paper_report_path", "report_path", "report_json_path", "report_md_path", "backup_path", "path",
+})
 
 
 def _canonical(c: Column, kind: T.DataType, volatile: frozenset[str]) -> Column:
