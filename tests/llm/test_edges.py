@@ -400,11 +400,29 @@ def test_maxscore_refuses_scores_past_64_bits():
 def test_context_tree_of_many_groups_equals_one(spark, prose, monkeypatch):
     """Sums and values by groups of chunks change nothing."""
     found = []
-    for group in (64, 3):
+    for group, shards in ((64, 512), (3, 512), (3, 4), (1, 8), (64, 4)):
         monkeypatch.setattr(ct, "GROUP_CHUNKS", group)
+        monkeypatch.setattr(ct, "SHARDS", shards)
         found.append(sorted(tuple(r) for r in ct.score(prose, F.col("doc_id") % 3 > 0, chunk_bytes=1000).collect()))
-    for one, two in zip(*found, strict=True):
-        assert one[:5] == two[:5] and one[5:] == pytest.approx(two[5:], rel=1e-6)
+    for other in found[1:]:
+        for one, two in zip(found[0], other, strict=True):
+            assert one[:5] == two[:5] and one[5:] == pytest.approx(two[5:], rel=1e-6)
+
+
+def test_context_tree_rows_follow_the_chunks(spark, prose):
+    """Arrays are one a chunk and shard, whatever the number of chunks; a group gets back the keys that it brought, no others."""
+    shards = 8
+    for size in (4000, 1000):
+        chunks = ct.chunked(prose, "doc_id", "text", F.lit(True), size, True)
+        n = chunks.count()
+        counts = ct.count(chunks, shards).withColumn("lm_group", (F.col("lm_chunk") % 4).cast("int")).filter(F.col("lm_kind") == ct.NGRAM).cache()
+        assert counts.count() <= n * shards
+        sums = ct.partial_sums(counts, ct.NGRAM, 4, shards, 3).collect()
+        of = lambda rows, g: {k for r in rows if r.lm_group == g for k in ct._unpacked(r.lm_keys).tolist()}
+        raw = counts.collect()
+        for g in range(4):
+            assert of(sums, g) == of(raw, g)
+        assert len({(r.lm_shard, r.lm_fine) for r in sums}) > shards
 
 
 def test_mix_meets_targets_with_repeated_and_missing_ids(spark):

@@ -7,12 +7,13 @@ training texts: P_w = 1/2 KT + 1/2 product of the children's P_w. The result is
 
 How it runs: documents are put together in chunks of about CHUNK_BYTES. One scan counts (context of DEPTH bytes, symbol) in
 each chunk, with count 0 for those that only texts outside the training set have, so that every symbol to be scored has its
-row. Rows are dealt to shards by their last three context bytes, as compressed arrays, one a chunk and shard; there are as many
-shards as chunks need. Chunks form groups of about GROUP_CHUNKS: a task sums the rows of one shard and group, another one a
-shard's sums over all groups, so that a common context never brings the rows of all chunks to one task. A shard weights its
+row. Rows are dealt to shards by their last three context bytes, as compressed arrays, one a chunk and shard; there are at most
+SHARDS, so that these arrays grow in number with the chunks alone. Chunks form groups of about GROUP_CHUNKS: a task sums the rows of
+one shard and group and cuts the sums into as many parts as there must be for a part of all groups to fit a task; another one sums
+a part over all groups. So a common context never brings the rows of all chunks to one task. A part weights its
 subtrees; what they add up to per context of two bytes and decision goes to PARTS parts by decision, each of which weights the
-depths below three for its decisions and sends every shard the results that it needs. Another pass gives each chunk the log
-probability of each of its own rows, again by shard and group, and a last one looks them up. So no task ever holds more of the
+depths below three for its decisions and sends every shard the results that it needs. The values go back the way the counts came:
+to each group those of its own keys, and from there to each chunk those of its own rows; a last pass looks them up. So no task ever holds more of the
 model than its chunk, shard or part uses, nothing of it goes to the driver, and work and shuffle grow with the text.
 
 Values travel in whole multiples of 1 / SCALE nats: a symbol's log probability is off by 1 / (2 * SCALE) at most.
@@ -41,7 +42,7 @@ DEPTH, TOP = 6, 3
 CHUNK_BYTES = 16 << 20
 END = 255
 END_WORD = np.int64(-1)
-GROUP_CHUNKS, PARTS = 64, 64
+GROUP_CHUNKS, PARTS, SHARDS = 64, 64, 512
 SCALE = 1 << 14
 #: Rows that are weighted at a time within a shard (a subtree is never split).
 PART = 50_000
@@ -185,6 +186,11 @@ def _texts(train: bytes, ends: bytes, text: bytes) -> Iterator[tuple[Texts, np.n
         at = to
 
 
+def _spot(keys: np.ndarray, kind: int, depth: int) -> np.ndarray:
+    """A hash by which keys are dealt: keys of one context of TOP bytes stay together."""
+    return mix((keys >> (8 * (depth + 1 - TOP)) if kind == NGRAM else keys).view(np.uint64))
+
+
 def count(chunks: DataFrame, shards: int, depth: int = DEPTH) -> DataFrame:
     """(lm_kind, lm_shard, lm_chunk, lm_keys, lm_n): each chunk's training counts of symbols in context and of words, a row a shard."""
 
@@ -198,7 +204,7 @@ def count(chunks: DataFrame, shards: int, depth: int = DEPTH) -> DataFrame:
                         tally.add(keys, flags[rows], True)
                 for kind, tally in enumerate(tallies):
                     keys, n = tally.fold()
-                    shard = (mix((keys >> (8 * (depth + 1 - TOP)) if kind == NGRAM else keys).view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+                    shard = (_spot(keys, kind, depth) % np.uint64(shards)).astype(np.int64)
                     order = np.argsort(shard, kind="stable")
                     cuts = np.searchsorted(shard[order], np.arange(shards + 1))
                     parts = [order[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -269,16 +275,20 @@ def _summed(table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     return each, *_sum_by(np.concatenate(each), np.concatenate(n))
 
 
-def partial_sums(rows: DataFrame, groups: int) -> DataFrame:
-    """(lm_shard, lm_keys, lm_n): counts summed over the chunks of a group, a row a shard and group."""
-    if groups == 1:
-        return rows.select("lm_shard", "lm_keys", "lm_n")
+def partial_sums(rows: DataFrame, kind: int, groups: int, shards: int, fine: int, depth: int = DEPTH) -> DataFrame:
+    """(lm_shard, lm_group, lm_fine, lm_keys, lm_n): counts summed over the chunks of a group, a row a shard, group and part."""
+    if groups == 1 and fine == 1:
+        return rows.select("lm_shard", "lm_group", F.lit(0).alias("lm_fine"), "lm_keys", "lm_n")
 
-    def run(table):
+    def run(key, table):
         _, keys, n = _summed(table)
-        return pa.table({"lm_shard": table.column("lm_shard").slice(0, 1), "lm_keys": pa.array([_packed(keys)], pa.binary()), "lm_n": pa.array([_packed(n.astype(np.uint64))], pa.binary())})
+        part = (_spot(keys, kind, depth) // np.uint64(shards) % np.uint64(fine)).astype(np.int64)
+        some = np.unique(part)
+        blobs = [[_packed(x[part == p]) for p in some] for x in (keys, n.astype(np.uint64))]
+        ids = [pa.array([k.as_py()] * len(some), pa.int32()) for k in key]
+        return pa.table([*ids, pa.array(some, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], names=["lm_shard", "lm_group", "lm_fine", "lm_keys", "lm_n"])
 
-    return materialize(rows.groupBy("lm_shard", "lm_group").applyInArrow(run, "lm_shard int, lm_keys binary, lm_n binary"))
+    return materialize(rows.groupBy("lm_shard", "lm_group").applyInArrow(run, "lm_shard int, lm_group int, lm_fine int, lm_keys binary, lm_n binary"))
 
 
 def top_weights(node: np.ndarray, a: np.ndarray, b: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -307,11 +317,11 @@ def _totals(names: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, li
     return names, [np.bincount(inverse, weights=x, minlength=len(names)) for x in values]
 
 
-_TOP = "lm_shard int, lm_node binary, lm_low binary, lm_high binary"
+_TOP = "lm_shard int, lm_fine int, lm_node binary, lm_low binary, lm_high binary"
 
 
 def top_of_shards(sums: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """_TOP: the A and B of top_weights for the nodes that each shard needs, a row a shard and part."""
+    """_TOP: the A and B of top_weights for the nodes that each part of a shard needs, a row a part and decisions' part."""
 
     def upward(key, table):
         _, keys, n = _summed(table)
@@ -322,16 +332,17 @@ def top_of_shards(sums: DataFrame, depth: int = DEPTH) -> DataFrame:
         part = names % PARTS
         some = np.unique(part).tolist()
         columns = [[_packed(x[part == p]) for p in some] for x in (names, *values)]
-        return pa.table([pa.array([key[0].as_py()] * len(some), pa.int32()), pa.array(some, pa.int32()), *(pa.array(x, pa.binary()) for x in columns)], names=["lm_shard", "lm_part", "lm_node", "lm_a", "lm_b", "lm_w"])
+        ids = [pa.array([k.as_py()] * len(some), pa.int32()) for k in key]
+        return pa.table([*ids, pa.array(some, pa.int32()), *(pa.array(x, pa.binary()) for x in columns)], names=["lm_shard", "lm_fine", "lm_part", "lm_node", "lm_a", "lm_b", "lm_w"])
 
     def weigh(table):
         nodes = [_unpacked(x) for x in table.column("lm_node").to_pylist()]
         names, values = _totals(np.concatenate(nodes), [np.concatenate([_unpacked(x, np.float64) for x in table.column(c).to_pylist()]) for c in ("lm_a", "lm_b", "lm_w")])
         low, high = top_weights(names, *values)
         at = [np.searchsorted(names, x) for x in nodes]
-        return pa.table([table.column("lm_shard"), table.column("lm_node"), *(pa.array([_packed(x[i]) for i in at], pa.binary()) for x in (low, high))], names=["lm_shard", "lm_node", "lm_low", "lm_high"])
+        return pa.table([table.column("lm_shard"), table.column("lm_fine"), table.column("lm_node"), *(pa.array([_packed(x[i]) for i in at], pa.binary()) for x in (low, high))], names=["lm_shard", "lm_fine", "lm_node", "lm_low", "lm_high"])
 
-    up = sums.groupBy("lm_shard").applyInArrow(upward, "lm_shard int, lm_part int, lm_node binary, lm_a binary, lm_b binary, lm_w binary")
+    up = sums.groupBy("lm_shard", "lm_fine").applyInArrow(upward, "lm_shard int, lm_fine int, lm_part int, lm_node binary, lm_a binary, lm_b binary, lm_w binary")
     return up.groupBy("lm_part").applyInArrow(weigh, _TOP)
 
 
@@ -349,9 +360,9 @@ def _no_values():
     return pa.table({"lm_kind": pa.array([], pa.int8()), "lm_chunk": pa.array([], pa.int64()), "lm_keys": pa.array([], pa.binary()), "lm_values": pa.array([], pa.binary())})
 
 
-def spread(kind: int, rows: DataFrame, sums: DataFrame, groups: int, values, beside: DataFrame) -> DataFrame:
-    """_VALUES of each chunk and shard. values(keys, counts, beside's rows of the shard): what to give each key, as _KINDS[kind]."""
-    if groups == 1:
+def spread(kind: int, rows: DataFrame, sums: DataFrame, groups: int, fine: int, values, beside: DataFrame) -> DataFrame:
+    """_VALUES of each chunk and shard. values(keys, counts, beside's rows of the part): what to give each key, as _KINDS[kind]."""
+    if groups == 1 and fine == 1:
 
         def at_once(left, right):
             if not left.num_rows:
@@ -361,27 +372,33 @@ def spread(kind: int, rows: DataFrame, sums: DataFrame, groups: int, values, bes
 
         return rows.groupBy("lm_shard").cogroup(beside.groupBy("lm_shard")).applyInArrow(at_once, _VALUES)
 
-    def tables(left, right):
+    def back(left, right):
+        """To each group the values of the keys that it has brought."""
         if not left.num_rows:
-            return pa.table({"lm_shard": pa.array([], pa.int32()), "lm_k": pa.array([], pa.binary()), "lm_v": pa.array([], pa.binary())})
-        _, keys, n = _summed(left)
-        return pa.table({"lm_shard": left.column("lm_shard").slice(0, 1), "lm_k": pa.array([_packed(keys)], pa.binary()), "lm_v": pa.array([_packed(values(keys, n, right))], pa.binary())})
+            return pa.table({"lm_shard": pa.array([], pa.int32()), "lm_group": pa.array([], pa.int32()), "lm_k": pa.array([], pa.binary()), "lm_v": pa.array([], pa.binary())})
+        each, keys, n = _summed(left)
+        found = values(keys, n, right)
+        blobs = [_packed(found[np.searchsorted(keys, k)]) for k in each]
+        return pa.table({"lm_shard": left.column("lm_shard"), "lm_group": left.column("lm_group"), "lm_k": left.column("lm_keys"), "lm_v": pa.array(blobs, pa.binary())})
 
     def pick(left, right):
         if not left.num_rows:
             return _no_values()
         each = [_unpacked(x) for x in left.column("lm_keys").to_pylist()]
-        return _per_chunk(kind, left, each, _unpacked(right.column("lm_k")[0].as_py()), _unpacked(right.column("lm_v")[0].as_py(), _KINDS[kind]))
+        keys = np.concatenate([_unpacked(x) for x in right.column("lm_k").to_pylist()])
+        found = np.concatenate([_unpacked(x, _KINDS[kind]) for x in right.column("lm_v").to_pylist()])
+        order = np.argsort(keys)
+        return _per_chunk(kind, left, each, keys[order], found[order])
 
-    held = sums.groupBy("lm_shard").cogroup(beside.groupBy("lm_shard")).applyInArrow(tables, "lm_shard int, lm_k binary, lm_v binary")
-    copies = held.withColumn("lm_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    return rows.groupBy("lm_shard", "lm_group").cogroup(copies.groupBy("lm_shard", "lm_group")).applyInArrow(pick, _VALUES)
+    part = ["lm_shard", "lm_fine"]
+    held = sums.groupBy(*part).cogroup(beside.groupBy(*part)).applyInArrow(back, "lm_shard int, lm_group int, lm_k binary, lm_v binary")
+    return rows.groupBy("lm_shard", "lm_group").cogroup(held.groupBy("lm_shard", "lm_group")).applyInArrow(pick, _VALUES)
 
 
-def symbol_values(counts: DataFrame, groups: int = 1, depth: int = DEPTH) -> DataFrame:
+def symbol_values(counts: DataFrame, groups: int, shards: int, fine: int, depth: int = DEPTH) -> DataFrame:
     """Per chunk and shard minus the natural log of each symbol's probability in its context, times SCALE (_VALUES)."""
     rows = counts.filter(F.col("lm_kind") == NGRAM)
-    sums = partial_sums(rows, groups)
+    sums = partial_sums(rows, NGRAM, groups, shards, fine, depth)
 
     def values(keys, n, top):
         node = np.concatenate([_unpacked(x) for x in top.column("lm_node").to_pylist()])
@@ -397,21 +414,21 @@ def symbol_values(counts: DataFrame, groups: int = 1, depth: int = DEPTH) -> Dat
             out[part] = np.rint(-SCALE * np.log(np.where(tree.bit, p, 1 - p)).sum(axis=1))
         return out
 
-    return spread(NGRAM, rows, sums, groups, values, top_of_shards(sums, depth))
+    return spread(NGRAM, rows, sums, groups, fine, values, top_of_shards(sums, depth))
 
 
-def word_values(counts: DataFrame, groups: int = 1) -> tuple[DataFrame, int, int]:
+def word_values(counts: DataFrame, groups: int, shards: int, fine: int) -> tuple[DataFrame, int, int]:
     """Per chunk and shard the count of each word (_VALUES); distinct and all training tokens."""
     rows = counts.filter(F.col("lm_kind") == WORD)
-    sums = partial_sums(rows, groups)
+    sums = partial_sums(rows, WORD, groups, shards, fine)
 
     def totals(table):
         _, _, n = _summed(table)
         return pa.table({"v": pa.array([int((n > 0).sum())]), "n": pa.array([int(n.sum())])})
 
-    v, n = sums.groupBy("lm_shard").applyInArrow(totals, "v long, n long").agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    nothing = sums.select("lm_shard").filter(F.lit(False))
-    return spread(WORD, rows, sums, groups, lambda keys, n, _: n.astype(np.uint64), nothing), v, n
+    v, n = sums.groupBy("lm_shard", "lm_fine").applyInArrow(totals, "v long, n long").agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    nothing = sums.select("lm_shard", "lm_fine").filter(F.lit(False))
+    return spread(WORD, rows, sums, groups, fine, lambda keys, n, _: n.astype(np.uint64), nothing), v, n
 
 
 class Lookup:
@@ -451,9 +468,12 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     chunks = chunked(docs, key, text, train, chunk_bytes, lower)
     n_chunks = chunks.count()
     groups = max(1, -(-n_chunks // GROUP_CHUNKS))
-    counts = materialize(count(chunks, max(32, 2 * n_chunks), depth).withColumn("lm_group", F.pmod(F.xxhash64("lm_chunk"), F.lit(groups)).cast("int")))
-    words, n_words, n_tokens = word_values(counts, groups)
-    values = symbol_values(counts, groups, depth).unionByName(words)
+    parts = max(32, 2 * n_chunks)
+    shards = min(parts, SHARDS)
+    fine = -(-parts // shards)
+    counts = materialize(count(chunks, shards, depth).withColumn("lm_group", F.pmod(F.xxhash64("lm_chunk"), F.lit(groups)).cast("int")))
+    words, n_words, n_tokens = word_values(counts, groups, shards, fine)
+    values = symbol_values(counts, groups, shards, fine, depth).unionByName(words)
 
     def run(left, right):
         if not left.num_rows:
