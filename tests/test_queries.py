@@ -46,3 +46,24 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def windows(node, found):
+    """(columns of the partition, name of the operator below that isn't a projection or a window) of each window of a plan."""
+    children = node.children()
+    if node.nodeName() == "Window":
+        below = node
+        while below.nodeName() in ("Window", "Project"):
+            below = below.children().apply(0)
+        keys = node.partitionSpec()
+        found.append((sorted(keys.apply(i).sql().split(".")[-1].strip("`") for i in range(keys.size())), below.nodeName()))
+    for i in range(children.size()):
+        windows(children.apply(i), found)
+    return found
+
+
+@pytest.mark.parametrize("name", ["sprt", "mixture_sprt", "loss_streak_inclusive", "loss_streak_strict", "overlap_clusters", "conformal_threshold", "label_concurrency"])
+def test_windows_by_label_alone_see_sums_by_day(spark, data, name):
+    found = windows(catalog.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan(), [])
+    alone = [below for keys, below in found if len(keys) == 1]
+    assert alone and set(alone) == {"Aggregate"}, found

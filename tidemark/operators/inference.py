@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normal_cdf
-from .ranking import indexed, tile
+from .ranking import indexed, running, tile
 from .windows import by
 
 
@@ -59,8 +59,7 @@ def sprt(df: DataFrame, keys: list[str], order: list[str], value: str, mean0: fl
     """Sequential test of two means: the first crossing of the cumulative log likelihood ratio, or 'continue'."""
     up, down = float(np.log((1 - beta) / alpha)), float(np.log(beta / (1 - alpha)))
     llr = (F.col(value) - (mean0 + mean1) / 2) * ((mean1 - mean0) / sigma**2)
-    w = by(keys, order)
-    run = df.withColumns({"_llr": F.sum(llr).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_n": F.row_number().over(w)})
+    run = running(df, keys, order, {"_llr": llr, "_n": F.lit(1)})
     first = F.min(F.when((F.col("_llr") >= up) | (F.col("_llr") <= down), F.struct("_n", (F.col("_llr") >= up).alias("accept"))))
     out = run.groupBy(*keys).agg(F.count("*").alias("n"), first.alias("_f"))
     return out.select(*keys, "n", F.col("_f._n").alias("stopped_at"), F.when(F.col("_f").isNull(), "continue").when(F.col("_f.accept"), "accept_h1").otherwise("accept_h0").alias("decision"))

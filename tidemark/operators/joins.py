@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import running
 from .windows import in_order
 
 
@@ -46,10 +47,21 @@ def range_join(events: DataFrame, bars: DataFrame, by: list[str], start: str, en
 
 
 def concurrency(events: DataFrame, key: str, by: list[str], start: str, end: str) -> DataFrame:
-    """Average uniqueness of each event: the mean over its days of 1 / (events open that day)."""
-    days = events.select(key, *by, F.explode(F.sequence(start, end)).alias("_day"))
-    open_ = days.groupBy(*by, "_day").agg(F.count("*").alias("_c"))
-    return days.join(open_, [*by, "_day"]).groupBy(key).agg(F.avg(1 / F.col("_c")).alias("uniqueness"))
+    """Average uniqueness of each event: the mean over its days of 1 / (events open that day).
+
+    How many are open changes only on days that an event starts on or that follow one's end. These days carry the count and the sum
+    of 1 / count of all days before, so an event takes two look-ups, whatever its length.
+    """
+    known = events.dropna(subset=[*by, start, end]).select(key, *by, F.least(start, end).alias("_from"), F.date_add(F.greatest(start, end), 1).alias("_to"))
+    changes = known.select(*by, F.explode(F.array(F.struct(F.col("_from").alias("day"), F.lit(1).alias("n")), F.struct(F.col("_to").alias("day"), F.lit(-1).alias("n")))).alias("c"))
+    daily = changes.groupBy(*by, F.col("c.day").alias("_day")).agg(F.sum("c.n").alias("_n"))
+    w = Window.partitionBy(*by).orderBy("_day")
+    counted = daily.withColumns({"_open": F.sum("_n").over(w), "_days": F.datediff(F.lead("_day").over(w), "_day")})
+    shares = F.when(F.col("_open") > 0, F.col("_days") / F.col("_open")).otherwise(0.0)
+    before = counted.withColumn("_share", shares).select(*by, "_day", F.coalesce(F.sum("_share").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_sum"))
+    at = lambda day, name: before.select(*by, F.col("_day").alias(day), F.col("_sum").alias(name))
+    found = known.join(at("_from", "_s0"), [*by, "_from"]).join(at("_to", "_s1"), [*by, "_to"])
+    return found.groupBy(key).agg((F.sum(F.col("_s1") - F.col("_s0")) / F.sum(F.datediff("_to", "_from"))).alias("uniqueness"))
 
 
 def non_overlapping(events: DataFrame, by: list[str], start: str, end: str, key: str) -> DataFrame:
@@ -77,10 +89,9 @@ def non_overlapping(events: DataFrame, by: list[str], start: str, end: str, key:
 
 def overlap_clusters(events: DataFrame, by: list[str], start: str, end: str, key: str) -> DataFrame:
     """Whether an event starts at or before the latest end so far, and the number of its cluster."""
-    w = Window.partitionBy(*by).orderBy(start, key)
-    latest = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    out = events.withColumn("is_overlap", F.coalesce(F.col(start) <= latest, F.lit(False)))
-    return out.withColumn("cluster", F.sum(F.when(~F.col("is_overlap"), 1).otherwise(0)).over(w))
+    late = running(events, by, [start, key], maxima={"_latest": F.col(end)}, itself=False)
+    out = late.withColumn("is_overlap", F.coalesce(F.col(start) <= F.col("_latest"), F.lit(False))).drop("_latest")
+    return running(out, by, [start, key], {"cluster": F.when(~F.col("is_overlap"), 1)})
 
 
 def cyclic_pairs(real: DataFrame, pool: DataFrame, bucket: str, key: str) -> DataFrame:

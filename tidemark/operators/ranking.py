@@ -64,6 +64,25 @@ def indexed(df: DataFrame, keys: list[str], coarse: str, order: list[Column | st
     return numbered.withColumn(name, F.col("_before") + within - 1).drop("_before")
 
 
+def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None, itself: bool = True) -> DataFrame:
+    """df with running sums (null and none: 0) and maxima of its keys' rows in order, this one's value included or not.
+
+    No task holds all rows of a key: they are put together by the first column of `order` (a day, say), whose sums and maxima run
+    over days, and then within a day. Rows without a key or a day are left out.
+    """
+    sums, maxima, day = sums or {}, maxima or {}, order[0]
+    values = {**{n: F.coalesce(c, F.lit(0)) for n, c in sums.items()}, **maxima}
+    of = lambda n: F.sum if n in sums else F.max
+    rows = df.withColumns({f"_v_{n}": c for n, c in values.items()})
+    days = rows.groupBy(*keys, day).agg(*[of(n)(f"_v_{n}").alias(f"_d_{n}") for n in values])
+    ahead = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    before = days.select(*keys, day, *[of(n)(f"_d_{n}").over(ahead).alias(f"_b_{n}") for n in values])
+    within = Window.partitionBy(*keys, day).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if itself else -1)
+    joined = rows.join(before, [*keys, day])
+    both = {n: (F.coalesce(f"_b_{n}", F.lit(0)) + F.coalesce(F.sum(f"_v_{n}").over(within), F.lit(0)) if n in sums else F.greatest(f"_b_{n}", F.max(f"_v_{n}").over(within))) for n in values}
+    return joined.withColumns(both).drop(*[f"_{x}_{n}" for x in "vb" for n in values])
+
+
 def tile(index: Column, n: Column, tiles: int) -> Column:
     """The tile (from 1) of a place among n; the first n % tiles tiles have one row more, as with ntile."""
     size, extra = F.floor(n / tiles), n % tiles

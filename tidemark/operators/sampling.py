@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import indexed, tile
+from .ranking import indexed, running, tile
 from .windows import by
 
 
@@ -83,10 +83,10 @@ def cpcv(df: DataFrame, order: list[str], start: str, end: str, groups: int, tes
 
 def mixture_sprt(df: DataFrame, keys: list[str], order: list[str], value: str, sigma: float, tau: float) -> DataFrame:
     """Running log Bayes factor of a normal mixture over the mean against zero, and where it is highest."""
-    w = by(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    n, s = F.count(value).over(w), F.sum(value).over(w)
+    n, s = F.col("_count"), F.col("_sum")
     v, t = sigma**2, tau**2
-    out = df.withColumns({"n": n, "log_bf": 0.5 * F.log(v / (v + n * t)) + t * s * s / (2 * v * (v + n * t))})
+    known = running(df, keys, order, {"_count": F.col(value).isNotNull().cast("long"), "_sum": F.col(value)})
+    out = known.withColumns({"n": n, "log_bf": 0.5 * F.log(v / (v + n * t)) + t * s * s / (2 * v * (v + n * t))})
     return out.groupBy(*keys).agg(F.max("log_bf").alias("max_log_bf"), F.max_by("log_bf", "n").alias("last_log_bf"))
 
 

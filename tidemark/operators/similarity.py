@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import indexed
+
 
 def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
@@ -86,10 +88,9 @@ def held_for_calibration(key: str) -> Column:
 
 def conformal_threshold(df: DataFrame, keys: list[str], score: str, alpha: float) -> DataFrame:
     """The order statistic ceil((n + 1)(1 - alpha)) of each key's scores; not a percentile."""
-    w = Window.partitionBy(*keys)
-    ranked = df.withColumns({"_k": F.row_number().over(w.orderBy(score)), "_n": F.count("*").over(w)})
-    wanted = F.least(F.ceil((F.col("_n") + 1) * (1 - alpha)), F.col("_n"))
-    return ranked.filter(F.col("_k") == wanted).select(*keys, F.col("_n").alias("n"), F.col(score).alias("threshold"))
+    placed = indexed(df.withColumn("_hundredth", F.floor(F.col(score) * 100)), keys, "_hundredth", [score], "_at")
+    wanted = F.least(F.ceil((F.col("_at_of") + 1) * (1 - alpha)), F.col("_at_of"))
+    return placed.filter(F.col("_at") == wanted - 1).select(*keys, F.col("_at_of").alias("n"), F.col(score).alias("threshold"))
 
 
 def knn_distance(vectors: DataFrame, key: str, group: str, vector: str, k: int, block: int = 1024) -> DataFrame:

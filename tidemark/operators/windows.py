@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .ranking import running
 
 
 def by(keys="symbol", order="date") -> Window:
@@ -77,8 +78,12 @@ def longest_run(df: DataFrame, value: str, keys="symbol", order="date") -> DataF
 
 
 def worst_streak(df: DataFrame, bad: Column, keys, order) -> DataFrame:
-    keys = [keys] if isinstance(keys, str) else keys
-    return streak(df, bad, by(keys, order)).groupBy(*keys).agg(F.max("streak").alias("worst_streak"))
+    """The longest streak by key, placed and counted by the first column of `order`, so that no task holds all rows of a key."""
+    keys, order = ([x] if isinstance(x, str) else list(x) for x in (keys, order))
+    placed = running(df, keys, order, {"_n": F.lit(1)})
+    told = running(placed, keys, order, maxima={"_off": F.when(~bad, F.col("_n"))})
+    length = F.when(bad, F.col("_n") - F.coalesce("_off", F.lit(0))).otherwise(0)
+    return told.groupBy(*keys).agg(F.max(length).alias("worst_streak"))
 
 
 def swing_indicators(bars: DataFrame) -> DataFrame:
