@@ -20,8 +20,8 @@ def require(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
-def scan_bars(spark: SparkSession, directory: str, copies: str = "last", forbidden: list[str] | None = None) -> DataFrame:
-    """Bars from {SYMBOL}.csv files: date, open, high, low, close, volume in any order of columns; what doesn't parse is null.
+def scan_bars(spark: SparkSession, directory: str, copies: str = "last", forbidden: list[str] | None = None, named: str = r"([^/]+)\.csv$") -> DataFrame:
+    """Bars from {SYMBOL}.csv files, or others whose path holds the symbol as `named` tells: date, open, high, low, close, volume in any order of columns; what doesn't parse is null.
 
     copies: what becomes of repeated dates: 'last' keeps the last line's, 'drop' drops all, 'error' raises.
     forbidden: dates that must not occur.
@@ -29,7 +29,7 @@ def scan_bars(spark: SparkSession, directory: str, copies: str = "last", forbidd
     raw = require(spark.read.option("header", True).csv(directory), BAR_FIELDS)
     # Lines keep their order within a file, and a file is read by one task up to its splits: this id ascends in it.
     rows = raw.select(
-        F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1).alias("symbol"), F.try_to_date("date").alias("date"),
+        F.regexp_extract(F.input_file_name(), named, 1).alias("symbol"), F.try_to_date("date").alias("date"),
         *[F.expr(f"try_cast({c} AS DOUBLE)").alias(c) for c in BAR_FIELDS[1:]], F.monotonically_increasing_id().alias("_line"),
     ).filter("date is not null")
     if forbidden:
