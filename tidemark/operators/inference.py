@@ -110,6 +110,8 @@ def stationary_bootstrap(df: DataFrame, keys: list[str], order: list[str], value
     sums add up, so no task holds a key's series; runs end with their chunk, and each chunk begins with runs already under way.
     Rows without a value, a key or a first order column take no part; neither does a draw that weighs no row.
     """
+    if block > chunk / 20:
+        raise ValueError("runs end with their chunk, so a chunk must hold many of them: at least 20 blocks")
     known = df.filter(F.col(value).isNotNull()).select(*dict.fromkeys([*keys, *order]), F.col(value).cast("double").alias("_x"))
     placed = indexed(known, keys, order[0], order, "_at").select(*keys, F.floor(F.col("_at") / chunk).alias("_chunk"), F.xxhash64(*keys).alias("_name"), "_at", "_x")
 

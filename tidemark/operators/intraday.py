@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .gates import ladder, reasons
 from .joins import asof
-from .ranking import first_per
+from .ranking import first_per, indexed
 
 
 def vwap_conditions(near_bps: float = 150.0) -> dict[str, Column]:
@@ -50,10 +50,12 @@ def session_calendar(days: DataFrame, holidays: list[str], half_days: list[str],
 def universe(candidates: DataFrame, key: str, order: str, rules: list[tuple[Column, str]], score: str, manual: str, limit: int) -> DataFrame:
     """The last row of each key; one first-fail reason each; what is left ranks manual first, then by score; overflow is rejected."""
     rows = first_per(candidates, [key], [F.col(order).desc()]).withColumn("reason", ladder(rules, ""))
-    w = Window.partitionBy(F.col("reason") == "").orderBy(F.col(manual).desc(), F.col(score).desc(), F.col(key))
-    # Ranks are needed up to the limit only: per-partition top rows would do, but one symbol list fits a task.
-    ranked = rows.withColumn("rank", F.when(F.col("reason") == "", F.row_number().over(w)))
-    return ranked.withColumn("reason", F.when(F.col("rank") > limit, "max_symbols").otherwise(F.col("reason")))
+    # Placed by manual and whole scores, so that no task ranks all candidates.
+    grade = F.struct(F.coalesce(-F.col(manual).cast("int"), F.lit(1)).alias("m"), F.coalesce(-F.floor(score), F.lit((1 << 63) - 1)).alias("s"))
+    order_by = [F.col(manual).desc_nulls_last(), F.col(score).desc_nulls_last(), F.col(key)]
+    taken = indexed(rows.filter("reason = ''").withColumn("_grade", grade), [], "_grade", order_by, "_at").withColumn("rank", (F.col("_at") + 1).cast("int")).select(*rows.columns, "rank")
+    taken = taken.withColumn("reason", F.when(F.col("rank") > limit, "max_symbols").otherwise(F.col("reason")))
+    return taken.unionByName(rows.filter("reason <> ''").withColumn("rank", F.lit(None).cast("int")))
 
 
 def risk_checks(trades: DataFrame, by: list[str], order: list[str], symbol: str, pnl: str, max_trades: int, max_per_symbol: int, max_loss: float) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,14 +139,40 @@ def dtw(a: np.ndarray, b: np.ndarray, band: int) -> float:
     return float(row[m] / max(n, m))
 
 
-def dtw_to(series: DataFrame, key: str, values: str, prototype: list[float], band: int) -> DataFrame:
-    """(key, dtw) of each series to a prototype."""
-    p = np.array(prototype, float)[:, None]
+def dtw_rows(a: np.ndarray, b: np.ndarray, band: int) -> np.ndarray:
+    """`dtw` of each row of a (rows x time) to the series b, a diagonal of the table at a time for all rows."""
+    n, m = a.shape[1], len(b)
+    band = max(band, abs(n - m))
+    # Diagonal d holds the cells i + j = d, by i; cells beyond the band stay infinite.
+    before = np.full((len(a), n + 1), np.inf)
+    last = np.full((len(a), n + 1), np.inf)
+    last[:, 0] = 0.0
+    for d in range(1, n + m + 1):
+        i = np.arange(max(0, d - m), min(n, d) + 1)
+        i = i[(i > 0) & (d - i > 0) & (np.abs(2 * i - d) <= band)]
+        now = np.full((len(a), n + 1), np.inf)
+        # From (i - 1, j - 1) two diagonals back, (i - 1, j) and (i, j - 1) on the last one.
+        now[:, i] = np.abs(a[:, i - 1] - b[d - i - 1]) + np.minimum(before[:, i - 1], np.minimum(last[:, i - 1], last[:, i]))
+        before, last = last, now
+    return last[:, n] / max(n, m)
+
+
+def dtw_to(series: DataFrame, key: str, values: str, prototype: list[float], band: int, rows: int = 512) -> DataFrame:
+    """(key, dtw) of each series to a prototype; null without values. Series of one length are worked on together, `rows` at a time."""
+    p = np.array(prototype, float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [dtw(np.array(x, float)[:, None], p, band) if x else None for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], [key, "dtw"])
+            column = b.column(1)
+            sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            found = np.full(len(column), np.nan)
+            for n in np.unique(sizes[sizes > 0]):
+                same = np.flatnonzero(sizes == n)
+                for at in range(0, len(same), rows):
+                    some = same[at : at + rows]
+                    x = column.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(some), n)
+                    found[some] = dtw_rows(x, p, band)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64(), mask=sizes == 0)], [key, "dtw"])
 
     return series.select(key, values).mapInArrow(run, f"{key} {dict(series.dtypes)[key]}, dtw double")
 
