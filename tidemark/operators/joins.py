@@ -46,13 +46,13 @@ def range_join(events: DataFrame, bars: DataFrame, by: list[str], start: str, en
     return spread.join(bars.withColumn("_bucket", number(F.col(at))), [*by, "_bucket"]).filter(F.col(at).between(F.col(start), F.col(end))).drop("_bucket")
 
 
-def concurrency(events: DataFrame, key: str, by: list[str], start: str, end: str) -> DataFrame:
-    """Average uniqueness of each event: the mean over its days of 1 / (events open that day).
+def uniqueness(events: DataFrame, by: list[str], start: str, end: str, name: str = "uniqueness") -> DataFrame:
+    """events plus the mean over each one's days of 1 / (events of its keys open that day), and `<name>_days`, how many these are.
 
     How many are open changes only on days that an event starts on or that follow one's end. These days carry the count and the sum
-    of 1 / count of all days before, so an event takes two look-ups, whatever its length.
+    of 1 / count of all days before, so an event takes two look-ups, whatever its length. Events without a key, start or end are left out.
     """
-    known = events.dropna(subset=[*by, start, end]).select(key, *by, F.least(start, end).alias("_from"), F.date_add(F.greatest(start, end), 1).alias("_to"))
+    known = events.dropna(subset=[*by, start, end]).withColumns({"_from": F.least(start, end), "_to": F.date_add(F.greatest(start, end), 1)})
     changes = known.select(*by, F.explode(F.array(F.struct(F.col("_from").alias("day"), F.lit(1).alias("n")), F.struct(F.col("_to").alias("day"), F.lit(-1).alias("n")))).alias("c"))
     daily = changes.groupBy(*by, F.col("c.day").alias("_day")).agg(F.sum("c.n").alias("_n"))
     w = Window.partitionBy(*by).orderBy("_day")
@@ -61,7 +61,14 @@ def concurrency(events: DataFrame, key: str, by: list[str], start: str, end: str
     before = counted.withColumn("_share", shares).select(*by, "_day", F.coalesce(F.sum("_share").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_sum"))
     at = lambda day, name: before.select(*by, F.col("_day").alias(day), F.col("_sum").alias(name))
     found = known.join(at("_from", "_s0"), [*by, "_from"]).join(at("_to", "_s1"), [*by, "_to"])
-    return found.groupBy(key).agg((F.sum(F.col("_s1") - F.col("_s0")) / F.sum(F.datediff("_to", "_from"))).alias("uniqueness"))
+    days = F.datediff("_to", "_from")
+    return found.withColumns({name: (F.col("_s1") - F.col("_s0")) / days, f"{name}_days": days}).select(*events.columns, name, f"{name}_days")
+
+
+def concurrency(events: DataFrame, key: str, by: list[str], start: str, end: str) -> DataFrame:
+    """Average uniqueness of each event by its key: the mean over its days of 1 / (events open that day)."""
+    found = uniqueness(events.select(*dict.fromkeys([key, *by, start, end])), by, start, end, "_u")
+    return found.groupBy(key).agg((F.sum(F.col("_u") * F.col("_u_days")) / F.sum("_u_days")).alias("uniqueness"))
 
 
 def non_overlapping(events: DataFrame, by: list[str], start: str, end: str, key: str) -> DataFrame:
