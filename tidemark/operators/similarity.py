@@ -52,13 +52,19 @@ def nearest_prototypes(vectors: DataFrame, bank: DataFrame, key: str, label: str
         names, centres = [r[0] for r in rows], np.array([r[1] for r in rows], float)
 
         def run(batches: Iterator[pa.RecordBatch], names=names, centres=centres) -> Iterator[pa.RecordBatch]:
+            kind = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}[kinds["_l"]]
+            labels, k = pa.array(names, kind), min(2, len(names))
             for b in batches:
-                out = []
-                for x in b.column(1).to_pylist():
-                    d = np.sqrt(((np.array(x, float) - centres) ** 2).sum(axis=1))
-                    out.append([{"d": float(d[j]), "l": names[j]} for j in np.argsort(d, kind="stable")[:2]])
-                kind = pa.list_(pa.struct([("d", pa.float64()), ("l", pa.array(names).type if kinds["_l"] == "string" else {"int": pa.int32(), "bigint": pa.int64()}[kinds["_l"]])]))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], [key, "_d"])
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+                near, far = np.zeros((len(x), k), np.int64), np.zeros((len(x), k))
+                # All distances of a few rows at a time, within a fixed number of differences.
+                step = max(1, (1 << 22) // max(1, centres.size))
+                for at in range(0, len(x), step):
+                    d = np.sqrt(((x[at : at + step, None, :] - centres) ** 2).sum(axis=2))
+                    near[at : at + step] = np.argsort(d, axis=1, kind="stable")[:, :k]
+                    far[at : at + step] = np.take_along_axis(d, near[at : at + step], axis=1)
+                pairs = pa.StructArray.from_arrays([pa.array(far.ravel()), labels.take(pa.array(near.ravel()))], ["d", "l"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * k, pa.int32()), pairs)], [key, "_d"])
 
         part = vectors.select(key, vector).mapInArrow(run, schema)
         best = part if best is None else best.unionByName(part)
