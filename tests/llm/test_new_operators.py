@@ -10,6 +10,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import imatch, importance, infill, periodic_runs
 from tidemark.llm.queries import QUERIES
+from tidemark.llm.textbytes import slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: The grammars as patterns of a unit, matched from left to right.
@@ -289,3 +291,45 @@ def test_rows_without_an_id_draw_apart(spark):
         assert len(kept) == 300 and 50 < counts[0] < 150 and 20 < counts[1] < 80, counts
         keys = importance.resample(df, labels, seed=seed).select("qc_key").collect()
         assert len({r.qc_key for r in keys}) == 600 and isinstance(keys[0].qc_key, float)
+
+
+M64 = (1 << 64) - 1
+GOLDEN = 0x9E3779B97F4A7C15
+
+
+def plain_mix(h: int) -> int:
+    h ^= h >> 33
+    h = h * 0xFF51AFD7ED558CCD & M64
+    h ^= h >> 33
+    h = h * 0xC4CEB9FE1A85EC53 & M64
+    return h ^ h >> 33
+
+
+def plain_features(text: str) -> list[int]:
+    """Hashed words, pairs of words and triples of word shapes, one at a time."""
+    words = [w.encode() for w in WORD.findall(text)]
+    h = [plain_mix((sum((b + 1) * pow(GOLDEN, i, 1 << 64) for i, b in enumerate(w)) + len(w)) & M64) for w in words]
+
+    def kind(b: int) -> int:
+        c = chr(b)
+        return 7 if b >= 128 else 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if c.isdigit() else 3 if c in ".,;:?'\"()-" else 4 if c == "!" else 5 if c in "#*$%&|<>@^~_=+/\\{}[]" else 6
+
+    def shape(i: int) -> int:
+        kinds = [kind(b) for b in words[i]]
+        loud = kinds.count(1) > 1 and kinds.count(0) == 0
+        return kinds[0] | kinds[-1] << 3 | loud << 6 | (i > 0 and words[i] == words[i - 1]) << 7 | (len(words[i]) == 1) << 8
+
+    n = importance.BUCKETS
+    out = [x % n for x in h]
+    out += [plain_mix((h[i] * 3 + plain_mix(h[i + 1])) & M64) % n + n for i in range(len(h) - 1)]
+    return out + [plain_mix(shape(i) | shape(i + 1) << 9 | shape(i + 2) << 18) % n + 2 * n for i in range(len(h) - 2)]
+
+
+def test_features_equal_a_plain_version():
+    texts_ = ["The the the DOG, the dog!! a a 12", "", "x", "É ß 日本 abc ABC", "one two", None, "#$% *** $$$ $$$ {x} A-B c_d", " lead  and trail\n\n"]
+    found = [[] for _ in texts_]
+    for t in slices(pa.array(texts_), 24):
+        ids, rows = importance.features(t)
+        for i, r in zip(ids.tolist(), rows.tolist(), strict=True):
+            found[t.row + r].append(i)
+    assert [sorted(f) for f in found] == [sorted(plain_features(t or "")) for t in texts_]
