@@ -397,6 +397,24 @@ def test_maxscore_refuses_scores_past_64_bits():
     assert [x[1] for x in maxscore.search_shard(np.arange(40), near, np.array([5]), near[5:6], 3)] == [39, 38, 37]
 
 
+def test_maxscore_answers_with_one_large_component():
+    rng = np.random.default_rng(8)
+    v = rng.integers(-2000, 2000, (400, 6))
+    for at, large in ((7, 3 << 30), (9, 1 << 45), (11, -(1 << 50))):
+        v[at, at % 6] = large
+    ids = np.arange(400)
+    ask = np.array([0, 7, 9, 100])
+    want = []
+    for i in ask.tolist():
+        scores = {j: sum(int(a) * int(b) for a, b in zip(v[i], v[j], strict=True)) for j in range(400) if j != i}
+        want += [(i, j, scores[j]) for j in sorted(scores, key=lambda j: (-scores[j], j))[:5]]
+    assert maxscore.search_shard(ids, v, ask, v[ask], 5) == want
+    with pytest.raises(OverflowError):
+        maxscore.search_shard(ids, v, np.array([500]), np.array([[1 << 50] * 6]), 5)  # some score is beyond 64 bits
+    with pytest.raises(OverflowError):
+        maxscore.search_shard(ids, np.full((400, 6), 1 << 62), ask, v[ask], 5)
+
+
 def test_context_tree_of_many_groups_equals_one(spark, prose, monkeypatch):
     """Sums and values by groups of chunks change nothing."""
     found = []

@@ -12,8 +12,10 @@ their k best and merge. Results are exact, ties to the smaller id.
 
 Queries meet the shards in blocks of QUERY_BLOCK, so no task holds more than one shard and one block; rows are dealt to both by
 number, so an id that many rows share fills none. Every row is copied once for each block or shard of the other side, hence
-their sizes. Sums are taken in doubles where none can pass 2 ** 53, which is exact; else scores are 64-bit integers and bounds are
-widened by more than doubles can err. Vectors whose scores could pass 64 bits are an error (OverflowError), never wrapped.
+their sizes. A query's scores are taken in doubles where none can pass 2 ** 53, which is exact, else in 64-bit integers where none
+can pass these, else in integers of any size; bounds are then widened by more than doubles can err. What none can pass is the sum of
+the query's components times the largest of the shard's in their dimension, so one large component costs its own queries only.
+A component beyond 2 ** 62, or a result that is no 64-bit integer, is an error (OverflowError), never wrapped.
 
 Vectors that are null, or that hold a null or a non-finite component, take no part, as queries or as candidates; neither do
 null ids, and neither do vectors whose length differs from the queries' (their block is scored length by length). Repeated rows of an id are candidates
@@ -90,45 +92,56 @@ class Shard:
         return int(self.cuts[blocks] if from_below else len(self.ids) - self.cuts[len(self.cuts) - 1 - blocks])
 
 
+def _scorer(vectors: np.ndarray, doubles: np.ndarray, q: np.ndarray, most: float):
+    """The exact scores of rows: in the narrowest numbers that can't overflow."""
+    if most < 1 << 53:
+        short = q.astype(float)
+        return lambda rows: doubles[rows] @ short
+    if most < 2.0**62:
+        return lambda rows: vectors[rows] @ q
+    large = q.tolist()
+    return lambda rows: np.array([sum(a * b for a, b in zip(large, row, strict=True)) for row in vectors[rows].tolist()], object)
+
+
 def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, read: dict[str, int] | None = None) -> list[tuple[int, int, int]]:
     """(query, id, score) of each query's k best in a shard by MaxScore. read: gets the numbers of postings traversed and values probed."""
-    most = float(np.abs(vectors.astype(float)).max()) * float(np.abs(queries.astype(float)).max()) * vectors.shape[1]
-    if most >= 2.0**63:
-        raise OverflowError("scores of these vectors can pass 64 bits")
-    exact = most < 1 << 53
-    slack = 0.0 if exact else most * 2.0**-40
-    shard = Shard(ids, vectors.astype(float) if exact else vectors)
+    if max(np.abs(vectors.astype(float)).max(initial=0), np.abs(queries.astype(float)).max(initial=0)) >= 2.0**62:
+        raise OverflowError("components beyond 2 ** 62")
+    mosts = np.abs(queries.astype(float)) @ np.abs(vectors.astype(float)).max(axis=0, initial=0)
+    shard = Shard(ids, vectors.astype(float))
     out = []
-    for qid, q in zip(query_ids.tolist(), queries.astype(float) if exact else queries, strict=True):
+    for qid, whole, most in zip(query_ids.tolist(), queries, mosts.tolist(), strict=True):
+        q, scored = whole.astype(float), _scorer(vectors, shard.vectors, whole, most)
+        slack = 0.0 if most < 1 << 53 else most * 2.0**-40
         own = ids == qid
         n = len(ids) - int(own.sum())
-        bounds = shard.bounds(q.astype(float))
+        bounds = shard.bounds(q)
         take = min(k, n)
         if not take:
             continue
         # The first threshold: the k-th best of the rows with the largest contributions to the terms of the largest bounds.
-        lead = np.argsort(-np.abs(q).astype(float) * (shard.tops[:, -1] - shard.bottoms[:, 0]), kind="stable")[:8]
+        lead = np.argsort(-np.abs(q) * (shard.tops[:, -1] - shard.bottoms[:, 0]), kind="stable")[:8]
         first = np.unique(np.concatenate([shard.at[d, -2 * k :] if q[d] >= 0 else shard.at[d, : 2 * k] for d in lead]))
         first = first[~own[first]]
-        scores = shard.vectors[first] @ q
+        scores = scored(first)
         threshold = float(np.partition(scores, len(scores) - take)[len(scores) - take]) if len(scores) >= take else -np.inf
         if n <= k:
             hopeful, ceiling, postings = np.flatnonzero(~own), None, 0
         else:
             depth = essential(bounds, threshold - slack)
             rest = np.where(depth < bounds.shape[1] - 1, bounds[np.arange(len(q)), depth], np.where(q >= 0, q * shard.bottoms[:, 0], q * shard.tops[:, -1]))
-            ceiling, postings = shard.traverse(q.astype(float), depth, rest)
+            ceiling, postings = shard.traverse(q, depth, rest)
             ceiling[own] = -np.inf
             ceiling[first] = -np.inf  # scored already
             hopeful = np.flatnonzero(ceiling >= threshold - slack)
             hopeful = hopeful[np.argsort(-ceiling[hopeful], kind="stable")]
         found, values, probed = [first], [scores], 0
         if ceiling is None:
-            found, values = [hopeful], [shard.vectors[hopeful] @ q]
+            found, values = [hopeful], [scored(hopeful)]
         else:
             # The best looking rows are scored first, so that the threshold rises; then the others are probed term by term.
             found.append(hopeful[:PROBE])
-            values.append(shard.vectors[hopeful[:PROBE]] @ q)
+            values.append(scored(hopeful[:PROBE]))
             best = np.concatenate(values)
             if len(best) >= take:
                 threshold = max(threshold, float(np.partition(best, len(best) - take)[len(best) - take]))
@@ -146,10 +159,12 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
                 probed += len(rows) * len(step)
             rows = rows[high >= threshold - slack]
             found.append(rows)
-            values.append(shard.vectors[rows] @ q)
+            values.append(scored(rows))
         rows, scores = np.concatenate(found), np.concatenate(values)
-        best = np.lexsort((ids[rows], -scores))[:k]
+        best = np.lexsort((ids[rows], -scores))[:k] if scores.dtype != object else sorted(range(len(rows)), key=lambda i: (-scores[i], ids[rows[i]]))[:k]
         out += [(qid, int(ids[rows[i]]), int(scores[i])) for i in best]
+        if any(not -(1 << 63) <= x < 1 << 63 for *_, x in out[-len(best) :]):
+            raise OverflowError("a score passes 64 bits")
         if read is not None:
             read.update(postings=read.get("postings", 0) + postings, probed=read.get("probed", 0) + probed, all=read.get("all", 0) + vectors.size)
     return out
