@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .mixing import HASH_BITS, hash_place, places
-from .runtime import materialize
+from .runtime import gives_back, materialize
 from .textbytes import Texts, mix, slices
 
 BUCKETS, CHANNELS = 1 << 14, 3
@@ -72,6 +72,7 @@ def count_features(docs: DataFrame, targets: list[int], key: str = "doc_id", tex
     """(qc_feature, qc_raw, qc_target), one row a partition and feature; targets: ids of the target documents."""
     wanted = np.array(sorted(targets), np.int64)
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS * CHANNELS, np.int64), np.zeros(BUCKETS * CHANNELS, np.int64)
         for b in batches:
@@ -108,6 +109,7 @@ def score(docs: DataFrame, ratios: np.ndarray, key: str = "doc_id", text: str =
     names = [c for c in (docs.columns if keep is None else keep) if not c.startswith("qc_")]
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sums = []

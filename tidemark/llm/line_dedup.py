@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialize
+from .runtime import gives_back, materialize
 
 SPACE = b" \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -136,6 +136,7 @@ def _halves(key: bytes) -> tuple[int, int]:
 def line_refs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """References (dl_h1, dl_h2, dl_doc, dl_text): each long line of each document once; dl_text: a hash of the text it stands in."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             one, two, ids, whole = [], [], [], []
@@ -270,6 +271,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     names = [c for c in docs.columns if c in kept or (c == text and not digest)]
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), "dl_lines long", "dl_dropped long", *(["dl_sha256 string"] if digest else [])])
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, lines, gone, sums = [], [], [], []

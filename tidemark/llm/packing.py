@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialize
+from .runtime import gives_back, materialize
 
 LENGTH = 2048
 GROUP_PIECES = 16384
 #: Words whose ids a Python worker keeps; others are encoded each time.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 _SEPARATOR = "\x01"
 #: The normaliser and splitter for which words can be encoded one by one; texts of other tokenizers are encoded whole.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -126,6 +126,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     """(key, bp_piece, bp_start, bp_length, bp_crc32) of every whole document; tokenizer: the file's path on every machine."""
     kind = dict(docs.dtypes)[key]
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
         for b in batches:

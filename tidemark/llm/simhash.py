@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import materialize
+from .runtime import gives_back, materialize
 from .textbytes import mix, slices
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -81,6 +81,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     names = [c for c in (docs.columns if keep is None else keep) if not c.startswith("nd_")]
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             prints = []
@@ -159,6 +160,7 @@ def shingle_prints(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
     """(key, nd_text, nd_print, nd_bands, nd_marks): the hash of each text's set of shingles, the set's band keys and its signature."""
     kind = dict(docs.dtypes)[key]
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in slices(b.column(1)):
