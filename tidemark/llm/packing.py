@@ -9,7 +9,7 @@ sequence a group. Sequences that stay closed are never touched again. bp_bins an
 needed and its bound.
 
 Null or empty text: one piece, id 0 alone. Repeated rows are packed each; their pieces share doc_id and number. An empty table
-gives an empty result. The operator's own columns start with `bp_`; columns of the input that do are replaced.
+gives an empty result. The result has the key and the operator's own columns, which start with `bp_`; other columns don't pass.
 """
 
 from __future__ import annotations

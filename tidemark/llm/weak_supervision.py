@@ -3,7 +3,8 @@
 Each document's features give one vote a rule: 1 good, -1 bad, 0 abstain. Documents are counted by vote pattern (at most
 3 ** len(RULES) patterns, whatever the corpus), EM runs on those counts, and a document's verdict is its pattern's posterior.
 
-No rule depends on a text's length: ratios hold for texts of every size, and variety is counted in windows of SPAN words.
+Rules are ratios, which hold for texts of every size, and variety is counted in windows of SPAN words. Two still know short texts:
+`stops` can vote bad beyond about 50 words only, and `variety` falls with length up to SPAN words.
 
 Null text: no words, fails the base rules; every ratio over nothing abstains. Null doc_id: judged like any other. Repeated rows
 are judged alike; an empty table gives an empty result. Very long texts are measured whole, in one piece each. Other columns
