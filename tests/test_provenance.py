@@ -1,0 +1,38 @@
+"""Evidence types and matrix problems on single cases."""
+
+from __future__ import annotations
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.operators.matrices import problems
+from tidemark.operators.provenance import evidence
+
+CASES = [
+    ({}, None, (None, "standard", None)), (None, "closed", (None, "standard", None)), ("{broken", "closed", (None, "standard", None)), ({"near_miss": True}, None, (None, "standard", None)), ({"near_miss": True, "no_ibkr_order": 1}, None, ("near_miss_shadow", "standard", "shadow_close")),
+    ({"near_miss_shadow": "yes", "execution_mode": "ibkr"}, "closed", ("near_miss_shadow", "standard", "shadow_close")), ({"observation_only": True}, "open", ("shadow_no_order", "standard", "shadow_close")), ({"execution_mode": "lab_shadow_observation"}, None, ("shadow_no_order", "standard", "shadow_close")),
+    ({"execution_mode": "ibkr", "ibkr_mode": "paper"}, "closed", ("ibkr_paper_order", "standard", None)), ({"execution_mode": "ibkr", "ibkr_mode": "paper", "fill_provenance": "broker_execution"}, " closed ", ("ibkr_paper_fill", "standard", "broker_execution")),
+    ({"execution_mode": "ibkr", "ibkr_mode": "", "trading_mode": "live", "fill_provenance": "broker_statement_import"}, "closed", ("live_fill", "standard", "broker_statement_import")), ({"execution_mode": "ibkr", "trading_mode": "live", "fill_provenance": "broker_execution"}, "open", ("live_order", "standard", "broker_execution")),
+    ({"execution_mode": "ibkr", "fill_provenance": "simulated_close"}, "closed", (None, "standard", "simulated_close")), ({"parent_order_id": 7}, "closed", ("ibkr_paper_order", "standard", None)), ({"broker_order_id": 0, "parent_order_id": ""}, "closed", (None, "standard", None)),
+    ({"evidence_type": "live_order", "no_ibkr_order": True, "fill_provenance": "broker_execution"}, "closed", ("live_fill", "standard", "broker_execution")), ({"evidence_type": "other", "execution_mode": "paper", "evidence_quality": "degraded"}, None, ("ibkr_paper_order", "degraded", None)), ({"evidence_quality": "normal"}, None, (None, "standard", None)),
+]
+
+
+def test_evidence(spark):
+    rows = [(i, m if m is None or isinstance(m, str) else json.dumps(m), s) for i, (m, s, _) in enumerate(CASES)]
+    got = {r.id: (r.evidence_type, r.evidence_quality, r.fill_provenance) for r in evidence(spark.createDataFrame(rows, "id int, metadata string, status string")).collect()}
+    assert got == {i: want for i, (*_, want) in enumerate(CASES)}
+
+
+def test_matrix_problems(spark):
+    rows = [("a", "f1", "x", True, 10), ("b", "f1", "y", True, 50), ("b", "f2", "x", False, 50), ("c", "f3", "x", True, 50), (None, "f1", "x", False, 50)]
+    df = spark.createDataFrame(rows, "test_id string, family string, bucket string, candidate boolean, least int")
+    found = problems(df, "test_id", {"SAMPLE_TOO_SMALL": F.col("least") < 20}, {"family": ["f1", "f2", "f4"]}, ("family", "bucket", ["f1", "f2"], ["x", "y"]), (F.col("candidate"), 2))
+    assert sorted(tuple(r) for r in found.collect()) == [("DUPLICATE", "b", 2), ("MISSING_PAIR", "f2:y", 0), ("MISSING_family", "f4", 0), ("NO_ID", "", 1), ("SAMPLE_TOO_SMALL", "a", 1), ("TOO_MANY", "", 3)]
+    fine = problems(df.filter("test_id = 'a'"), "test_id", {}, {}, None, None)
+    assert fine.count() == 0
+    assert [tuple(r) for r in problems(df.limit(0), "test_id", {}, {}, None, None).collect()] == [("EMPTY", "", 0)]
+    with pytest.raises(ValueError, match="no columns"):
+        problems(df, "test_id", {}, {"nope": ["x"]}, None, None)
