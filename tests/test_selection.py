@@ -152,3 +152,13 @@ def test_probes(spark):
             first, taken = first + fmean(days[d]) * k, taken + len(days[d])
         assert found[p].first_half == pytest.approx(first / half)
     assert found["single"].failures[0] == "universe" and not found["bad"].challenge_passed and found["good"].challenge_passed and found["tiny"].date_score == 0.55
+
+
+def test_leakage_probe(spark):
+    rng = np.random.default_rng(2)
+    rows = [(p, [float(x) for x in (1.0, rng.normal(), float("nan"), y if p == "leaks" else rng.normal())], y) for p in ("leaks", "fine") for y in rng.normal(size=40).tolist()] + [("few", [1.0, 2.0, 3.0, 4.0], 1.0), ("few", None, 2.0), ("few", [0.0], None)]
+    found = {r.p: r for r in L.leakage_probe(spark.createDataFrame(rows, "p string, v array<double>, y double"), "p", "v", "y").collect()}
+    assert found["leaks"].most == pytest.approx(1.0) and found["leaks"].hard_fail and found["leaks"].score == 0.0
+    mine = [r for r in rows if r[0] == "fine"]
+    want = max(abs(np.corrcoef([r[1][d] for r in mine], [r[2] for r in mine])[0, 1]) for d in (1, 3))
+    assert found["fine"].most == pytest.approx(want) and not found["fine"].hard_fail and found["few"].score == 0.65

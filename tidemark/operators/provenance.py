@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .gates import ladder
+from .ranking import first_per
 
 # Types of evidence, and where a fill's price may come from.
 TYPES = ["near_miss_shadow", "shadow_no_order", "ibkr_paper_order", "ibkr_paper_fill", "live_order", "live_fill"]
@@ -50,3 +51,19 @@ def evidence(trades: DataFrame, metadata: str = "metadata", status: str = "statu
     kind = F.when(filled & (kind == "ibkr_paper_order"), "ibkr_paper_fill").when(filled & (kind == "live_order"), "live_fill").otherwise(kind)
     quality = _text(m, "evidence_quality")
     return trades.withColumns({"evidence_type": kind, "evidence_quality": F.when(quality.isin("", "normal"), "standard").otherwise(quality), "fill_provenance": provenance})
+
+
+def intraday_key(metadata: Column) -> Column:
+    """What tells an intraday signal apart besides symbol, pattern and time frame: variant, end of window and session; null if one lacks."""
+    of = lambda key: F.get_json_object(metadata, f"$.intraday.{key}")
+    variant = F.coalesce(of("entry_variant"), of("entry_variant_id"))
+    whole = variant.isNotNull() & of("window_end").isNotNull() & of("session_id").isNotNull()
+    return F.when(whole, F.struct(variant.alias("variant"), of("window_end").alias("window_end"), of("session_id").alias("session_id")))
+
+
+def unique_signals(signals: DataFrame, order: list[Column], metadata: str = "metadata") -> DataFrame:
+    """The first signal of each symbol, pattern, time frame and intraday key; signals without such a key all stay."""
+    keyed = signals.withColumn("_key", intraday_key(F.col(metadata)))
+    names = ["symbol", "pattern", "timeframe", "_key"]
+    once = first_per(keyed.filter("_key IS NOT NULL"), names, order)
+    return once.unionByName(keyed.filter("_key IS NULL")).drop("_key")

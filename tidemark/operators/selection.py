@@ -245,7 +245,9 @@ def leakage_probe(samples: DataFrame, pattern: str, vector: str, outcome: str) -
     each = samples.filter(F.col(outcome).isNotNull()).select(pattern, F.col(outcome).cast("double").alias("y"), F.posexplode(vector).alias("d", "x")).withColumn("x", F.coalesce(F.nanvl(F.col("x").cast("double"), F.lit(0.0)), F.lit(0.0)))
     n = samples.filter(F.col(outcome).isNotNull()).groupBy(pattern).agg(F.count("*").alias("n"))
     spread = lambda c: F.stddev_pop(c) > 1e-12
-    most = each.groupBy(pattern, "d").agg(F.when(spread("x") & spread("y"), F.abs(F.corr("x", "y"))).alias("r")).groupBy(pattern).agg(F.coalesce(F.max("r"), F.lit(0.0)).alias("most"))
+    # corr() itself fails on values without spread.
+    corr = F.covar_pop("x", "y") / F.nullif(F.stddev_pop("x") * F.stddev_pop("y"), F.lit(0.0))
+    most = each.groupBy(pattern, "d").agg(F.when(spread("x") & spread("y"), F.abs(corr)).alias("r")).groupBy(pattern).agg(F.coalesce(F.max("r"), F.lit(0.0)).alias("most"))
     score = F.when(F.col("n") < 8, 0.65).otherwise(1 - F.least(F.greatest((F.col("most") - 0.55) / 0.40, F.lit(0.0)), F.lit(1.0)))
     return n.join(most, pattern).withColumns({"score": F.round(score, 5), "hard_fail": (F.col("most") >= 0.92) & (F.col("n") >= 20)})
 

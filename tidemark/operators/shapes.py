@@ -173,3 +173,27 @@ def cups(bars: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.bool_()), pa.array([g[1] for g in got], pa.float64())], ["symbol", "date", "found", "score"])
 
     return full.mapInArrow(run, "symbol string, date date, found boolean, score double")
+
+
+def geometry_score(bars: DataFrame, keys: list[str], order: str, most: int = 180, least: int = 35, handle: int = 12) -> DataFrame:
+    """Per key: points, correlation, smooth, handle and score of how much its last closes look like a round base with a flat handle.
+
+    Half the correlation with a parabola (not below 0), three tenths smoothness (1 less eight times the mean change of slope) and two
+    tenths flatness of the last `handle` closes (1 less two and a half times their range), of closes scaled to 0 to 1. Fewer than `least`
+    closes score 0. Only the last `most` closes of a key are kept, so windows over a key are short.
+    """
+    known = bars.filter(F.col("close").isNotNull()).select(*keys, order, F.col("close").cast("double").alias("_c"))
+    last = known.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))).filter(F.col("_r") <= most)
+    whole, w = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(order)
+    low, high, n = F.min("_c").over(whole), F.max("_c").over(whole), F.count("*").over(whole)
+    rows = last.withColumns({"_y": (F.col("_c") - low) / F.greatest(high - low, F.lit(1e-9)), "_n": n, "_x": -1 + 2 * (n - F.col("_r")) / F.greatest(n - 1, F.lit(1))})
+    rows = rows.withColumn("_bend", F.abs(F.col("_y") - 2 * F.lag("_y").over(w) + F.lag("_y", 2).over(w)))
+    tail = F.when(F.col("_r") <= F.when(F.col("_n") > handle, handle).otherwise(5), F.col("_y"))
+    square = F.col("_x") * F.col("_x")
+    # corr() itself fails on values without spread.
+    corr = F.when(F.stddev_pop("_y") > 1e-9, F.covar_pop("_y", square) / F.nullif(F.stddev_pop("_y") * F.stddev_pop(square), F.lit(0.0))).otherwise(0.0)
+    out = rows.groupBy(*keys).agg(F.count("*").alias("points"), F.coalesce(corr, F.lit(0.0)).alias("correlation"), (1 - F.avg("_bend") * 8).alias("smooth"), (1 - (F.max(tail) - F.min(tail)) * 2.5).alias("handle"))
+    unit = lambda x: F.least(F.greatest(F.coalesce(F.col(x), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    out = out.withColumns({"smooth": unit("smooth"), "handle": unit("handle")})
+    score = unit("correlation") * 0.5 + F.col("smooth") * 0.3 + F.col("handle") * 0.2
+    return out.withColumn("score", F.when(F.col("points") >= least, score).otherwise(0.0))

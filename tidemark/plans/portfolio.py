@@ -166,3 +166,17 @@ def romano_wolf(spark, sf_dir):
 @query("cup_detector")
 def cup_detector(spark, sf_dir):
     return H.cups(daily_bars(spark, sf_dir), 60)
+
+
+@query(
+    "geometry_score",
+    f"""WITH {BARS}, r AS (SELECT symbol, year(date) AS year, date, close, row_number() OVER (PARTITION BY symbol, year(date) ORDER BY date DESC) AS r FROM bars),
+k AS (SELECT *, (close - min(close) OVER p) / greatest(max(close) OVER p - min(close) OVER p, 1e-9) AS y, count(*) OVER p AS n FROM r WHERE r <= 180 WINDOW p AS (PARTITION BY symbol, year)),
+x AS (SELECT *, -1 + 2 * (n - r) / greatest(n - 1, 1) AS x, abs(y - 2 * lag(y) OVER w + lag(y, 2) OVER w) AS bend FROM k WINDOW w AS (PARTITION BY symbol, year ORDER BY date)),
+g AS (SELECT symbol, year, count(*) AS points, coalesce(CASE WHEN stddev_pop(y) > 1e-9 THEN corr(y, x * x) ELSE 0 END, 0) AS correlation, least(greatest(coalesce(1 - avg(bend) * 8, 0), 0), 1) AS smooth,
+  least(greatest(1 - (max(y) FILTER (WHERE r <= CASE WHEN n > 12 THEN 12 ELSE 5 END) - min(y) FILTER (WHERE r <= CASE WHEN n > 12 THEN 12 ELSE 5 END)) * 2.5, 0), 1) AS handle FROM x GROUP BY ALL)
+SELECT *, CASE WHEN points >= 35 THEN least(greatest(correlation, 0), 1) * 0.5 + smooth * 0.3::DOUBLE + handle * 0.2::DOUBLE ELSE 0 END AS score FROM g""",
+    ("correlation", "smooth", "handle", "score"),
+)
+def geometry_score(spark, sf_dir):
+    return H.geometry_score(daily_bars(spark, sf_dir).withColumn("year", F.year("date")), ["symbol", "year"], "date")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import provenance as P
 from ..operators.provenance import evidence
 from ..registry import query
 from .inputs import table
@@ -28,3 +29,22 @@ def evidence_types(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") + F.col("o_orderkey")).alias("k"), F.when(F.col("o_orderstatus") == "F", "closed").otherwise("open").alias("status"))
     made = o.select("o_orderkey", "status", F.to_json(F.struct(*[F.expr(x).alias(n) for n, x in _MADE.items()])).alias("metadata"))
     return evidence(made).select("o_orderkey", "evidence_type", "evidence_quality", "fill_provenance")
+
+
+@query(
+    "unique_signals",
+    """WITH s AS (SELECT l_orderkey, l_linenumber, l_extendedprice, 'P' || (l_partkey % 5) AS symbol, l_returnflag AS pattern, CASE WHEN l_suppkey % 2 = 0 THEN '5m' ELSE '15m' END AS timeframe, CASE WHEN l_partkey % 3 = 0 THEN 'v' || (l_suppkey % 3) WHEN l_partkey % 3 = 1 THEN 'i' || (l_suppkey % 3) END AS variant,
+  strftime(l_shipdate, '%Y-%m') AS window_end, CASE WHEN l_linenumber < 6 THEN (l_linenumber % 2)::VARCHAR END AS session FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY symbol, pattern, timeframe, variant, window_end, session ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS k FROM s)
+SELECT l_orderkey, l_linenumber, l_extendedprice FROM r WHERE k = 1 OR variant IS NULL OR session IS NULL""",
+)
+def unique_signals(spark, sf_dir):
+    c = F.col
+    inner = F.struct(
+        F.when(c("l_partkey") % 3 == 0, F.concat(F.lit("v"), (c("l_suppkey") % 3).cast("string"))).alias("entry_variant"), F.when(c("l_partkey") % 3 == 1, F.concat(F.lit("i"), (c("l_suppkey") % 3).cast("string"))).alias("entry_variant_id"),
+        F.date_format("l_shipdate", "yyyy-MM").alias("window_end"), F.when(c("l_linenumber") < 6, c("l_linenumber") % 2).alias("session_id"),
+    )
+    signals = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_extendedprice", F.concat(F.lit("P"), (c("l_partkey") % 5).cast("string")).alias("symbol"), c("l_returnflag").alias("pattern"), F.when(c("l_suppkey") % 2 == 0, "5m").otherwise("15m").alias("timeframe"), F.to_json(F.struct(inner.alias("intraday"))).alias("metadata"),
+    )
+    return P.unique_signals(signals, [c("l_orderkey"), c("l_linenumber"), c("l_extendedprice")]).select("l_orderkey", "l_linenumber", "l_extendedprice")
