@@ -6,6 +6,7 @@ import datetime as dt
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -475,3 +476,16 @@ def test_cusum_carries_its_state_over_batches(spark):
             up, down = (max(0, up + x - 0.2), max(0, down - x - 0.2)) if x is not None else (up, down)
             hit = hit or (i + 1 if max(up, down) > 4 else 0)
         assert got[k] == (sum(r[0] == k for r in rows), hit)
+
+
+def test_prices_of_zero_give_infinities_as_in_sql(spark):
+    # Opens a session at zero, so that returns and the distance to the average price divide by it.
+    rows = [("a", 1, i, p) for i, p in enumerate([0.0, 0.0, 2.0, 4.0, 0.0, 3.0])]
+    bars = spark.createDataFrame(rows, "symbol string, session int, ts int, close double").withColumns({"high": F.col("close"), "low": F.col("close"), "volume": F.lit(1.0)})
+    con = duckdb.connect()
+    con.execute("CREATE TABLE b (ts INTEGER, p DOUBLE)")
+    con.executemany("INSERT INTO b VALUES (?, ?)", [(i, p) for _, _, i, p in rows])
+    want = con.sql("SELECT p / lag(p) OVER w - 1, p / lag(p, 3) OVER w - 1, (p / avg(p) OVER w - 1) * 10000 FROM b WINDOW w AS (ORDER BY ts) ORDER BY ts").fetchall()
+    got = [tuple(r) for r in W.vwap(W.feature_cube(bars)).orderBy("ts").select("ret1", "ret3", "distance_bps").collect()]
+    assert [[repr(x) for x in r] for r in got] == [[repr(x) for x in r] for r in want]
+    assert got[1][0] != got[1][0] and got[2][0] == float("inf")

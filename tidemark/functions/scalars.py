@@ -11,6 +11,11 @@ def known(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b of doubles; a divisor of zero gives an infinity or NaN, where Spark's own division fails."""
+    return F.when(b == 0, a * float("inf")).otherwise(a / b)
+
+
 def gap_direction(gap: Column) -> Column:
     return F.when(gap > 0, "up").when(gap < 0, "down").otherwise("flat")
 

@@ -129,9 +129,9 @@ def vwap(bars: DataFrame, slope_lag: int = 3, flat_bps: float = 1.0, extension_b
     price = (F.col("high") + F.col("low") + F.col("close")) / 3
     volume = F.sum("volume").over(w)
     out = bars.withColumn("vwap", F.when(volume > 0, F.sum(price * F.col("volume")).over(w) / volume))
-    distance = (F.col("close") / F.col("vwap") - 1) * 10_000
+    distance = (S.ratio(F.col("close"), F.col("vwap")) - 1) * 10_000
     above = F.col("close") > F.col("vwap")
-    out = out.withColumns({"distance_bps": distance, "slope_bps": (F.col("vwap") / F.lag("vwap", slope_lag).over(w) - 1) * 10_000})
+    out = out.withColumns({"distance_bps": distance, "slope_bps": (S.ratio(F.col("vwap"), F.lag("vwap", slope_lag).over(w)) - 1) * 10_000})
     was = F.lag(above).over(w)
     out = out.withColumns({"above": F.coalesce(above, F.lit(False)), "crossed": F.coalesce(above != was, F.lit(False)), "reclaim": F.coalesce(above & ~was, F.lit(False)), "reject": F.coalesce(~above & was, F.lit(False))})
     out = out.withColumns({"extended": F.coalesce(F.abs("distance_bps") >= extension_bps, F.lit(False)), "slope": S.slope_direction(F.col("slope_bps"), flat_bps), "_n": F.row_number().over(w)})
@@ -151,7 +151,7 @@ def feature_cube(bars: DataFrame) -> DataFrame:
     spread = F.col("high") - F.col("low")
     high, low = F.max("high").over(w), F.min("low").over(w)
     return bars.withColumns({
-        "ret1": F.col("close") / F.lag("close", 1).over(w) - 1, "ret3": F.col("close") / F.lag("close", 3).over(w) - 1,
+        "ret1": S.ratio(F.col("close"), F.lag("close", 1).over(w)) - 1, "ret3": S.ratio(F.col("close"), F.lag("close", 3).over(w)) - 1,
         "compression5": spread / F.nullif(rolling(spread, F.avg, w, 5, 1), F.lit(0.0)), "compression8": spread / F.nullif(rolling(spread, F.avg, w, 8, 1), F.lit(0.0)),
         "range_position": F.when(high > low, S.clamp((F.col("close") - low) / (high - low), 0.0, 1.0)),
     })
