@@ -6,6 +6,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidemark.operators import decisions as D
@@ -91,3 +92,24 @@ def test_own_invalidation_reason_in_batch(spark):
     rows = [told(1, hours(1), own="liquidity_gone"), told(2, hours(1), broken=True), told(3, hours(1), own="")]
     out = D.setup_states(setups, spark.createDataFrame(rows, S.EVENT).drop("status"), ["at", "tie"])
     assert {r.setup_id: r.reason for r in out.collect()} == {1: "liquidity_gone", 2: "setup_context_broken", 3: None}
+
+
+def test_a_bucket_of_setups_costs_the_state_store_one_read_and_write(spark, folder):
+    class Store:
+        calls, value = 0, None
+
+        def __getattr__(self, name):
+            def call(*args):
+                self.calls += 1
+                if name == "update":
+                    self.value = args[0]
+                return self if name in ("getValueState", "getListState") else self.value if name == "get" else self.value is not None if name == "exists" else None
+
+            return call
+
+    store, processor = Store(), S.SetupProcessor(5, 3.0, 30)
+    processor.init(store)
+    row = spark.createDataFrame([detected(1, hours(0))], S.EVENT).first().asDict()
+    assert list(processor.handleInputRows((7,), (Row(**row | {"setup_id": i}) for i in range(1000)), None)) == []
+    assert store.calls < 10
+    assert S.setup_stream(spark.readStream.schema(S.EVENT).parquet(str(folder / "in")), "1 hour").columns == ["setup_id", "at", "status", "reason", "evaluated", "entry_score"]
