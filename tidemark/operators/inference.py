@@ -22,7 +22,8 @@ def benjamini_hochberg(df: DataFrame, family: list[str], p: str, key: str, q: fl
     raw = F.col(p) * F.col("_m") / F.col("_k")
     cutoff = F.max(F.when(F.col(p) <= q * F.col("_k") / F.col("_m"), F.col(p))).over(w)
     out = ranked.withColumns({"rejected": F.coalesce(F.col(p) <= cutoff, F.lit(False)), "q_light": F.least(raw, F.lit(1.0)), "_raw": raw})
-    following = w.orderBy(p, key).rowsBetween(0, Window.unboundedFollowing)
+    # Backwards, since a frame up to the last row is gone through anew for each row.
+    following = w.orderBy(F.col("_k").desc()).rowsBetween(Window.unboundedPreceding, 0)
     return out.withColumn("q_value", F.least(F.min("_raw").over(following), F.lit(1.0))).drop("_k", "_m", "_raw")
 
 
