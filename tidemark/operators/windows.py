@@ -214,8 +214,9 @@ def in_order(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def cusum(df: DataFrame, keys, order, value: str, target: float, slack: float, limit: float) -> DataFrame:
     """Two-sided CUSUM with reset at zero: by key the number of values and the first position where it passes the limit (0: never).
 
-    A recurrence, so a fold over each key's values in order, streamed: a task holds a batch and the two sums. A null value takes a
-    position and leaves the sums as they are.
+    A recurrence, so a fold over each key's values in order, streamed: a task holds a batch and the two sums. Values are put in order
+    within the first column of `order` (a day, say), and whole days, of nothing but values, then among themselves. A null value takes
+    a position and leaves the sums as they are.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     kinds = dict(df.dtypes)
@@ -239,5 +240,8 @@ def cusum(df: DataFrame, keys, order, value: str, target: float, slack: float, l
             done.append((*now, n, hit))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), [*types, pa.int64(), pa.int64()], strict=True)], [*keys, "n", "first_trigger"])
 
-    ordered = in_order(df.select(*keys, *[o for o in order if o not in keys], F.col(value).cast("double").alias("_x")), keys, list(order)).select(*keys, "_x")
+    order = list(order)
+    rows = F.array_sort(F.collect_list(F.struct(*order[1:], F.col(value).cast("double").alias("_x"))))
+    days = df.groupBy(*keys, F.col(order[0]).alias("_day")).agg(F.transform(rows, lambda r: r["_x"]).alias("_xs"))
+    ordered = in_order(days, keys, ["_day"]).select(*keys, F.explode("_xs").alias("_x"))
     return ordered.mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "n long, first_trigger long"]))
