@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp
+from .ranking import first_per
 from .windows import by, in_order
 
 
@@ -68,7 +69,8 @@ def two_new_a_day(candidates: DataFrame, most: int = 2) -> DataFrame:
     """Portfolio policy: a day opens at most `most` new trades, by symbol, and a symbol is locked up to its exit.
 
     Days depend on one another, so it is a fold over a portfolio's candidates in order, streamed: a task holds a batch, the day's count
-    and the symbols that are locked now. Candidates without an entry or exit date are left out; of equal ones the smaller ret comes first.
+    and the symbols that are locked now. Of a symbol's candidates of a day only the first `most` can be taken (once one is refused, so
+    are all after it), and they alone get there. Candidates without an entry or exit date are left out; of equal ones the smaller ret comes first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,6 +93,7 @@ def two_new_a_day(candidates: DataFrame, most: int = 2) -> DataFrame:
             yield b.filter(pa.array(keep, pa.bool_()))
 
     view = candidates.select("portfolio", "symbol", "entry_date", "exit_date", "ret").dropna(subset=["entry_date", "exit_date"])
+    view = first_per(view, ["portfolio", "entry_date", "symbol"], [F.col("exit_date"), F.col("ret")], most)
     return in_order(view, ["portfolio"], ["entry_date", "symbol", "exit_date", "ret"]).mapInArrow(run, view.schema)
 
 
