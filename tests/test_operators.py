@@ -489,3 +489,19 @@ def test_prices_of_zero_give_infinities_as_in_sql(spark):
     got = [tuple(r) for r in W.vwap(W.feature_cube(bars)).orderBy("ts").select("ret1", "ret3", "distance_bps").collect()]
     assert [[repr(x) for x in r] for r in got] == [[repr(x) for x in r] for r in want]
     assert got[1][0] != got[1][0] and got[2][0] == float("inf")
+
+
+def test_quantiles_by_counts(spark):
+    rng = np.random.default_rng(5)
+    groups = {"few": [3.0], "two": [-1.0, 8.0], "same": [0.25] * 9, "signs": [-0.0, 0.0, -2.5, 7.0, 1e-310, -1e200, 1e200, 8.0, 7.999999999999999], "many": [*np.exp(rng.normal(0, 3, 500)), *-rng.random(300), *([0.1] * 99)]}
+    df = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v] + [("few", None), ("none", None)], "k string, x double")
+    got = {r.k: (r.a, r.b, r.c) for r in A.quantiles(df, ["k"], "x", {"a": 0.25, "b": 0.5, "c": 0.9}).collect()}
+    assert set(got) == set(groups)
+    for k, v in groups.items():
+        assert got[k] == pytest.approx(tuple(np.quantile(v, [0.25, 0.5, 0.9])), rel=1e-12, abs=1e-300), k
+
+
+def test_without_top_rows_of_small_groups(spark):
+    rows = [("a", 1, 5.0), ("a", 2, None), ("a", 3, -7.0), ("a", 4, 1.0), ("b", 1, 2.0), ("b", 2, 3.0), (None, 1, 1.0), (None, 2, 2.0), (None, 3, 4.0), ("c", 1, None), ("c", 2, None), ("c", 3, None)]
+    out = A.without_top_rows(spark.createDataFrame(rows, "k string, i int, x double"), "k", "x", [F.abs("x").desc(), "i"], 2)
+    assert {r.k: (r["mean"], r.n) for r in out.collect()} == {"a": (1.0, 2), None: (1.0, 1), "c": (None, 1)}

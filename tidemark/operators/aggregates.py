@@ -56,6 +56,18 @@ def without_top(df: DataFrame, key: str, value: str, k: int) -> DataFrame:
     return rest.agg((F.sum("total") / F.sum("n")).alias("mean"), F.sum("n").alias("n"))
 
 
+def without_top_rows(df: DataFrame, group: str, value: str, order: list, k: int) -> DataFrame:
+    """(group, mean, n) of each group's rows but for its first k in order; groups of no more rows are left out.
+
+    The first k are found within each task and then merged, and are taken off the sums of all, so that no task orders a group.
+    """
+    first = df.select("*").withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("_k") <= k)
+    sums = lambda d, x: d.groupBy(group).agg(F.sum(value).alias(f"_s{x}"), F.count(value).alias(f"_v{x}"), F.count("*").alias(f"_n{x}"))
+    both = sums(df, 0).join(sums(first, 1).withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g"))).filter("_n0 > _n1")
+    rest = F.col("_s0") - F.coalesce("_s1", F.lit(0.0))
+    return both.select(group, F.when(F.col("_v0") > F.col("_v1"), rest / (F.col("_v0") - F.col("_v1"))).alias("mean"), (F.col("_n0") - F.col("_n1")).alias("n"))
+
+
 def herfindahl(df: DataFrame, group: str, key: str) -> DataFrame:
     counts = df.groupBy(group, key).agg(F.count("*").alias("n"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy(group))
@@ -82,11 +94,38 @@ def missingness(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"n_{c}").alias("nulls"), F.col(f"d_{c}").alias("distincts")) for c in columns])))
 
 
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact quantiles by key, interpolated linearly between neighbours; nulls don't count.
+
+    Values are counted, so equal ones are one row; counts by the leading digits of their order add up to each stretch's first place,
+    and only stretches that hold a wanted place are ordered: no task holds a key's values.
+    """
+    v = F.col(value).cast("double")
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count("*").alias("_c"))
+    # A stretch: values alike in sign, size and their first three digits or so.
+    size = F.floor(F.log2(F.greatest(F.abs("_v"), F.lit(1e-300))))
+    place = F.when(F.isnan("_v"), 1e9).when(F.abs("_v") < 1e-300, 0.0).when(F.abs("_v") == float("inf"), F.signum("_v") * 1e8)
+    counts = counts.withColumn("_stretch", place.otherwise(F.signum("_v") * (1e5 + size + F.floor((F.abs("_v") / F.pow(F.lit(2.0), size) - 1) * 1024) / 2048)))
+    w = Window.partitionBy(*keys)
+    stretches = counts.groupBy(*keys, "_stretch").agg(F.sum("_c").alias("_in"))
+    stretches = stretches.withColumns({"_to": F.sum("_in").over(w.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_in").over(w)})
+    asked = F.array(*[F.struct(F.lit(n).alias("_name"), ((F.col("_n") - 1) * q).alias("_at")) for n, q in shares.items()])
+    # A quantile's two neighbours may stand in two stretches.
+    wanted = stretches.select("*", F.inline(asked)).filter((F.floor("_at") < F.col("_to")) & (F.ceil("_at") >= F.col("_to") - F.col("_in")))
+    held = counts.join(wanted.select(*keys, "_stretch").distinct(), [*keys, "_stretch"])
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_stretch").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = held.withColumn("_upto", upto).join(wanted, [*keys, "_stretch"]).withColumn("_last", F.col("_to") - F.col("_in") + F.col("_upto"))
+    at = lambda i: F.max(F.when((i < F.col("_last")) & (i >= F.col("_last") - F.col("_c")), F.col("_v")))
+    found = placed.groupBy(*keys, "_name").agg(at(F.floor("_at")).alias("_low"), at(F.ceil("_at")).alias("_high"), F.first("_at").alias("_at"))
+    between = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise((F.ceil("_at") - F.col("_at")) * F.col("_low") + (F.col("_at") - F.floor("_at")) * F.col("_high"))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, between)).alias(n) for n in shares])
+
+
 def feature_summary(df: DataFrame, features: list[str]) -> DataFrame:
     """Mean, median and quartiles of each feature that every row has."""
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in features])))
-    out = long.groupBy("feature").agg(F.avg("v").alias("mean"), F.percentile("v", F.lit(0.5)).alias("median"), F.percentile("v", F.lit(0.25)).alias("p25"), F.percentile("v", F.lit(0.75)).alias("p75"), F.count("v").alias("n"), F.count("*").alias("_all"))
-    return out.filter("n = _all").drop("_all")
+    out = long.groupBy("feature").agg(F.avg("v").alias("mean"), F.count("v").alias("n"), F.count("*").alias("_all")).filter("n = _all")
+    return out.join(quantiles(long, ["feature"], "v", {"median": 0.5, "p25": 0.25, "p75": 0.75}), "feature").select("feature", "mean", "median", "p25", "p75", "n")
 
 
 def bucket_table(df: DataFrame, required: DataFrame, bucket: str, aggs: list[Column]) -> DataFrame:
