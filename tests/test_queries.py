@@ -67,3 +67,22 @@ def test_windows_by_label_alone_see_sums_by_day(spark, data, name):
     found = windows(catalog.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan(), [])
     alone = [below for keys, below in found if len(keys) == 1]
     assert alone and set(alone) == {"Aggregate"}, found
+
+
+def test_adjusted_p_values_have_no_frame_to_the_end(spark, data):
+    # Such a frame is gone through anew for each row; that of the whole family, without an order, is not.
+    text = plan(catalog.QUERIES["benjamini_hochberg"](spark, data)).lower()
+    assert "currentrow$(), unboundedfollowing" not in text and "currentrow, unboundedfollowing" not in text and "currentrow$(), specifiedwindowframe" not in text
+
+
+def test_cusum_orders_whole_days(spark, data):
+    assert "collect_list" in plan(catalog.QUERIES["cusum_by_pattern"](spark, data))
+
+
+@pytest.mark.parametrize("name", ["leave_top_events_out", "portfolio_two_new_a_day"])
+def test_first_rows_are_found_within_tasks(spark, data, name):
+    assert "WindowGroupLimit" in plan(catalog.QUERIES[name](spark, data))
+
+
+def test_feature_summary_gathers_no_values(spark, data):
+    assert "percentile(" not in plan(catalog.QUERIES["feature_summary"](spark, data)).lower()

@@ -77,8 +77,7 @@ def leave_top_symbols_out(spark, sf_dir):
 
 @query("leave_top_events_out", f"WITH {TRADES}, r AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY abs(ret) DESC, trade_id, entry_date, qty, price) AS k FROM trades) SELECT pattern, avg(ret) AS mean, count(*) AS n FROM r WHERE k > 5 GROUP BY pattern", ("mean",))
 def leave_top_events_out(spark, sf_dir):
-    t = trades(spark, sf_dir).withColumn("k", F.row_number().over(W.by("pattern", [F.abs("ret").desc(), "trade_id", "entry_date", "qty", "price"])))
-    return t.filter("k > 5").groupBy("pattern").agg(F.avg("ret").alias("mean"), F.count("*").alias("n"))
+    return A.without_top_rows(trades(spark, sf_dir), "pattern", "ret", [F.abs("ret").desc(), "trade_id", "entry_date", "qty", "price"], 5)
 
 
 @query(
