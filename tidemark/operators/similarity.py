@@ -100,10 +100,11 @@ def conformal_threshold(df: DataFrame, keys: list[str], score: str, alpha: float
     return placed.filter(F.col("_at") == wanted - 1).select(*keys, F.col("_at_of").alias("n"), F.col(score).alias("threshold"))
 
 
-def knn_distance(vectors: DataFrame, key: str, group: str, vector: str, k: int, block: int = 1024) -> DataFrame:
+def knn_distance(vectors: DataFrame, key: str, group: str, vector: str, k: int, block: int = 8192) -> DataFrame:
     """Mean distance to the k nearest of the same group: blocks of a group's rows meet its shards, and the shards' k best merge.
 
-    No task holds more than one block and one shard, however large a group is.
+    No task holds more than one block and one shard, however large a group is. Squared distances from products choose the rows that
+    may be among the k nearest, within the products' rounding; those rows' distances are then taken exactly.
     """
     sizes = vectors.groupBy(group).agg(F.ceil(F.count("*") / block).alias("_n"))
     sized = vectors.select(key, group, vector).join(sizes, group).withColumn("_own", F.pmod(F.xxhash64(key), F.col("_n")))
@@ -114,13 +115,28 @@ def knn_distance(vectors: DataFrame, key: str, group: str, vector: str, k: int,
     def run(left, right):
         ids, near = [], []
         if left.num_rows and right.num_rows:
-            x, y = (np.array(t.column(vector).to_pylist(), float) for t in (left, right))
-            names = np.array(right.column(key).to_pylist(), object)
-            for name, row in zip(left.column(key).to_pylist(), x, strict=True):
-                d = np.sqrt(((y - row) ** 2).sum(axis=1))[names != name]
-                found = np.sort(d)[:k].tolist()
-                ids += [name] * len(found)
-                near += found
+            x, y = (np.array(t.column(vector).combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(t.num_rows, -1) for t in (left, right))
+            names, held_names = (np.array(t.column(key).to_pylist(), object) for t in (left, right))
+            places = {name: i for i, name in enumerate(held_names)}
+            ys = (y * y).sum(axis=1)
+            # Without finite squares, or with keys held twice, all rows' distances are taken.
+            sure = np.isfinite(4 * ys).all() and np.isfinite(4 * (x * x).sum(axis=1)).all() and len(places) == len(y)
+            # Some rows' distances at a time: within a fixed number of products.
+            step = max(1, (1 << 21) // len(y))
+            for at in range(0, len(x), step):
+                some = x[at : at + step]
+                squares = (some * some).sum(axis=1)[:, None] - 2 * some @ y.T + ys
+                for i, name in enumerate(names[at : at + step]):
+                    if name in places:
+                        squares[i, places[name]] = np.inf
+                least = np.partition(squares, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
+                room = 1e-12 * x.shape[1] * ((some * some).sum(axis=1) + ys.max() + 1)
+                for i, name in enumerate(names[at : at + step]):
+                    may = np.flatnonzero(squares[i] <= least[i] + room[i]) if sure else np.arange(len(y))
+                    may = may[held_names[may] != name]
+                    found = np.sort(np.sqrt(((y[may] - some[i]) ** 2).sum(axis=1)))[:k].tolist()
+                    ids += [name] * len(found)
+                    near += found
         return pa.table({key: pa.array(ids, left.schema.field(key).type), "d": pa.array(near, pa.float64())})
 
     keys = [group, "_block", "_shard"]
