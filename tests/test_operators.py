@@ -505,3 +505,21 @@ def test_without_top_rows_of_small_groups(spark):
     rows = [("a", 1, 5.0), ("a", 2, None), ("a", 3, -7.0), ("a", 4, 1.0), ("b", 1, 2.0), ("b", 2, 3.0), (None, 1, 1.0), (None, 2, 2.0), (None, 3, 4.0), ("c", 1, None), ("c", 2, None), ("c", 3, None)]
     out = A.without_top_rows(spark.createDataFrame(rows, "k string, i int, x double"), "k", "x", [F.abs("x").desc(), "i"], 2)
     assert {r.k: (r["mean"], r.n) for r in out.collect()} == {"a": (1.0, 2), None: (1.0, 1), "c": (None, 1)}
+
+
+def test_knn_of_close_and_odd_vectors(spark):
+    # Far from zero, where products round away the distances; one vector isn't finite.
+    rng = np.random.default_rng(2)
+    v = (1e6 + rng.normal(0, 1e-3, (60, 4))).tolist() + [[float("nan"), 0.0, 0.0, 0.0]]
+    df = spark.createDataFrame([(i, "a" if i < 30 else "b", x) for i, x in enumerate(v)], "id int, g string, v array<double>")
+    got = {r.id: r.knn for r in V.knn_distance(df, "id", "g", "v", 3).collect()}
+    for i in range(60):
+        same = [j for j in range(61) if (j < 30) == (i < 30) and j != i and j != 60]
+        assert got[i] == pytest.approx(np.mean(sorted(math.dist(v[i], v[j]) for j in same)[:3]), rel=1e-12)
+
+
+def test_drift_monitor_takes_bare_numbers(spark, data):
+    from tidemark.streaming import jobs
+
+    out = jobs.drift_monitor(jobs.read_events(spark, data), "event_type", "value", 50.0, 5.0, 200.0)
+    assert "_us" in out._jdf.queryExecution().logical().toString()
