@@ -104,7 +104,7 @@ def rank_opportunities(matches: DataFrame, ties: list[str], exposure: list[str]
     """
     order = match_order(["opportunity", "entry_score", "score", "similarity"], ties)
     best = matches if exposure is None else first_per(matches.withColumns({f"_x{i}": F.coalesce(F.col(c).cast("string"), F.lit("")) for i, c in enumerate(exposure)}), [f"_x{i}" for i in range(len(exposure))], order)
-    placed = indexed(best.withColumn("_bucket", -F.floor(F.col("opportunity") * 1000)), [], "_bucket", order, "_at")
+    placed = indexed(best.withColumn("_bucket", -F.floor(F.col("opportunity") * 1000)), [], "_bucket", order, "_at", few=True)
     return placed.withColumn("opportunity_rank", F.col("_at") + 1).select(*matches.columns, "opportunity_rank")
 
 

@@ -49,17 +49,17 @@ def systematic(df: DataFrame, order: list[Column], keys: list[str], most: int) -
     return df.withColumn("_s", step).withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).filter("_i % _s = 0").drop("_s", "_i")
 
 
-def indexed(df: DataFrame, keys: list[str], coarse: str, order: list[Column | str], name: str = "index") -> DataFrame:
+def indexed(df: DataFrame, keys: list[str], coarse: str, order: list[Column | str], name: str = "index", few: bool = False) -> DataFrame:
     """Each row's place (from 0) among its keys' rows in the order of coarse, then `order`; also `<name>_of`, how many there are.
 
     No task holds all rows of a key: they are counted by coarse (a day, say), the counts add up to each day's first place, and
-    rows are numbered within their day.
+    rows are numbered within their day. few: the days of all keys are few enough to send to every task, which spares a shuffle.
     """
     counts = df.groupBy(*keys, coarse).agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = F.coalesce(F.sum("_c").over(w.orderBy(coarse).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = counts.select(*keys, coarse, before.alias("_before"), F.sum("_c").over(w).alias(f"{name}_of"))
-    numbered = df.join(bases, [*keys, coarse])
+    numbered = df.join(F.broadcast(bases) if few else bases, [*keys, coarse])
     within = F.row_number().over(Window.partitionBy(*keys, coarse).orderBy(*order))
     return numbered.withColumn(name, F.col("_before") + within - 1).drop("_before")
 

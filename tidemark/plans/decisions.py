@@ -73,7 +73,8 @@ def _scored(spark, sf_dir):
     past = matches.filter((F.col("l_orderkey") % 8 == 0) & (F.col("l_partkey") % 20 < 6)).withColumn("one", F.lit(1.0))
     levels = [["pattern", "symbol", "variant"], ["pattern", "variant"]]
     history = J.history_levels(past, levels[0], levels, "one").filter("n % 3 <> 0").select(*levels[0], (F.col("n") % 101 / 100).alias("score"), F.col("n").alias("count"))
-    return D.opportunity_score(D.with_history(matches, history, levels[0], levels))
+    # At most 20 symbols, 6 patterns and 3 variants.
+    return D.opportunity_score(D.with_history(matches, F.broadcast(history), levels[0], levels))
 
 
 @query("opportunity_ranking", f"WITH {_SCORED} SELECT l_orderkey, l_linenumber, opportunity, reason, place AS opportunity_rank FROM r", ("opportunity",))
