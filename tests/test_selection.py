@@ -128,6 +128,53 @@ def test_nearest_better_skips_cells(spark):
     assert 0 < looked.count() < 0.5 * (blocks * 8) ** 2 / 2
 
 
+def plain_nearest(x, rank, y, other):
+    return np.array([np.sqrt(((y[other < k] - a) ** 2).sum(axis=1)).min(initial=np.inf) for a, k in zip(x, rank, strict=True)])
+
+
+@pytest.mark.parametrize("kind", ["any", "copies", "norms", "far from nought", "huge"])
+def test_nearest_measures_what_products_cannot_tell(kind):
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 1), (150, 220), (220, 40)):
+        x, y = rng.normal(size=(n, 4)), rng.normal(size=(m, 4))
+        if kind == "copies":
+            x, y = np.round(x), np.round(y)
+        if kind == "norms":
+            x, y = (a * 10.0 ** rng.integers(-3, 4, (len(a), 1)) for a in (x, y))
+        if kind == "far from nought":
+            x, y = (a * 1e-3 + 1e6 for a in (x, y))
+        if kind == "huge":
+            y[0] *= 1e160
+            x[0] = y[0]
+        rank, other = rng.permutation(500)[:n], rng.permutation(500)[:m]
+        with np.errstate(over="ignore"):
+            assert np.array_equal(L._nearest(x, rank, y, other, rows=16, held=32), plain_nearest(x, rank, y, other))
+
+
+def test_nearest_better_sends_a_row_equally_often(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    met = {}
+    for n in (800, 2400):
+        v = rng.normal(size=(n, 6)) * 1e-3 + 1e6
+        v[::5] = v[0]
+        rows = [(i, i % 2, float(rng.integers(0, 50)), v[i].tolist()) for i in range(n)]
+        near, pairs = L.nearest_better(spark.createDataFrame(rows, "id long, side long, score double, v array<double>"), ["side"], "id", "score", "v", block=32)
+        met[n], found = pairs.count(), {r.id: r.nearest for r in near.collect()}
+        place = np.empty(n, int)
+        place[np.lexsort((np.arange(n), [-r[2] for r in rows]))] = np.arange(n)
+        for side in (0, 1):
+            ids = np.arange(side, n, 2)
+            want = plain_nearest(v[ids], place[ids], v[ids], place[ids])
+            assert [found[i] for i in ids] == [x if np.isfinite(x) else None for x in want]
+    # Three times the rows: as many blocks, so three times as much is sent, not nine times.
+    assert met[800] == met[2400]
+    assert met[800] == 2 * L.BLOCKS * (L.BLOCKS + 1) // 2
+    # Blocks of so many numbers that they become more.
+    monkeypatch.setattr(L, "NUMBERS", 6 * 80)
+    again, pairs = L.nearest_better(spark.createDataFrame(rows, "id long, side long, score double, v array<double>"), ["side"], "id", "score", "v", block=32)
+    assert {r.id: r.nearest for r in again.collect()} == found and pairs.count() == 2 * 15 * 16 // 2
+
+
 def test_probes(spark):
     rng = random.Random(9)
     rows = [(p, rng.choice("ABCD") if p != "single" else "A", date(2024, 1, 1) + timedelta(rng.randrange(9)), rng.gauss(0.2 if p == "good" else -0.3, 0.5), 0.01, rng.gauss(-0.2, 0.1)) for p in ("good", "bad", "single") for _ in range(41)]

@@ -16,6 +16,8 @@ from .ranking import indexed
 EULER = 0.5772156649015329
 #: Days that a task holds of a family, and members.
 DAYS, MEMBERS = 512, 256
+#: Blocks of a family's vectors, and numbers that a block holds at most.
+BLOCKS, NUMBERS = 12, 1 << 22
 
 
 def finite(c: str) -> Column:
@@ -110,68 +112,88 @@ def superior_ability(rows: DataFrame, family: str, member: str, period: str, val
     return own.join(counts, family).select(family, "periods", "members", F.col(f"_best.{member}").alias("best"), F.col("_best._mean").alias("best_mean"), F.col("_best._t").alias("best_t"), *[f"p_{k}" for k in centre])
 
 
-def _cells(vectors: DataFrame, family: list[str], key: str, score: str, vector: str, block: int) -> DataFrame:
-    """Rows in cells of a family: blocks by falling score, and within a block stretches of alike norms."""
-    v = F.transform(vector, lambda x: x.cast("double"))
+def _placed(vectors: DataFrame, family: list[str], key: str, score: str, vector: str, block: int) -> DataFrame:
+    """Rows with known vectors (`_v`) by family and length: `_rank` by falling score, then key, and `_block` of `_blocks` stretches of ranks."""
+    # Floats are sent as they are, in half the bytes.
+    v = F.col(vector) if dict(vectors.dtypes)[vector] == "array<float>" else F.transform(vector, lambda x: x.cast("double"))
     known = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & (F.size(vector) > 0)
-    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x))
-    rows = vectors.select(*family, key, score, F.when(known, v).alias("_v")).withColumn("_norm", norm).withColumn("_grade", -F.floor(F.coalesce(F.col(score), F.lit(0.0)) * 1000))
-    rows = rows.withColumn("_size", F.coalesce(F.size("_v"), F.lit(-1)))
-    placed = indexed(rows, [*family, "_size"], "_grade", [F.col(score).desc_nulls_last(), F.col(key)], "_rank").drop("_grade", "_rank_of")
-    return placed.withColumn("_block", F.floor(F.col("_rank") / block)).withColumn("_stretch", F.ntile(8).over(Window.partitionBy(*family, "_block", "_size").orderBy("_norm", "_rank")))
+    rows = vectors.filter(known).select(*family, key, score, v.alias("_v"), F.size(vector).alias("_size"), (-F.floor(F.coalesce(F.col(score), F.lit(0.0)) * 1000)).alias("_grade"))
+    placed = indexed(rows, [*family, "_size"], "_grade", [F.col(score).desc_nulls_last(), F.col(key)], "_rank")
+    size = F.greatest(F.lit(1), F.least(F.greatest(F.lit(block), F.ceil(F.col("_rank_of") / BLOCKS)), F.floor(NUMBERS / F.col("_size"))))
+    return placed.withColumns({"_block": F.floor(F.col("_rank") / size).cast("int"), "_blocks": F.ceil(F.col("_rank_of") / size).cast("int")})
 
 
-def _distances(near: np.ndarray, x: np.ndarray, rank: np.ndarray, y: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """near, or the distance to the nearest y of smaller rank where that is less."""
-    squares = np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ y.T + (y * y).sum(axis=1), 0)
-    squares[other[None, :] >= rank[:, None]] = np.inf
-    to = squares.argmin(axis=1)
-    exact = np.where(np.isfinite(squares[np.arange(len(x)), to]), np.sqrt(((x - y[to]) ** 2).sum(axis=1)), np.inf)
-    return np.minimum(near, exact)
+def _nearest(x: np.ndarray, rank: np.ndarray, y: np.ndarray, other: np.ndarray, rows: int = 256, held: int = 2048) -> np.ndarray:
+    """Each x's distance to the nearest y of smaller rank; infinite without one.
+
+    Both are taken in stretches by norm. A stretch of x meets those of y by the gap between their norms, up to the gap beyond which
+    no distance can be smaller. Squared distances from products choose the rows that may be nearest, within the products' rounding;
+    those are then measured exactly.
+    """
+    near, xs, ys = np.full(len(x), np.inf), (x * x).sum(axis=1), (y * y).sum(axis=1)
+    if not np.isfinite(4 * xs).all() or not np.isfinite(4 * ys).all():
+        for i, row in enumerate(x):
+            near[i] = np.sqrt(((y[other < rank[i]] - row) ** 2).sum(axis=1)).min(initial=np.inf)
+        return near
+    # Of equal y's the one of smallest rank stands for all.
+    order = np.argsort(other)
+    order = order[np.unique(y[order].view(f"V{y.itemsize * y.shape[1]}").ravel(), return_index=True)[1]]
+    places, order = np.argsort(xs, kind="stable"), order[np.argsort(ys[order], kind="stable")]
+    x, xs, rank, y, ys, other = x[places], xs[places], rank[places], y[order], ys[order], other[order]
+    to = [slice(i, min(i + held, len(y))) for i in range(0, len(y), held)]
+    low, high, first = (np.array([f(c[t]) for t in to]) for f, c in ((np.min, np.sqrt(ys)), (np.max, np.sqrt(ys)), (np.min, other)))
+    # One product yields |y|^2 - 2xy.
+    left, right = np.column_stack([-2 * x, np.ones(len(x))]), np.column_stack([y, ys]).T
+    room = 4 * right.shape[0] * np.finfo(float).eps * (xs + ys.max(initial=0))
+    for at in range(0, len(x), rows):
+        some = slice(at, min(at + rows, len(x)))
+        best, last, norms = np.full(some.stop - at, np.inf), rank[some].max(), np.sqrt(xs[[at, some.stop - 1]])
+        gaps = np.maximum(np.maximum(low - norms[1], norms[0] - high), 0) - 1e-9 * (norms[1] + high)
+        for k in np.argsort(gaps, kind="stable"):
+            if gaps[k] > best.max():
+                break
+            if first[k] >= last:
+                continue
+            squares = left[some] @ right[:, to[k]]
+            if other[to[k]].max() >= rank[some].min():
+                squares[other[None, to[k]] >= rank[some, None]] = np.inf
+            found = squares.argmin(axis=1)
+            least = squares[np.arange(len(found)), found]
+            better = np.flatnonzero(np.isfinite(least) & (best > 0) & (least + xs[some] <= best * best + room[some]))
+            best[better] = np.minimum(best[better], np.sqrt(((x[at + better] - y[to[k].start + found[better]]) ** 2).sum(axis=1)))
+            better = better[best[better] > 0]
+            may = squares[better] <= (least + room[some])[better, None]
+            for i in np.flatnonzero(may.sum(axis=1) > 1):
+                best[better[i]] = min(best[better[i]], np.sqrt(((y[to[k]][may[i]] - x[at + better[i]]) ** 2).sum(axis=1)).min())
+        near[places[some]] = best
+    return near
 
 
 def nearest_better(vectors: DataFrame, family: list[str], key: str, score: str, vector: str, block: int = 512) -> tuple[DataFrame, DataFrame]:
-    """(key, nearest: distance to the nearest of the family's rows before it by score, then key), and the pairs of cells looked at.
+    """(key, nearest: distance to the nearest of the family's rows before it by score, then key), and the pairs of blocks that meet.
 
-    Rows stand in blocks by score and stretches by norm. Each row first gets a bound from its family's first block; then a cell is
-    held against one of its own or an earlier block only if their norms lie nearer than the cell's loosest bound, as a distance is
-    at least the difference of norms. Rows of other lengths don't compare; a row without peers, or with a null or non-finite
-    component, has no nearest. The family's columns must not be null.
+    A family's rows are cut by score into BLOCKS blocks (fewer if they would have under `block` rows), and a task holds each block
+    against one that isn't after it. So a row is sent BLOCKS times, however many rows there are, until a block has NUMBERS numbers;
+    from there on blocks keep their size and become more. The products themselves stay quadratic in a family's rows. Rows of other
+    lengths don't compare; a row without peers, or with a null or non-finite component, has no nearest. The family's columns must not
+    be null.
     """
     kinds = dict(vectors.dtypes)
-    cell = [*family, "_size", "_block", "_stretch"]
-    rows = _cells(vectors, family, key, score, vector, block)
-    good = rows.filter("_v IS NOT NULL")
-    packed = good.groupBy(*cell).agg(F.collect_list(F.struct(key, "_rank", "_v")).alias("_rows"), F.min("_norm").alias("_low"), F.max("_norm").alias("_high"))
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in family) + f", _size int, _block long, _stretch int, `{key}` {kinds[key]}, _rank long, _near double"
-
-    def unpack(lists):
-        flat = lists.flatten()
-        return flat.field(0), flat.field(1).to_numpy(zero_copy_only=False), flat.field(2).flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
-
-    def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                keys, rank, x = unpack(b.column("_rows").slice(i, 1))
-                _, other, y = unpack(b.column("_others").slice(i, 1))
-                near = _distances(np.full(len(x), np.inf), x, rank, y, other)
-                yield pa.RecordBatch.from_arrays([*(pa.array([b.column(c)[i].as_py()] * len(x), b.schema.field(c).type) for c in cell), keys, pa.array(rank), pa.array(near)], names=[*cell, key, "_rank", "_near"])
-
-    bound = [*family, "_size"]
-    # The first block has eight stretches, so each cell meets eight at most here.
-    first = packed.filter("_block = 0").select(*bound, F.col("_rows").alias("_others"))
-    bounds = packed.select(*cell, "_rows").join(first, bound).mapInArrow(run, schema).groupBy(*cell, key, "_rank").agg(F.min("_near").alias("_near"))
-    loosest = bounds.groupBy(*cell).agg(F.max("_near").alias("_bound"))
-    meta = packed.select(*cell, "_low", "_high")
-    ours = meta.join(loosest, cell)
-    theirs = meta.select(*bound, F.col("_block").alias("_b2"), F.col("_stretch").alias("_s2"), F.col("_low").alias("_low2"), F.col("_high").alias("_high2")).filter("_b2 > 0")
-    apart = F.greatest(F.col("_low2") - F.col("_high"), F.col("_low") - F.col("_high2"), F.lit(0.0))
-    looked = ours.join(theirs, bound).filter((F.col("_b2") <= F.col("_block")) & (apart <= F.col("_bound"))).select(*cell, "_b2", "_s2")
-    others = packed.select(*bound, F.col("_block").alias("_b2"), F.col("_stretch").alias("_s2"), F.col("_rows").alias("_others"))
-    more = looked.join(packed.select(*cell, "_rows"), cell).join(others, [*bound, "_b2", "_s2"]).mapInArrow(run, schema)
-    best = bounds.unionByName(more.select(bounds.columns)).groupBy(*family, key).agg(F.min("_near").alias("nearest"))
-    out = rows.select(*family, key).join(best, [*family, key], "left")
-    return out.withColumn("nearest", F.when(F.col("nearest") < float("inf"), F.col("nearest"))), looked
+    pair = [*family, "_size", "_late", "_early"]
+    met = _placed(vectors, family, key, score, vector, block).withColumn("_met", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    met = met.select(*family, key, "_v", "_size", "_rank", "_block", F.greatest("_block", "_met").alias("_late"), F.least("_block", "_met").alias("_early"))
+
+    def run(table: pa.Table) -> pa.Table:
+        x = table["_v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(table.num_rows, -1)
+        rank, at = table["_rank"].to_numpy(), table["_block"].to_numpy()
+        late, early = np.flatnonzero(at == table["_late"][0].as_py()), np.flatnonzero(at == table["_early"][0].as_py())
+        near = _nearest(x[late], rank[late], x[early], rank[early])
+        some = np.isfinite(near)
+        return table.select([*family, key]).take(pa.array(late[some])).append_column("_near", pa.array(near[some]))
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*family, key]) + ", _near double"
+    best = met.groupBy(*pair).applyInArrow(run, schema).groupBy(*family, key).agg(F.min("_near").alias("nearest"))
+    return vectors.select(*family, key).join(best, [*family, key], "left"), met.select(*pair).distinct()
 
 
 def novelty(candidates: DataFrame, family: list[str], key: str, score: str, vector: str, quality: Column, bonus: Column, samples: Column, bucket: list[str], block: int = 512) -> DataFrame:
@@ -182,8 +204,9 @@ def novelty(candidates: DataFrame, family: list[str], key: str, score: str, vect
     at most 0.45; the adjusted score keeps 78% for what isn't new, adds 6% of the gain and 3% of the bonus, is rounded to five places and not below 0.
     """
     near, _ = nearest_better(candidates, family, key, score, vector, block)
-    out = candidates.withColumns({"_quality": quality, "_bonus": bonus, "_samples": samples}).join(near, [*family, key])
-    alike = F.coalesce(1 / (1 + F.col("nearest") / F.greatest(F.lit(1.0), F.sqrt(F.size(vector)))), F.lit(0.0))
+    root = F.greatest(F.lit(1.0), F.sqrt(F.size(vector)))
+    out = candidates.withColumns({"_quality": quality, "_bonus": bonus, "_samples": samples, "_root": root}).join(near, [*family, key])
+    alike = F.coalesce(1 / (1 + F.col("nearest") / F.col("_root")), F.lit(0.0))
     out = out.withColumn("similarity", alike).withColumn("novelty", F.least(F.greatest(1 - F.col("similarity"), F.lit(0.0)), F.lit(1.0)))
     out = out.withColumn("gain", F.col("novelty") * (F.col("_quality") + F.col("_bonus")) * F.least(F.lit(1.0), 10 / F.sqrt(F.greatest(F.col("_samples"), F.lit(1)))))
     out = indexed(out.withColumn("_grade", -F.floor(F.coalesce(F.col(score), F.lit(0.0)) * 1000)), bucket, "_grade", [F.col(score).desc_nulls_last(), F.col(key)], "_at")
